@@ -17,16 +17,16 @@ import numpy as np
 
 #: The pre-tokenizer of byte-level BPE, with Unicode's White_Space property written out.
 SPACE = r"\t-\r \x85\xa0  -     　"
-PRETOKEN = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
+PRETOKEN = " ?[{L}]+| ?[{N}]+|'(?:[stmd]|re|ve|ll)| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 #: Pre-tokens remembered by a worker before its memory of them is emptied.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 
-def _category_ranges(letter: str) -> str:
-    """A regex class body of all code points whose general category starts with letter."""
+def _category_ranges(letter: str, top: int) -> str:
+    """A regex class body of all code points up to top whose general category starts with letter."""
     runs, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == letter
+    for c in range(top + 2):
+        inside = c <= top and unicodedata.category(chr(c))[0] == letter
         if inside and start is None:
             start = c
         elif not inside and start is not None:
@@ -36,8 +36,14 @@ def _category_ranges(letter: str) -> str:
 
 
 @functools.cache
-def pretoken_pattern() -> re.Pattern:
-    return re.compile(PRETOKEN.format(S=SPACE, L=_category_ranges("L"), N=_category_ranges("N")))
+def pretoken_pattern(top: int = sys.maxunicode) -> re.Pattern:
+    """For texts of code points up to top: within the first plane, classes are one table look-up."""
+    return re.compile(PRETOKEN.format(S=SPACE, L=_category_ranges("L", top), N=_category_ranges("N", top)))
+
+
+def pretokens(text: str) -> list[str]:
+    top = 0xFF if text.isascii() else 0xFFFF if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else sys.maxunicode
+    return pretoken_pattern(top).findall(text)
 
 
 def _byte_symbols() -> list[str]:
@@ -68,45 +74,56 @@ class RankMerger:
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.made = keys[order], order, made[order]
         added = spec.get("added_tokens") or []
+        grid = np.ix_(self.byte_ids, self.byte_ids)[0] * self.base + self.byte_ids
+        self.first_rank, self.first_made = (x.reshape(256, 256) for x in self._look_up(grid.ravel()))
         self.special = {t["content"]: t["id"] for t in added}
         self.special_at = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if added else None
 
+    def _look_up(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (len(keys) if there is no such merge) and product of symbol pairs."""
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], len(self.keys)), self.made[at]
+
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and where each word's ids begin (one more entry at the end)."""
         raw = [w.encode("utf-8") for w in words]
         sizes = np.array([len(r) for r in raw], np.int64)
-        symbols = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
-        owner = np.repeat(np.arange(len(raw)), sizes)
-        done_sym, done_owner, done_seq = [], [], []
-        place = np.arange(len(symbols))
-        while len(symbols) > 1:
-            key = symbols[:-1] * self.base + symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            known = (self.keys[at] == key) & (owner[:-1] == owner[1:])
-            none = len(self.keys)
-            rank = np.append(np.where(known, self.rank[at], none), none)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        none = len(self.keys)
+        symbols, owner, place = self.byte_ids[data], np.repeat(np.arange(len(raw)), sizes), np.arange(len(data))
+        rank, made = np.full(len(data), none), np.zeros(len(data), np.int64)
+        if len(data) > 1:
+            rank[:-1], made[:-1] = self.first_rank[data[:-1], data[1:]], self.first_made[data[:-1], data[1:]]
+            rank[np.cumsum(sizes)[sizes > 0] - 1] = none
+        done: list[tuple] = []
+        while len(symbols):
             starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            lowest = np.minimum.reduceat(rank, starts)
             counts = np.diff(np.append(starts, len(owner)))
-            target = np.repeat(lowest, counts)
+            target = np.repeat(np.minimum.reduceat(rank, starts), counts)
             live = target < none
-            hit = np.flatnonzero((rank == target) & live)
-            if not len(hit):
-                break
+            if not live.all():  # words without a mergeable pair leave
+                done.append((symbols[~live], owner[~live], place[~live]))
+                symbols, owner, place, rank, made, target = (x[live] for x in (symbols, owner, place, rank, made, target))
+                if not len(symbols):
+                    break
+            hit = np.flatnonzero(rank == target)
             # in a run of hits that overlap (one symbol repeated) every second one merges, from the left
             run = np.maximum.accumulate(np.where(np.append(True, np.diff(hit) > 1), np.arange(len(hit)), 0))
             hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
-            symbols[hit] = self.made[at[hit]]
+            symbols[hit] = made[hit]
             keep = np.ones(len(symbols), bool)
             keep[hit + 1] = False
-            over = ~live
-            if over.any():
-                done_sym.append(symbols[over])
-                done_owner.append(owner[over])
-                done_seq.append(place[over])
-                keep &= live
-            symbols, owner, place = symbols[keep], owner[keep], place[keep]
-        symbols, owner, place = (np.concatenate([*d, x]) for d, x in ((done_sym, symbols), (done_owner, owner), (done_seq, place)))
+            now = np.cumsum(keep) - 1
+            symbols, owner, place, rank, made = (x[keep] for x in (symbols, owner, place, rank, made))
+            # only pairs beside a merged symbol have changed
+            hit = now[hit]
+            near = np.concatenate([hit, hit[hit > 0] - 1])
+            last = near == len(symbols) - 1
+            rank[near[last]] = none
+            near = near[~last]
+            new_rank, made[near] = self._look_up(symbols[near] * self.base + symbols[near + 1])
+            rank[near] = np.where(owner[near] == owner[near + 1], new_rank, none)
+        symbols, owner, place = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (symbols, owner, place)
         ids = symbols[np.argsort(place, kind="stable")]
         return ids, np.append(0, np.cumsum(np.bincount(owner, minlength=len(raw))))
 
@@ -116,44 +133,40 @@ class Encoder:
 
     def __init__(self, path: str):
         self.merger = RankMerger(path)
-        self.find = pretoken_pattern().findall
         self.ids: dict[str, bytes] = {}
-        self.count: dict[str, int] = {}
 
     def _parts(self, text: str) -> list[str]:
         """Pre-tokens of a text; a special string stands as it is, under its own key."""
         special = self.merger.special_at
         if special is None or not special.search(text):
-            return self.find(text)
+            return pretokens(text)
         out, end = [], 0
         for m in special.finditer(text):
-            out += self.find(text[end : m.start()])
+            out += pretokens(text[end : m.start()])
             out.append("\0special" + m[0])
             end = m.end()
-        return out + self.find(text[end:])
+        return out + pretokens(text[end:])
 
     def _learn(self, parts: list[list[str]]) -> None:
-        new = list(set().union(*parts).difference(self.count))
-        if len(self.count) + len(new) > CACHE_WORDS:
+        seen = set().union(*parts)
+        new = list(seen.difference(self.ids))
+        if len(self.ids) + len(new) > CACHE_WORDS:
             self.ids.clear()
-            self.count.clear()
-            new = list(set().union(*parts))
-        marked = [w for w in new if w.startswith("\0special") and w[8:] in self.merger.special]
-        for w in marked:
-            self.ids[w], self.count[w] = np.array([self.merger.special[w[8:]]], "<u4").tobytes(), 1
-        words = [w for w in new if w not in self.count]
-        for i in range(0, len(words), 50_000):
-            some = words[i : i + 50_000]
+            new = list(seen)
+        for w in [w for w in new if w.startswith("\0special") and w[8:] in self.merger.special]:
+            self.ids[w] = np.array([self.merger.special[w[8:]]], "<u4").tobytes()
+            new.remove(w)
+        for i in range(0, len(new), 50_000):
+            some = new[i : i + 50_000]
             ids, at = self.merger.merge(some)
-            raw, at = ids.astype("<u4").tobytes(), at.tolist()
-            self.count.update(zip(some, map(int.__sub__, at[1:], at), strict=False))
-            self.ids.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(some, at, at[1:], strict=False))
+            raw, at = ids.astype("<u4").tobytes(), (4 * at).tolist()
+            self.ids.update(zip(some, map(raw.__getitem__, map(slice, at, at[1:])), strict=False))
 
     def counts(self, texts: list[str]) -> list[int]:
         parts = [self._parts(t) for t in texts]
         self._learn(parts)
-        get = self.count.__getitem__
-        return [sum(map(get, p)) for p in parts]
+        get = self.ids.__getitem__
+        return [sum(map(len, map(get, p))) // 4 for p in parts]
 
     def id_bytes(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
