@@ -13,6 +13,8 @@ from blockloom.llm.common import documents
 from blockloom.llm.decontaminate import contamination, digest
 from blockloom.llm.exact_dedup import exact_dedup
 from blockloom.llm.packing import pack
+from blockloom.llm.pii import find_pii
+from blockloom.llm.secret_scan import scan_secrets
 from blockloom.llm.token_counts import token_counts
 from blockloom.llm.url_filter import url_filter
 
@@ -31,6 +33,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", language.held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(documents(spark, sf_dir))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(documents(spark, sf_dir))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
