@@ -12,6 +12,7 @@ from blockloom.llm import language, quality
 from blockloom.llm.common import documents
 from blockloom.llm.decontaminate import contamination, digest
 from blockloom.llm.exact_dedup import exact_dedup
+from blockloom.llm.jaccard_join import jaccard_components
 from blockloom.llm.packing import pack
 from blockloom.llm.pii import find_pii
 from blockloom.llm.secret_scan import scan_secrets
@@ -37,6 +38,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir), words=4, percent=85)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(documents(spark, sf_dir))
 
