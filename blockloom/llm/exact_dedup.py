@@ -143,7 +143,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = local.filter(F.col("size").isNotNull()).drop("doc_id")
     total = texts.agg(F.sum(F.length("norm"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // target_bytes))
-    merged = _bucketed(texts, target_bytes, first_depth, broadcast_rows).repartition(parts, "bucket").select("part", "norm", "size", "points", "keep_id")
+    fair = min(target_bytes, max(1 << 16, total // (2 * parts)))  # no prefix takes more than half a task's share
+    merged = _bucketed(texts, fair, first_depth, broadcast_rows).repartition(parts, "bucket").select("part", "norm", "size", "points", "keep_id")
     merged = merged.mapInArrow(_merge, "part long, keep_part long, keep_id long, group_size long, text_sha256 string")
     rows = local.select("part", "doc_id", F.col("size").isNotNull().alias("first"))
     return rows.join(merged, "part").select("doc_id", "keep_id", "group_size", (F.col("first") & (F.col("part") == F.col("keep_part"))).alias("kept"), "text_sha256")
