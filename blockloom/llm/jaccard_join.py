@@ -65,7 +65,9 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
         s = (s ^ h[k : k + n]) * _MIX
         s ^= s >> np.uint64(29)
     s *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(s ^ (s >> np.uint64(32)))
+    s ^= s >> np.uint64(32)
+    s.sort()
+    return s[np.append(True, s[1:] != s[:-1])]
 
 
 def needed(n, percent: int):
@@ -125,30 +127,37 @@ def _prefixes(words: int, percent: int, shared, batches):
             if doc is None or n <= needed(n, percent):  # only an equal set can link to it
                 continue
             k = n - needed(n, percent) + 2
-            order = np.lexsort((s, counts[(s >> shift).astype(np.int64)]))[:k]
+            order = np.argsort(counts[(s >> shift).astype(np.int64)], kind="stable")[:k]  # ties in order of the hash
             out.append((doc, n, xxhash.xxh3_128_digest(s.tobytes()), s[order].view(np.int64)))
         yield emit(PREFIX, **{name: [r[i] for r in out] for i, name in enumerate(PREFIX.names)})
 
 
-def _sets(words: int, shared, batches):
-    """Whole sets of the documents whose bit is set."""
-    bits = shared.value
+def _sets(words: int, batches):
     for b in slices(batches):
-        at = b.column("bit").to_numpy()
-        keep = np.flatnonzero(bits[at >> 3] >> (at & 7) & 1)
-        part = b.take(pa.array(keep))
-        ids = part.column("doc_id").to_pylist()
-        yield emit(FULL, node=ids, shingles=[shingle_set(t, words).view(np.int64) for t in part.column("text").to_pylist()])
+        yield emit(FULL, node=b.column("doc_id"), shingles=[shingle_set(t, words).view(np.int64) for t in b.column("text").to_pylist()])
 
 
-def _bits_of(nodes: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of fixed size in which each node sets one bit; more nodes only make it denser."""
-    bit = F.pmod(F.xxhash64("node"), F.lit(1 << bits))
-    words = nodes.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {1 << bits}) & 63 as int))")).alias("value"))
-    out = np.zeros(1 << (bits - 6), np.int64)
-    for r in words.collect():
-        out[r["word"]] = r["value"]
-    return out.view(np.uint8)
+def _among(table: DataFrame, column: str, wanted: DataFrame, wanted_column: str) -> DataFrame:
+    """Rows of table whose column is in wanted, and few others, without a shuffle of table.
+
+    Each wanted value sets one bit of a bitmap of 2^20 to 2^27 bits, some sixteen bits for each value. The
+    bitmap is broadcast as words of 64 bits: 2^21 rows at most. With more values than it has room for it
+    only lets more rows pass.
+    """
+    n = wanted.count()
+    bits = min(27, max(20, (16 * n).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    one = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), {1 << bits}) & 63 as int))")
+    words = wanted.groupBy(F.shiftright(place(wanted_column), 6).alias("filter_word")).agg(F.bit_or(one(wanted_column)).alias("filter_bits"))
+    hit = (F.shiftright(place(column), 6) == F.col("filter_word")) & (F.col("filter_bits").bitwiseAND(one(column)) != 0)
+    return table.join(F.broadcast(words), hit, "left_semi")
+
+
+def _sets_of(rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """Whole shingle sets of some nodes (and of few other documents)."""
+    wanted = store(nodes.distinct(), "wanted")
+    found = _among(rows.filter("doc_id IS NOT NULL").select("doc_id", "text"), "doc_id", wanted, "node")
+    return store(found.mapInArrow(partial(_sets, words), "node long, shingles array<long>"), "sets")
 
 
 # ---- candidates -----------------------------------------------------------------------------------
@@ -172,8 +181,8 @@ def _buckets(prefixes: DataFrame, percent: int, boundary: int | None) -> DataFra
     """(key, node, n, pos, pivot, pivot_n, pivot_pos, members) of keys that two sets or more share."""
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 2
     posts = prefixes.select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    shared = posts.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
-    live = store(posts.join(shared, "shingle"), "live")
+    shared = store(posts.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
+    live = store(_among(posts, "shingle", shared, "shingle").join(shared, "shingle"), "live")
     if boundary is None:
         boundary = _boundary(live, length)
     lists = live.filter((F.col("n") * 100 >= (boundary + 1) * percent) & (F.col("pos") < length - 1)).select(F.col("shingle").alias("key"), "node", "n", "pos")
@@ -182,7 +191,7 @@ def _buckets(prefixes: DataFrame, percent: int, boundary: int | None) -> DataFra
     subsets = light.select("node", "n", F.explode(pairs).alias("p")).select("p.key", "node", "n", "p.pos")
     found = store(lists.unionByName(subsets), "keys")
     first = F.min(F.struct("node", "n", "pos")).alias("first")
-    keys = store(found.groupBy("key").agg(F.count("*").alias("members"), first).filter("members > 1").select("key", "members", F.col("first.node").alias("pivot"), F.col("first.n").alias("pivot_n"), F.col("first.pos").alias("pivot_pos")), "shared")
+    keys = store(found.groupBy("key").agg(F.count("*").alias("members"), first).filter("members > 1").select("key", "members", F.col("first.node").alias("pivot"), F.col("first.n").alias("pivot_n"), F.col("first.pos").alias("pivot_pos")), "pivots")
     return store(found.join(keys, "key"), "buckets")
 
 
@@ -238,7 +247,7 @@ def links_in_block(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _rest(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, small: int, block: int) -> DataFrame:
+def _rest(buckets: DataFrame, labels: DataFrame, rows: DataFrame, words: int, percent: int, small: int, block: int) -> DataFrame | None:
     """Links between components that a key still holds together."""
     named = store(buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
     mixed = store(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"), "mixed")
@@ -246,8 +255,13 @@ def _rest(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int,
     few = rest.filter((F.col("members") <= small) & (F.col("node") > F.col("pivot")))
     other = few.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
     pairs = few.select("key", F.col("node").alias("a"), "n", "pos", "label").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("lb")) & _may_link(F.col("n"), F.col("pos"), F.col("nb"), F.col("pb"), percent))
-    found = _verified(pairs.select("a", "b").distinct(), sets, percent)
+    pairs = store(pairs.select("a", "b").distinct(), "pairs")
     many = store(rest.filter(F.col("members") > small).select("pivot", "node", "label").distinct(), "many")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(many.select("node"))
+    if not nodes.limit(1).count():
+        return None
+    sets = _sets_of(rows, nodes, words)
+    found = _verified(pairs, sets, percent)
     counts = many.groupBy("pivot").agg(F.count("*").alias("m"))
     dealt = many.join(counts, "pivot").withColumn("blocks", F.ceil(F.col("m") / block)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -260,7 +274,7 @@ def _rest(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int,
     return store(found.union(blocks), "links")
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", boundary: int | None = None, sketch_bits: int = 20, filter_bits: int = 24, small: int = 48, block: int = 256) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", boundary: int | None = None, sketch_bits: int = 20, small: int = 48, block: int = 256) -> DataFrame:
     """Groups of documents whose shingle sets have a Jaccard similarity of percent / 100 or more: doc_id, n_shingles, component_id.
 
     A text of fewer words than a shingle has one shingle, all its words. boundary forces the largest light
@@ -278,14 +292,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     prefixes = rows.mapInArrow(partial(_prefixes, words, percent, counts), "node long, n long, digest binary, prefix array<long>")
     prefixes = store(prefixes.join(nodes, ["node", "digest"], "left_semi").drop("digest"), "prefixes")
     buckets = _buckets(prefixes, percent, boundary)
-    marked = spark.sparkContext.broadcast(_bits_of(buckets.select("node"), filter_bits))
-    bit = F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(1 << filter_bits)).alias("bit")
-    sets = store(rows.filter("doc_id IS NOT NULL").select("doc_id", "text", bit).mapInArrow(partial(_sets, words, marked), "node long, shingles array<long>"), "sets")
     star = buckets.filter((F.col("node") != F.col("pivot")) & _may_link(F.col("n"), F.col("pos"), F.col("pivot_n"), F.col("pivot_pos"), percent))
-    links = store(_verified(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), sets, percent), "links")
+    star = store(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    sets = _sets_of(rows, star.select(F.col("a").alias("node")).union(star.select(F.col("b").alias("node"))), words)
+    links = store(_verified(star, sets, percent), "links")
     labels = connected_components(links)
-    more = _rest(buckets, labels, sets, percent, small, block)
-    if more.limit(1).count():
+    more = _rest(buckets, labels, rows, words, percent, small, block)
+    if more is not None and more.limit(1).count():
         labels = connected_components(links.union(more))
     named = store(nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id")), "components")
     linked = own.filter("digest IS NOT NULL").join(named, "digest", "left")
