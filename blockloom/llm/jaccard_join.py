@@ -9,7 +9,7 @@ n - t + 2.
 - Heavy sets are found by inverted lists: each of the n - t + 1 shingles is a key, for heavy sets
   and for those light ones that are large enough to link to a heavy one.
 - The boundary is the size at which, summed over all sets, 2-subsets cost more keys than the
-  entries of the lists that would be scanned.
+  list entries and comparisons that they replace.
 
 Keys gather candidates; they never emit all pairs of a key. First each set of a key is compared
 with the key's smallest node. Sets that this connects need no further comparison. Where a key still
@@ -164,8 +164,12 @@ def _sets_of(rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 
 
 def _boundary(live: DataFrame, prefix_len) -> int:
-    """Largest size of light sets: where all costs together are least. At most some rows for each power of two come to the driver."""
-    node = live.groupBy("node", "n").agg(F.sum(F.when(F.col("pos") < prefix_len - 1, F.col("df")).otherwise(0)).alias("lists"), F.count("*").alias("k"))
+    """Largest size of light sets: where all costs together are least. At most some rows for each power of two come to the driver.
+
+    A list entry costs two rows, itself and its comparison with the list's smallest node, as no list is
+    compared pairwise as a whole; a 2-subset costs one, as sets that share one are rarely compared in vain.
+    """
+    node = live.groupBy("node", "n").agg(F.sum(F.when(F.col("pos") < prefix_len - 1, 2).otherwise(0)).alias("lists"), F.count("*").alias("k"))
     step = F.greatest(F.lit(1), F.pow(F.lit(2), F.floor(F.log2("n")) - 3).cast("long"))
     costs = node.groupBy((F.floor(F.col("n") / step) * step + step - 1).alias("size")).agg(F.sum("lists").alias("lists"), F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("subsets"))
     rows = sorted(costs.collect(), key=lambda r: r["size"])
