@@ -205,6 +205,22 @@ def _may_link(na, pa_, nb, pb, percent: int):
     return (F.least(na - pa_, nb - pb) >= least) & (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
 
 
+def _plausible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that their first shingles leave possible.
+
+    Up to the last shingle that both prefixes hold, all common shingles are known: what stands before it in
+    one prefix and not in the other is in one set only.
+    """
+    nodes = store(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
+    known = store(_among(prefixes, "node", nodes, "node"), "known")
+    a = known.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
+    b = known.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+    both = pairs.join(b, "b").join(a, "a").withColumn("both", F.array_intersect("pa", "pb"))
+    last = F.try_element_at("both", F.lit(-1))
+    most = F.size("both") + F.least(F.col("na") - F.array_position("pa", last), F.col("nb") - F.array_position("pb", last))
+    return both.filter(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose whole sets link."""
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -251,7 +267,7 @@ def links_in_block(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _rest(buckets: DataFrame, labels: DataFrame, rows: DataFrame, words: int, percent: int, small: int, block: int) -> DataFrame | None:
+def _rest(buckets: DataFrame, labels: DataFrame, prefixes: DataFrame, rows: DataFrame, words: int, percent: int, small: int, block: int) -> DataFrame | None:
     """Links between components that a key still holds together."""
     named = store(buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
     mixed = store(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"), "mixed")
@@ -259,7 +275,7 @@ def _rest(buckets: DataFrame, labels: DataFrame, rows: DataFrame, words: int, pe
     few = rest.filter((F.col("members") <= small) & (F.col("node") > F.col("pivot")))
     other = few.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
     pairs = few.select("key", F.col("node").alias("a"), "n", "pos", "label").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("lb")) & _may_link(F.col("n"), F.col("pos"), F.col("nb"), F.col("pb"), percent))
-    pairs = store(pairs.select("a", "b").distinct(), "pairs")
+    pairs = store(_plausible(store(pairs.select("a", "b").distinct(), "pairs"), prefixes, percent), "pairs")
     many = store(rest.filter(F.col("members") > small).select("pivot", "node", "label").distinct(), "many")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(many.select("node"))
     if not nodes.limit(1).count():
@@ -298,10 +314,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     buckets = _buckets(prefixes, percent, boundary)
     star = buckets.filter((F.col("node") != F.col("pivot")) & _may_link(F.col("n"), F.col("pos"), F.col("pivot_n"), F.col("pivot_pos"), percent))
     star = store(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    star = store(_plausible(star, prefixes, percent), "star")
     sets = _sets_of(rows, star.select(F.col("a").alias("node")).union(star.select(F.col("b").alias("node"))), words)
     links = store(_verified(star, sets, percent), "links")
     labels = connected_components(links)
-    more = _rest(buckets, labels, rows, words, percent, small, block)
+    more = _rest(buckets, labels, prefixes, rows, words, percent, small, block)
     if more is not None and more.limit(1).count():
         labels = connected_components(links.union(more))
     named = store(nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id")), "components")
