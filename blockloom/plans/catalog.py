@@ -1,11 +1,377 @@
-"""Named queries over the test tables."""
+"""Named queries over the test tables, each with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from blockloom import schema as S
+from blockloom.functions import scalar
+from blockloom.operators import chunk, codec, dedup, ecc, merkle, versions, volumes
+from blockloom.sources.files import table_files
 
-def oracle_sql() -> dict:
-    return {}
+CHUNK, CAP, VOLUME, PARITY = 1024, 100, 200_000, 2
+
+
+def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{table}.parquet")
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return table_files(_read(spark, d, "documents"), "doc_id", "text")
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents as chunks: seq, hash, len."""
+    return _files(spark, d).select("seq", "hash", F.col("size").alias("len"))
+
+
+def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two manifests: b lacks every third document of a, and holds some of a's with another time or text."""
+    f = _files(spark, d).select(F.col("seq").alias("path"), "hash", "size", (F.col("seq") * 1000).alias("mtime"))
+    b = f.filter("path % 3 <> 0").withColumns({"mtime": F.expr("mtime + case path % 5 when 0 then 10 when 1 then -10 else 0 end"), "hash": F.when(F.col("path") % 7 == 0, F.sha2(F.concat("hash", F.lit("v2")), 256)).otherwise(F.col("hash"))})
+    return f.filter("path % 4 <> 1"), b
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    e = _read(spark, d, "events")
+    text = F.concat_ws("|", "event_type", "props")
+    return e.select(F.col("user_id").alias("path"), F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long").alias("day"), "ts", "event_id", F.sha2(text, 256).alias("hash"), F.octet_length(text).cast("long").alias("size"))
+
+
+def _generations(spark: SparkSession, d: str) -> DataFrame:
+    days = spark.range(30).withColumnRenamed("id", "generation")
+    return versions.as_of(_events(spark, d), days)
+
+
+def _damaged(spark: SparkSession, d: str) -> DataFrame:
+    blocks = dedup.unique_blocks(_chunks(spark, d))
+    return blocks.withColumns({"group_id": F.floor(F.col("block_seq") / 10), "corrupted": F.col("block_seq") % 13 == 0})
+
+
+def _scan(spark: SparkSession, d: str) -> DataFrame:
+    """A linear scan of data blocks with parity rows after each group."""
+    blocks = dedup.unique_blocks(_chunks(spark, d)).select((F.col("block_seq") * 100).alias("offset"), F.lit(False).alias("is_parity"), (F.col("block_seq") % 10 == 9).alias("last"))
+    parity = blocks.filter("last").select(F.explode(F.array(F.col("offset") + 1, F.col("offset") + 2)).alias("offset"), F.lit(True).alias("is_parity"))
+    return blocks.select("offset", "is_parity").union(parity)
+
+
+# ---- queries ----
+
+
+def dedup_block_refs(s, d):
+    return dedup.block_refs(_chunks(s, d))
+
+
+def dedup_unique_blocks(s, d):
+    return dedup.unique_blocks(_chunks(s, d))
+
+
+def dedup_stats(s, d):
+    return dedup.dedup_stats(_chunks(s, d))
+
+
+def dedup_cap_overflow(s, d):
+    return dedup.capped_stats(_chunks(s, d), CAP)
+
+
+def block_offsets(s, d):
+    return dedup.unique_blocks(_chunks(s, d)).select("block_seq", "hash", "offset")
+
+
+def ecc_group_plan(s, d):
+    return dedup.ecc_plan(dedup.unique_blocks(_chunks(s, d)))
+
+
+def ecc_overhead(s, d):
+    levels = s.createDataFrame([(x,) for x in ("low", "Medium", "med", "high", "none", "OFF", "odd")], "level string")
+    parity = scalar.ecc_parity(F.col("level"))
+    return levels.select("level", F.coalesce(parity, F.lit(-1)).alias("parity"), F.coalesce(scalar.ecc_overhead(parity).cast("double"), F.lit(-1.0)).alias("overhead"))
+
+
+def fixed_chunks(s, d):
+    return chunk.fixed_chunks(_files(s, d), CHUNK).select("seq", "pos", "hash", "len")
+
+
+def chunk_dedup_stats(s, d):
+    c = chunk.fixed_chunks(_files(s, d), CHUNK)
+    return dedup.dedup_stats(c.select(F.col("seq"), "hash", "len"))
+
+
+def manifest_refs(s, d):
+    """Ordered chunk hashes of each file, as one fingerprint."""
+    c = chunk.fixed_chunks(_files(s, d), CHUNK).groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("pos", "hash"))).alias("r"))
+    return c.select("seq", F.size("r").cast("long").alias("n_refs"), F.sha2(F.array_join(F.transform("r", lambda x: x["hash"]), ""), 256).alias("fingerprint"))
+
+
+def _rebuilt(s, d):
+    """Files put together again from references and unique blocks."""
+    c = chunk.fixed_chunks(_files(s, d), CHUNK)
+    store = c.groupBy("hash").agg(F.min("chunk").alias("chunk"))
+    rows = c.select("seq", "pos", "hash").join(store, "hash").groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("pos", "chunk"))).alias("p"))
+    return rows.select("seq", F.array_join(F.transform("p", lambda x: x["chunk"]), "").alias("content"))
+
+
+def extract_roundtrip(s, d):
+    return _rebuilt(s, d).select("seq", F.sha2("content", 256).alias("hash"), F.octet_length("content").cast("long").alias("size"))
+
+
+def cat_one(s, d):
+    """One file only: the filter reaches the scan before chunks are made."""
+    f = _files(s, d).filter("seq = 7")
+    c = chunk.fixed_chunks(f, CHUNK).groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("pos", "chunk"))).alias("p"))
+    return c.select("seq", F.array_join(F.transform("p", lambda x: x["chunk"]), "").alias("content"))
+
+
+def list_short(s, d):
+    return _files(s, d).select("path").orderBy("path")
+
+
+def list_long(s, d):
+    o = _read(s, d, "orders")
+    kind = F.when(F.col("o_orderkey") % 7 == 0, "dir").when(F.col("o_orderkey") % 11 == 0, "symlink").otherwise("file")
+    return o.select(F.col("o_orderkey").alias("path"), scalar.type_char(kind).alias("type"), scalar.octal_mode(F.col("o_orderkey") % 4096).alias("mode"))
+
+
+def archive_info(s, d):
+    f = _files(s, d)
+    return f.agg(F.count("*").alias("files"), F.sum("size").alias("original_bytes"), F.countDistinct("hash").alias("unique_blocks"), F.max("size").alias("largest"))
+
+
+def archive_flags(s, d):
+    return s.range(16).select(F.col("id").alias("flags"), scalar.flag_list(F.col("id")).alias("names"))
+
+
+def generation_log(s, d):
+    return _generations(s, d).groupBy("generation").agg(F.count("*").alias("files"), F.sum("size").alias("total_size"))
+
+
+def generation_at(s, d):
+    return _generations(s, d).filter("generation = 12").select("path", "hash", "size")
+
+
+def generation_diff(s, d):
+    g = _generations(s, d)
+    return versions.diff(g.filter("generation = 3"), g.filter("generation = 20"))
+
+
+def diff_summary(s, d):
+    a, b = _versions(s, d)
+    return versions.diff(a, b).groupBy("change").agg(F.count("*").alias("n"))
+
+
+def append_new_blocks(s, d):
+    """New and reused blocks of each generation against the one before it only."""
+    g = _generations(s, d).select("generation", "path", "hash")
+    before = g.select((F.col("generation") + 1).alias("generation"), "hash").distinct().withColumn("known", F.lit(1))
+    hashes = g.groupBy("generation", "hash").agg(F.count("*").alias("refs"))
+    rows = hashes.join(before, ["generation", "hash"], "left")
+    return rows.groupBy("generation").agg(F.sum(F.when(F.col("known").isNull(), 1).otherwise(0)).alias("new_blocks"), F.sum(F.when(F.col("known").isNull(), F.col("refs") - 1).otherwise(F.col("refs"))).alias("reused"))
+
+
+def incremental_refs(s, d):
+    f = _files(s, d)
+    r = versions.incremental_refs(f.filter("seq % 3 <> 0"), f.filter("seq % 3 = 0"))
+    return r.withColumn("base_seq", F.coalesce("base_seq", F.lit(-1)))
+
+
+def incremental_stats(s, d):
+    r = incremental_refs(s, d)
+    return r.agg(F.count("*").alias("files"), F.count_if("external").alias("reused"), F.countDistinct(F.when(~F.col("external"), F.col("hash"))).alias("new_blocks"), F.sum("size").alias("input_bytes"))
+
+
+def incremental_new_blocks(s, d):
+    f = _files(s, d)
+    return versions.new_blocks(f.filter("seq % 3 <> 0"), f.filter("seq % 3 = 0"))
+
+
+def merge_winners(s, d):
+    return versions.merge_winners(*_versions(s, d))
+
+
+def merge_conflicts(s, d):
+    return versions.merge_conflicts(*_versions(s, d))
+
+
+def merge_blocks(s, d):
+    a, b = _versions(s, d)
+    return versions.merge_blocks(versions.merge_winners(a, b), a, b)
+
+
+def split_points(s, d):
+    return volumes.split_points(dedup.unique_blocks(_chunks(s, d)), VOLUME)
+
+
+def volume_assignment(s, d):
+    blocks = dedup.unique_blocks(_chunks(s, d))
+    return volumes.assign(blocks, volumes.split_points(blocks, VOLUME)).groupBy("volume_no").agg(F.count("*").alias("blocks"), F.sum("len").alias("bytes"), F.min("offset").alias("first_offset"))
+
+
+def verify_damage_map(s, d):
+    """Files that refer to damaged blocks."""
+    bad = _damaged(s, d).filter("corrupted").select("hash", "block_seq")
+    return _chunks(s, d).join(bad, "hash").select("seq", "block_seq")
+
+
+def verify_recoverable(s, d):
+    g = _damaged(s, d).groupBy("group_id").agg(F.count_if("corrupted").alias("c"))
+    return g.agg(F.sum("c").alias("corrupted"), F.sum(F.when(F.col("c").between(1, PARITY), F.col("c")).otherwise(0)).alias("recoverable"))
+
+
+def ecc_islands(s, d):
+    return ecc.islands(_scan(s, d)).groupBy("group_no").agg(F.count_if(~F.col("is_parity")).alias("data"), F.count_if("is_parity").alias("parity"))
+
+
+def merkle_root(s, d):
+    """Root over the first thousand blocks: hex digests joined and hashed."""
+    b = dedup.unique_blocks(_chunks(s, d)).filter("block_seq < 1000")
+    return merkle.merkle_root(b.select(F.col("block_seq").alias("i"), "hash"))
+
+
+_PATHS = ["/etc/passwd", "../../../etc/passwd", "foo/../../bar", "src/main.rs", "a/b/c/d.txt", "a\\..\\b", "\\x", "..a/b.."]
+_SIZES = ["1K", "1M", "1G", "4G", "500", "", "abc", "1.5m", "2k"]
+_VERSIONS = [("0.3.0", "0.4.0"), ("0.3.0", "1.0.0"), ("0.3.0", "0.3.1"), ("0.3.0", "0.3.0"), ("0.4.0", "0.3.0"), ("1.x.2", "1.3"), ("1", "1.0")]
+
+
+def path_safety(s, d):
+    p = s.createDataFrame([(x,) for x in _PATHS], "path string")
+    return p.select("path", scalar.safe_path(F.col("path")).alias("safe"), scalar.normal_path(F.col("path")).alias("normal"))
+
+
+def size_parse(s, d):
+    return s.createDataFrame([(x,) for x in _SIZES], "text string").select("text", F.coalesce(scalar.parse_size(F.col("text")), F.lit(-1)).alias("bytes"))
+
+
+def version_compare(s, d):
+    return s.createDataFrame(_VERSIONS, "current string, other string").select("current", "other", scalar.version_newer(F.col("current"), F.col("other")).alias("newer"))
+
+
+def url_versions(s, d):
+    rows = [("https://x.example/releases/v1.2.3",), ("https://x.example/releases/latest",), ("https://x.example/tag/0.7",)]
+    return s.createDataFrame(rows, "url string").select("url", scalar.version_from_url(F.col("url")).alias("version"))
+
+
+def page_formats(s, d):
+    """Magic-byte detection over page bytes."""
+    return _read(s, d, "pages").groupBy(F.coalesce(scalar.legacy_format(F.encode("html", "UTF-8")), F.lit("none")).alias("format")).agg(F.count("*").alias("n"))
+
+
+def lineitem_dedup(s, d):
+    """Row-hash dedup at volume."""
+    li = _read(s, d, "lineitem")
+    key = F.sha2(F.concat_ws("|", "l_returnflag", "l_linestatus", F.date_format("l_shipdate", "yyyy-MM-dd"), F.col("l_quantity").cast("int").cast("string")), 256)
+    rows = li.select(key.alias("hash"), F.col("l_linenumber").cast("long").alias("len"), F.col("l_orderkey").alias("seq"))
+    return rows.groupBy("hash").agg(F.count("*").alias("uses"), F.min("seq").alias("first_seq"), F.sum("len").alias("bytes"))
+
+
+def content_chunks(s, d):
+    return chunk.content_chunks(_files(s, d), 256, 1024, 4096).select("seq", "pos", "hash", "len")
+
+
+def content_roundtrip(s, d):
+    """Content-defined chunks put together again hash to the source's hash."""
+    c = chunk.content_chunks(_files(s, d), 256, 1024, 4096).groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("pos", "chunk"))).alias("p"))
+    whole = F.aggregate("p", F.unhex(F.lit("")), lambda acc, x: F.concat(acc, x["chunk"]))
+    return c.select("seq", F.sha2(whole, 256).alias("hash"))
+
+
+def codec_roundtrip(s, d):
+    c = chunk.fixed_chunks(_files(s, d), CHUNK).groupBy("hash").agg(F.min("chunk").alias("chunk"))
+    return codec.decompress_blocks(codec.compress_blocks(c)).select("hash", "intact", F.octet_length("chunk").cast("long").alias("len"))
+
+
+def parity_repair(s, d):
+    """Blocks lost by twos from each group of ten come back from four parity blocks."""
+    f = _files(s, d).select("hash", F.encode("content", "UTF-8").alias("payload")).groupBy("hash").agg(F.min("payload").alias("payload"))
+    blocks = dedup.unique_blocks(_chunks(s, d)).select("hash", "block_seq", F.floor(F.col("block_seq") / 10).alias("group_id")).join(f, "hash")
+    rows = blocks.select("group_id", "block_seq", "payload", F.octet_length("payload").alias("size"), (~(F.col("block_seq") % 10).isin(2, 7)).alias("intact"))
+    fixed = ecc.repair_groups(rows, ecc.parity_blocks(blocks, 4))
+    return fixed.select("block_seq", "repaired", F.sha2("payload", 256).alias("hash"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    first = list(globals()).index("dedup_block_refs")
+    return {k: f for k, f in list(globals().items())[first:] if callable(f) and k[0] != "_" and k not in ("queries", "oracle_sql")}
+
+
+# ---- SQL ----
+
+_C = "c AS (SELECT doc_id AS seq, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS len FROM documents)"
+_B = f"""{_C}, f AS (SELECT hash, min(seq) AS seq, count(*) AS uses FROM c GROUP BY hash),
+b AS (SELECT c.seq, c.hash, c.len, uses, row_number() OVER (ORDER BY c.seq) - 1 AS block_seq,
+      CAST({S.HEADER_SIZE} + coalesce(sum(c.len + {S.BLOCK_HEADER_SIZE}) OVER (ORDER BY c.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM c JOIN f USING (seq, hash))"""
+_K = f"""k AS (SELECT doc_id AS seq, CAST(i AS INTEGER) AS pos, substring(text, CAST(i * {CHUNK} + 1 AS BIGINT), {CHUNK}) AS chunk
+     FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / {CHUNK}.0) AS BIGINT))) AS i FROM documents))"""
+_V = """f AS (SELECT doc_id AS path, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS size, doc_id * 1000 AS mtime FROM documents),
+a AS (SELECT * FROM f WHERE path % 4 <> 1),
+b AS (SELECT path, CASE WHEN path % 7 = 0 THEN sha256(hash || 'v2') ELSE hash END AS hash, size, mtime + CASE path % 5 WHEN 0 THEN 10 WHEN 1 THEN -10 ELSE 0 END AS mtime FROM f WHERE path % 3 <> 0)"""
+_W = f"""{_V}, w AS (SELECT path, src, mtime, hash, size FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY mtime DESC, src) AS k
+     FROM (SELECT 'a' AS src, * FROM a UNION ALL SELECT 'b', * FROM b)) WHERE k = 1)"""
+_G = """e AS (SELECT user_id AS path, datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day, ts, event_id, sha256(concat_ws('|', event_type, props)) AS hash, CAST(strlen(concat_ws('|', event_type, props)) AS BIGINT) AS size FROM events),
+g AS (SELECT generation, path, hash, size FROM (SELECT generation, e.*, row_number() OVER (PARTITION BY generation, path ORDER BY ts DESC, event_id DESC) AS k FROM range(30) r(generation) JOIN e ON day <= generation) WHERE k = 1)"""
+_DIFF = "CASE WHEN y.path IS NULL THEN 'removed' WHEN x.path IS NULL THEN 'added' WHEN x.hash = y.hash AND x.size = y.size THEN 'unchanged' ELSE 'modified' END"
+_CUTS = f"""o AS (SELECT row_number() OVER (ORDER BY "offset") AS i, "offset" + len + {S.BLOCK_HEADER_SIZE} AS boundary FROM b),
+r(i, start, n, cut) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT) UNION ALL
+  SELECT o.i, CASE WHEN boundary - start >= {VOLUME} THEN boundary ELSE start END, n + CASE WHEN boundary - start >= {VOLUME} THEN 1 ELSE 0 END, CASE WHEN boundary - start >= {VOLUME} THEN boundary END
+  FROM r JOIN o ON o.i = r.i + 1),
+cuts AS (SELECT n AS volume_no, cut FROM r WHERE cut IS NOT NULL)"""
+_STATS = "SELECT count(*) AS block_count, count(DISTINCT hash) AS unique_blocks, CAST(sum(len) AS BIGINT) AS input_bytes, CAST((SELECT sum(len) FROM (SELECT hash, min(len) AS len FROM {t} GROUP BY hash)) AS BIGINT) AS unique_bytes, CAST(sum(len) - (SELECT sum(len) FROM (SELECT hash, min(len) AS len FROM {t} GROUP BY hash)) AS BIGINT) AS dedup_savings FROM {t}"
+
+
+def _values(rows: list, *names: str) -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    return f"v({', '.join(names)}) AS (VALUES {', '.join('(' + ', '.join(map(quote, r if isinstance(r, tuple) else (r,))) + ')' for r in rows)})"
+
+
+def oracle_sql() -> dict[str, str]:
+    bad = "d AS (SELECT *, block_seq // 10 AS group_id, block_seq % 13 = 0 AS corrupted FROM b)"
+    versions_sql = lambda c: f"list_filter(list_transform(string_split({c}, '.'), lambda x: TRY_CAST(x AS BIGINT)), lambda x: x IS NOT NULL)"
+    size = r"regexp_extract(text, '^\s*([0-9]+(?:\.[0-9]+)?)\s*[KMGkmg]?\s*$', 1)"
+    return {
+        "dedup_block_refs": f'WITH {_B} SELECT c.seq, c.hash, c.len, c.seq = b.seq AS is_new, b."offset" FROM c JOIN b USING (hash)',
+        "dedup_unique_blocks": f"WITH {_B} SELECT * FROM b",
+        "dedup_stats": f"WITH {_C} {_STATS.format(t='c')}",
+        "dedup_cap_overflow": f"WITH {_C}, f AS (SELECT hash, row_number() OVER (ORDER BY min(seq)) AS r, count(*) AS uses FROM c GROUP BY hash) SELECT CAST(sum(CASE WHEN r <= {CAP} THEN 1 ELSE uses END) AS BIGINT) AS written, CAST(sum(CASE WHEN r <= {CAP} THEN uses - 1 ELSE 0 END) AS BIGINT) AS hits, CAST(sum(CASE WHEN r <= {CAP} THEN 0 ELSE uses END) AS BIGINT) AS overflow FROM f",
+        "block_offsets": f'WITH {_B} SELECT block_seq, hash, "offset" FROM b',
+        "ecc_group_plan": f"WITH {_B} SELECT block_seq // 10 AS group_id, count(*) AS shards, max(len) AS shard_size, CAST(sum(len) AS BIGINT) AS data_bytes FROM b GROUP BY 1",
+        "ecc_overhead": "WITH v(level, parity) AS (VALUES ('low', 2), ('Medium', 4), ('med', 4), ('high', 6), ('none', 0), ('OFF', 0), ('odd', NULL)) SELECT level, coalesce(parity, -1) AS parity, coalesce(CAST(parity * 10 AS DOUBLE), -1) AS overhead FROM v",
+        "fixed_chunks": f"WITH {_K} SELECT seq, pos, sha256(chunk) AS hash, CAST(strlen(chunk) AS BIGINT) AS len FROM k",
+        "chunk_dedup_stats": f"WITH {_K}, c AS (SELECT sha256(chunk) AS hash, CAST(strlen(chunk) AS BIGINT) AS len FROM k) {_STATS.format(t='c')}",
+        "manifest_refs": f"WITH {_K} SELECT seq, count(*) AS n_refs, sha256(string_agg(sha256(chunk), '' ORDER BY pos)) AS fingerprint FROM k GROUP BY seq",
+        "extract_roundtrip": "SELECT doc_id AS seq, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS size FROM documents WHERE text <> ''",
+        "cat_one": "SELECT doc_id AS seq, text AS content FROM documents WHERE doc_id = 7",
+        "list_short": "SELECT CAST(doc_id AS VARCHAR) AS path FROM documents",
+        "list_long": "SELECT o_orderkey AS path, CASE WHEN o_orderkey % 7 = 0 THEN 'd' WHEN o_orderkey % 11 = 0 THEN 'l' ELSE '-' END AS type, printf('%o', o_orderkey % 4096) AS mode FROM orders",
+        "archive_info": f"WITH {_C} SELECT count(*) AS files, CAST(sum(len) AS BIGINT) AS original_bytes, count(DISTINCT hash) AS unique_blocks, max(len) AS largest FROM c",
+        "archive_flags": "SELECT range AS flags, CASE WHEN range = 0 THEN 'none' ELSE concat_ws(', ', CASE WHEN range & 1 <> 0 THEN 'encrypted' END, CASE WHEN range & 2 <> 0 THEN 'erasure-coded' END, CASE WHEN range & 4 <> 0 THEN 'append-only' END, CASE WHEN range & 8 <> 0 THEN 'incremental' END) END AS names FROM range(16)",
+        "generation_log": f"WITH {_G} SELECT generation, count(*) AS files, CAST(sum(size) AS BIGINT) AS total_size FROM g GROUP BY 1",
+        "generation_at": f"WITH {_G} SELECT path, hash, size FROM g WHERE generation = 12",
+        "generation_diff": f"WITH {_G}, x AS (SELECT * FROM g WHERE generation = 3), y AS (SELECT * FROM g WHERE generation = 20) SELECT coalesce(x.path, y.path) AS path, {_DIFF} AS change FROM x FULL JOIN y ON x.path = y.path",
+        "diff_summary": f"WITH {_V} SELECT {_DIFF} AS change, count(*) AS n FROM a x FULL JOIN b y ON x.path = y.path GROUP BY 1",
+        "append_new_blocks": f"WITH {_G}, h AS (SELECT generation, hash, count(*) AS refs FROM g GROUP BY ALL) SELECT h.generation, CAST(sum(CASE WHEN p.hash IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS new_blocks, CAST(sum(CASE WHEN p.hash IS NULL THEN h.refs - 1 ELSE h.refs END) AS BIGINT) AS reused FROM h LEFT JOIN h p ON p.generation + 1 = h.generation AND p.hash = h.hash GROUP BY 1",
+        "incremental_refs": f"WITH {_C}, n AS (SELECT hash, min(seq) AS base_seq FROM c WHERE seq % 3 = 0 GROUP BY hash) SELECT c.seq, c.hash, c.len AS size, coalesce(base_seq, -1) AS base_seq, base_seq IS NOT NULL AS external FROM c LEFT JOIN n USING (hash) WHERE seq % 3 <> 0",
+        "incremental_stats": f"WITH {_C}, n AS (SELECT DISTINCT hash, 1 AS ext FROM c WHERE seq % 3 = 0) SELECT count(*) AS files, count(ext) AS reused, count(DISTINCT CASE WHEN ext IS NULL THEN hash END) AS new_blocks, CAST(sum(len) AS BIGINT) AS input_bytes FROM c LEFT JOIN n USING (hash) WHERE seq % 3 <> 0",
+        "incremental_new_blocks": f"WITH {_C} SELECT hash, min(seq) AS seq FROM c WHERE seq % 3 <> 0 AND hash NOT IN (SELECT hash FROM c WHERE seq % 3 = 0) GROUP BY hash",
+        "merge_winners": f"WITH {_W} SELECT * FROM w",
+        "merge_conflicts": f"WITH {_V} SELECT count(*) AS overlaps, count(*) FILTER (b.mtime >= a.mtime) AS conflicts FROM a JOIN b USING (path)",
+        "merge_blocks": f"WITH {_W} SELECT hash, min(src) AS src FROM (SELECT hash, 'a' AS src FROM a UNION ALL SELECT hash, 'b' FROM b) WHERE hash IN (SELECT hash FROM w) GROUP BY hash",
+        "split_points": f"WITH RECURSIVE {_B}, {_CUTS} SELECT * FROM cuts",
+        "volume_assignment": f'WITH RECURSIVE {_B}, {_CUTS} SELECT 1 + (SELECT count(*) FROM cuts WHERE cut <= b."offset") AS volume_no, count(*) AS blocks, CAST(sum(len) AS BIGINT) AS bytes, min("offset") AS first_offset FROM b GROUP BY 1',
+        "verify_damage_map": f"WITH {_B}, {bad} SELECT c.seq, d.block_seq FROM c JOIN d USING (hash) WHERE corrupted",
+        "verify_recoverable": f"WITH {_B}, {bad}, g AS (SELECT group_id, count(*) FILTER (corrupted) AS c FROM d GROUP BY 1) SELECT CAST(sum(c) AS BIGINT) AS corrupted, CAST(sum(CASE WHEN c BETWEEN 1 AND {PARITY} THEN c ELSE 0 END) AS BIGINT) AS recoverable FROM g",
+        "ecc_islands": f"WITH {_B} SELECT block_seq // 10 AS group_no, count(*) AS data, CASE WHEN count(*) = 10 THEN 2 ELSE 0 END::BIGINT AS parity FROM b GROUP BY 1",
+        "merkle_root": f"""WITH RECURSIVE {_B}, l(n, h) AS (SELECT count(*), list(hash ORDER BY block_seq) FROM b WHERE block_seq < 1000 UNION ALL
+            SELECT (n + 1) // 2, list_transform(range(1, (n + 1) // 2 + 1), lambda i: CASE WHEN 2 * i <= n THEN sha256(h[2 * i - 1] || h[2 * i]) ELSE h[2 * i - 1] END) FROM l WHERE n > 1)
+            SELECT h[1] AS root FROM l WHERE n = 1""",
+        "path_safety": f"WITH {_values(_PATHS, 'path')} SELECT path, NOT (regexp_matches(path, '^[/\\\\]') OR list_contains(string_split_regex(path, '[/\\\\]'), '..')) AS safe, regexp_replace(replace(path, '\\', '/'), '^/+', '') AS normal FROM v",
+        "size_parse": f"WITH {_values(_SIZES, 'text')} SELECT text, coalesce(CAST(floor(TRY_CAST({size} AS DOUBLE) * CASE upper(regexp_extract(text, '([KMGkmg])\\s*$', 1)) WHEN 'K' THEN 1024 WHEN 'M' THEN 1048576 WHEN 'G' THEN 1073741824 ELSE 1 END) AS BIGINT), -1) AS bytes FROM v",
+        "version_compare": f'WITH {_values(_VERSIONS, "current", "other")} SELECT "current", other, {versions_sql("other")} > {versions_sql(chr(34) + "current" + chr(34))} AS newer FROM v'.replace("v(current", 'v("current"'),
+        "url_versions": "WITH v(url, version) AS (VALUES ('https://x.example/releases/v1.2.3', '1.2.3'), ('https://x.example/releases/latest', NULL), ('https://x.example/tag/0.7', '0.7')) SELECT * FROM v",
+        "page_formats": "SELECT CASE WHEN strlen(html) < 4 THEN 'none' WHEN substr(html, 258, 5) = 'ustar' THEN 'tar' ELSE 'none' END AS format, count(*) AS n FROM pages GROUP BY 1",
+        "lineitem_dedup": "SELECT sha256(concat_ws('|', l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d'), CAST(CAST(l_quantity AS INTEGER) AS VARCHAR))) AS hash, count(*) AS uses, min(l_orderkey) AS first_seq, CAST(sum(l_linenumber) AS BIGINT) AS bytes FROM lineitem GROUP BY 1",
+        "content_roundtrip": "SELECT doc_id AS seq, sha256(text) AS hash FROM documents WHERE text <> ''",
+        "codec_roundtrip": f"WITH {_K} SELECT DISTINCT sha256(chunk) AS hash, true AS intact, CAST(strlen(chunk) AS BIGINT) AS len FROM k",
+        "parity_repair": f"WITH {_B} SELECT block_seq, true AS repaired, hash FROM b WHERE block_seq % 10 IN (2, 7)",
+    }
