@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from blockloom.llm.common import LOWER_AZ, emit, id_and_text, slices, store
 from blockloom.llm.components import connected_components
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -222,9 +222,9 @@ def _plausible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets link."""
-    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    """Pairs (a, b) whose whole sets link. Each side's sets are cut to that side's nodes before they move."""
+    a = _among(sets, "node", pairs.select(F.col("a").alias("side")).distinct(), "side").select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    b = _among(sets, "node", pairs.select(F.col("b").alias("side")).distinct(), "side").select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(b, "b").join(a, "a").filter(both * (100 + percent) >= (F.size("sa") + F.size("sb")) * percent).select("a", "b")
 
