@@ -15,11 +15,13 @@ import unicodedata
 
 import numpy as np
 
+from blockloom.llm.common import hold
+
 #: The pre-tokenizer of byte-level BPE, with Unicode's White_Space property written out.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PRETOKEN = " ?[{L}]+| ?[{N}]+|'(?:[stmd]|re|ve|ll)| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 #: Pre-tokens remembered by a worker before its memory of them is emptied.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 
 
 def _category_ranges(letter: str, top: int) -> str:
@@ -177,5 +179,11 @@ class Encoder:
 
 
 @functools.cache
-def encoder(path: str) -> Encoder:
+def _encoder(path: str) -> Encoder:
     return Encoder(path)
+
+
+def encoder(path: str) -> Encoder:
+    """This worker's encoder."""
+    hold("bpe", _encoder.cache_clear)
+    return _encoder(path)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,22 @@ LOWER_AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
+#: What the operator that runs in this worker remembers, and how to forget it.
+_HELD: dict[str, Callable[[], object]] = {}
+
+
+def hold(name: str, forget: Callable[[], object] = int) -> None:
+    """At a task's start: a reused worker forgets what other operators remember, and gives that memory back."""
+    others = [k for k in _HELD if k != name]
+    for k in others:
+        _HELD.pop(k)()
+    if others:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    _HELD[name] = forget
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

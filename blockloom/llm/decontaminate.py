@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import LOWER_AZ, id_and_text, slices
+from blockloom.llm.common import LOWER_AZ, hold, id_and_text, slices
 
 #: Bytes that are no part of a word become blanks; A-Z become a-z. The rest is as it is.
 WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 32 for b in LOWER_AZ)
@@ -243,6 +243,7 @@ def _pass(docs: DataFrame, rows: list[tuple], size: int, shard_words: int, keep_
     windows = docs.sparkSession.sparkContext.broadcast(Windows.of(rows, size))
 
     def run(batches):
+        hold("decontaminate")
         known = windows.value
         shard: list[tuple] = []
         n = 0

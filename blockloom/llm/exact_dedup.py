@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import BLANKS, emit, id_and_text, slices, store
+from blockloom.llm.common import BLANKS, emit, hold, id_and_text, slices, store
 
 LOCAL = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("norm", pa.binary()), ("size", pa.int64()), ("points", pa.int64()), ("keep_id", pa.int64())])
 MERGED = pa.schema([("part", pa.int64()), ("keep_part", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("text_sha256", pa.string())])
@@ -52,6 +52,7 @@ def _better(a: tuple, b: tuple) -> bool:
 
 def _local(batches):
     """Rows of one task. part: number of a group of equal texts; its text stands in the row that stays."""
+    hold("dedup")
     number = TaskContext.get().partitionId() << 36
     for b in slices(batches, 16 << 20):
         texts = ["" if t is None else t for t in b.column("text").to_pylist()]
@@ -81,6 +82,7 @@ def _local(batches):
 
 def _merge(batches):
     """Join the parts of one radix bucket. Equal texts collapse as batches arrive: memory holds distinct texts."""
+    hold("dedup")
     kept: list[bytes] = []
     state: list[list] = []  # of each kept text: rows, (points, doc_id, part)
     part_of: list[list[int]] = []

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import LOWER_AZ, emit, id_and_text, slices, store
+from blockloom.llm.common import LOWER_AZ, emit, hold, id_and_text, slices, store
 from blockloom.llm.components import connected_components
 
 CACHE_WORDS = 400_000
@@ -84,6 +84,7 @@ FULL = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 def _measure(words: int, bits: int, batches):
     """Size and digest of every set, then this task's counts of shingles by their first bits."""
+    hold("jaccard", _HASHES.clear)
     sketch = np.zeros(1 << bits, np.uint32)
     shift = np.uint64(64 - bits)
     for b in slices(batches):
@@ -117,6 +118,7 @@ def _sketch(parts: DataFrame) -> np.ndarray:
 
 
 def _prefixes(words: int, percent: int, shared, batches):
+    hold("jaccard", _HASHES.clear)
     counts = shared.value
     shift = np.uint64(64 - int(len(counts)).bit_length() + 1)
     for b in slices(batches):
@@ -133,6 +135,7 @@ def _prefixes(words: int, percent: int, shared, batches):
 
 
 def _sets(words: int, batches):
+    hold("jaccard", _HASHES.clear)
     for b in slices(batches):
         yield emit(FULL, node=b.column("doc_id"), shingles=[shingle_set(t, words).view(np.int64) for t in b.column("text").to_pylist()])
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import emit, id_and_text, slices, texts_of
+from blockloom.llm.common import emit, hold, id_and_text, slices, texts_of
 
 OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
 UNKNOWN = "und"
@@ -161,6 +161,7 @@ _SCORERS: dict[str, Scorer] = {}
 
 
 def _predict(shared, key: str, unsure: float, batches):
+    hold("language", _SCORERS.clear)
     if key not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[key] = Scorer(shared.value)

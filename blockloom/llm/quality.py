@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import emit, id_and_text, slices, texts_of
+from blockloom.llm.common import emit, hold, id_and_text, slices, texts_of
 from blockloom.llm.language import held_out
 
 OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: The word bigram of a word and itself is one feature for all words, so that stutter is learned as such; it
 #: counts as often as a usual word has features.
 SAME = "\0same"
@@ -108,6 +108,7 @@ _MEMORY: dict[str, _Words] = {}
 
 
 def _score(shared, key: str, batches):
+    hold("quality", _MEMORY.clear)
     if key not in _MEMORY:
         _MEMORY.clear()
         _MEMORY[key] = _Words(shared.value)
