@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from blockloom import schema as S
 from blockloom.functions import scalar
-from blockloom.operators import chunk, codec, dedup, ecc, versions
+from blockloom.operators import chunk, codec, dedup, ecc, versions, volumes
+from blockloom.sources.files import read_tars
+from blockloom.sources.restore import write_entries
 
 
 @dataclass(frozen=True)
@@ -103,14 +105,18 @@ class Archive:
         files = self.manifest(generation).filter("kind = 'file'")
         if path is not None:
             files = files.filter(scalar.normal_path(F.col("path")) == scalar.normal_path(F.lit(path)))
-        refs = files.select("path", F.posexplode("block_refs").alias("pos", "ref")).select("path", "pos", "ref.*")
+        refs = files.select("seq", "path", F.posexplode("block_refs").alias("pos", "ref")).select("seq", "path", "pos", "ref.*")
         wanted = self._plain().join(refs.select("hash").distinct(), "hash", "left_semi").dropDuplicates(["hash"])
         data = codec.decompress_blocks(wanted)
         rows = refs.join(data, "hash", "left")
         piece = F.when(F.col("intact"), F.substring(F.col("chunk"), F.col("slice_start") + 1, F.col("slice_len"))).otherwise(F.raise_error(F.concat(F.lit("damaged block "), F.col("hash"))))
-        whole = rows.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("pos", piece.alias("piece")))).alias("p"))
+        whole = rows.groupBy("seq", "path").agg(F.sort_array(F.collect_list(F.struct("pos", piece.alias("piece")))).alias("p"))
         content = F.aggregate("p", F.unhex(F.lit("")), lambda acc, x: F.concat(acc, x["piece"]))
-        return files.select("path", "size").join(whole, "path", "left").select("path", F.coalesce(F.when(F.col("p").isNotNull(), content), F.unhex(F.lit(""))).alias("content"))
+        return files.select("seq", "path").join(whole, ["seq", "path"], "left").select("path", F.coalesce(F.when(F.col("p").isNotNull(), content), F.unhex(F.lit(""))).alias("content"))
+
+    def restore(self, folder: str, generation: int | None = None) -> DataFrame:
+        """Write all entries below a folder that every executor sees; kind and count of what was written."""
+        return write_entries(self.manifest(generation), self.extract(generation), folder)
 
     def cat(self, path: str) -> bytes:
         row = self.extract(path=path).first()
@@ -170,14 +176,46 @@ class Archive:
         fixed = ecc.repair_groups(rows.select("group_id", "block_seq", "payload", "size", "intact"), self.parity()).filter("repaired").select("block_seq", F.col("payload").alias("sound"))
         rows = self.blocks().join(fixed, "block_seq", "left").withColumn("payload", F.coalesce("sound", "payload")).drop("sound")
         rows.select(*[c.split()[0] for c in S.BLOCKS.split(", ")]).write.parquet(f"{path}/blocks")
-        for table in ("parity", "manifest"):
-            source = self.parity() if table == "parity" else self.spark.read.schema(S.MANIFEST).parquet(f"{self.path}/manifest")
-            writer = source.write.partitionBy("generation") if table == "manifest" else source.write
-            writer.parquet(f"{path}/{table}")
-        self.spark.read.json(f"{self.path}/meta").write.json(f"{path}/meta")
+        self._copy(path, "parity", "manifest", "meta")
         return Archive(self.spark, path)
 
 
+    # ---- volumes ----
+
+    def split(self, folder: str, max_size: int) -> int:
+        """Write volumes of about max_size stored bytes and the other tables below folder; how many volumes there are."""
+        sizes = self.blocks().select("hash", "block_seq", F.col("compressed_size").alias("len"))
+        placed = dedup.running(sizes, "block_seq", {"offset": F.col("len") + S.BLOCK_HEADER_SIZE}, 1 << 20)
+        numbers = volumes.assign(placed, volumes.split_points(placed, max_size)).select("hash", "volume_no")
+        self.blocks().join(numbers, "hash").repartition("volume_no").write.partitionBy("volume_no").parquet(f"{folder}/volumes")
+        found = volumes.inventory(self.spark, folder)
+        found.write.parquet(f"{folder}/inventory")
+        self._copy(folder, "manifest", "parity", "meta")
+        return found.count()
+
+    def _copy(self, path: str, *tables: str) -> None:
+        if "parity" in tables and self.options.parity:
+            self.parity().write.parquet(f"{path}/parity")
+        if "manifest" in tables:
+            self.spark.read.schema(S.MANIFEST).parquet(f"{self.path}/manifest").write.partitionBy("generation").parquet(f"{path}/manifest")
+        if "meta" in tables:
+            self.spark.read.json(f"{self.path}/meta").write.json(f"{path}/meta")
+
+
+def join(spark: SparkSession, folder: str, path: str) -> Archive:
+    """The archive whose volumes lie below folder, as one at path. A missing or short volume raises."""
+    volumes.check(spark, folder)
+    columns = [c.split()[0] for c in S.BLOCKS.split(", ")]
+    spark.read.parquet(f"{folder}/volumes").select(*columns).write.parquet(f"{path}/blocks")
+    Archive(spark, folder)._copy(path, "manifest", "parity", "meta")
+    return Archive(spark, path)
+
+
+def convert(spark: SparkSession, tar: str, path: str, options: Options | None = None) -> Archive:
+    """An archive of the entries of one tar, tar.gz or tar.zst file; without parity unless options ask for it."""
+    return Archive.create(read_tars(spark, tar).drop("tar"), path, options or Options(ecc="none"))
+
+
 def merge(a: Archive, b: Archive, path: str) -> Archive:
     """Entries of both, the newer one where both have a path (a tie: a's); blocks are copied as stored."""
     if any(x.flags & (S.ENCRYPTED | S.INCREMENTAL) for x in (a, b)):

@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from blockloom.operators import chunk, codec, dedup, ecc, merkle
-from blockloom.operators.archive import Archive, Options, merge
+from blockloom.operators.archive import Archive, Options, convert, join, merge
 from blockloom.sources import files as sources
 
 SMALL = Options(least=64, average=256, most=1024)
@@ -137,6 +137,47 @@ def test_tar_sources(spark, tmp_path):
     assert sorted((r.path, bytes(r.content)) for r in rows) == sorted([("hello.txt", b"hi"), ("d/second.txt", b"two")] * 2)
 
 
+def test_convert_and_restore(spark, tmp_path):
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as tar:
+        for name, data, kind in (("d", b"", tarfile.DIRTYPE), ("d/one.txt", b"one" * 500, tarfile.REGTYPE), ("empty", b"", tarfile.REGTYPE), ("d/link", b"", tarfile.SYMTYPE)):
+            info = tarfile.TarInfo(name)
+            info.size, info.type, info.mtime, info.mode, info.linkname = len(data), kind, 1_600_000_000, 0o750, "../empty" if kind == tarfile.SYMTYPE else ""
+            tar.addfile(info, io.BytesIO(data))
+    a = convert(spark, str(tmp_path / "a.tar.gz"), str(tmp_path / "archive"))
+    out = tmp_path / "out"
+    assert {r.kind: r.n for r in a.restore(str(out)).collect()} == {"dir": 1, "file": 2, "symlink": 1}
+    assert (out / "d/one.txt").read_bytes() == b"one" * 500 and (out / "empty").read_bytes() == b""
+    assert os.readlink(out / "d/link") == "../empty"
+    assert (out / "d").stat().st_mtime == (out / "d/one.txt").stat().st_mtime == 1_600_000_000 and (out / "d/one.txt").stat().st_mode & 0o777 == 0o750
+    assert sorted(os.listdir(out)) == ["d", "empty"]
+
+
+@pytest.mark.parametrize("path,kind,target", [("../x", "file", None), ("/x", "file", None), ("d/l", "symlink", "../../x"), ("l", "symlink", "/etc/passwd")])
+def test_restore_refuses_to_leave(spark, tmp_path, path, kind, target):
+    rows = spark.createDataFrame([(1, path, kind, target, bytearray(b"x"))], "seq long, path string, kind string, target string, content binary")
+    with pytest.raises(ValueError):
+        Archive.create(rows, str(tmp_path / "a"), SMALL).restore(str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+
+
+def test_split_and_join(spark, base, tmp_path):
+    import shutil
+
+    data, a = base
+    n = a.split(str(tmp_path / "v"), 2048)
+    assert n >= 3
+    assert contents(join(spark, str(tmp_path / "v"), str(tmp_path / "j")).extract()) == data
+    shutil.rmtree(tmp_path / "v" / "volumes" / "volume_no=2")
+    with pytest.raises(ValueError, match="1 volumes"):
+        join(spark, str(tmp_path / "v"), str(tmp_path / "k"))
+
+
+def test_same_path_from_two_sources(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "p", bytearray(b"a" * 3000)), (2, "p", bytearray(b"b" * 3000))], SCHEMA)
+    got = Archive.create(rows, str(tmp_path / "t"), SMALL).extract().collect()
+    assert sorted(bytes(r.content) for r in got) == [b"a" * 3000, b"b" * 3000]
+
+
 def test_walk(spark, tmp_path):
     for name, text in ((".gitignore", "*.log\n"), ("keep.txt", "k"), ("drop.log", "d"), (".git/config", "c"), ("sub/x", "x")):
         (tmp_path / name).parent.mkdir(exist_ok=True)
