@@ -78,6 +78,20 @@ def checksum_line(line: Column) -> Column:
     return F.struct(F.lower(parts[0]).alias("hash"), F.regexp_replace(F.trim(F.try_element_at(parts, F.lit(2))), r"^\*", "").alias("name"))
 
 
+def short_checksum(content: Column) -> Column:
+    """The first eight bytes of the SHA-256, in hex."""
+    return F.substring(F.sha2(content, 256), 1, 16)
+
+
+def ratio(whole: Column, stored: Column) -> Column:
+    """How many times smaller; null where nothing is stored."""
+    return F.when(stored > 0, whole.cast("double") / stored.cast("double"))
+
+
+def megabytes_per_second(n: Column, seconds: Column) -> Column:
+    return F.when(seconds > 0, n.cast("double") / F.lit(1048576.0) / seconds)
+
+
 def codec_id(name: Column) -> Column:
     out = F.lit(None).cast("int")
     for k, v in S.CODECS.items():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from blockloom import schema as S
 from blockloom.functions import scalar
 from blockloom.operators import chunk, codec, dedup, ecc, merkle, versions, volumes
-from blockloom.sources.files import table_files
+from blockloom.operators.archive import Archive, Options
+from blockloom.sources.files import scratch_dir, table_files
+from blockloom.sources.restore import link_stays_inside
 
 CHUNK, CAP, VOLUME, PARITY = 1024, 100, 200_000, 2
 
@@ -253,6 +256,81 @@ def url_versions(s, d):
     return s.createDataFrame(rows, "url string").select("url", scalar.version_from_url(F.col("url")).alias("version"))
 
 
+_NAMES = ["zstd", "ZSTANDARD", "lz4", "none", "Store", "brotli", ""]
+_LINES = ["AB12  tool.tar.gz", "cd34 *tool.zip", "ef56", " 7890\tname with blanks "]
+_LINKS = [("a/l", "../b"), ("a/l", "../../b"), ("l", "b/../c"), ("l", "/etc/passwd"), ("a/b/l", "./../../../x"), ("l", "..")]
+
+
+def codec_names(s, d):
+    """Ids of codec names (-1: unknown) and the names of ids."""
+    names = s.createDataFrame([(x,) for x in _NAMES], "name string")
+    return names.select("name", F.coalesce(scalar.codec_id(F.col("name")), F.lit(-1)).alias("codec"), F.coalesce(scalar.codec_name(scalar.codec_id(F.col("name"))), F.lit("unknown")).alias("canonical"))
+
+
+def checksum_lines(s, d):
+    lines = s.createDataFrame([(x,) for x in _LINES], "line string")
+    return lines.select("line", scalar.checksum_line(F.col("line")).alias("c")).select("line", "c.hash", F.coalesce("c.name", F.lit("")).alias("name"))
+
+
+def link_escape(s, d):
+    """Whether a link stays below the root that it is restored to."""
+    return s.createDataFrame(_LINKS, "path string, target string").select("path", "target", link_stays_inside(F.col("path"), F.col("target")).alias("inside"))
+
+
+def size_format(s, d):
+    """Customers' numbers cubed as sizes in binary units."""
+    n = F.col("c_custkey") * F.col("c_custkey") * F.col("c_custkey")
+    return _read(s, d, "customer").select("c_custkey", scalar.format_size(n).alias("text"))
+
+
+def volume_names(s, d):
+    return _read(s, d, "supplier").select("s_suppkey", scalar.volume_name(F.lit("set"), F.col("s_suppkey"), F.lit(".blk")).alias("name"))
+
+
+def eta_texts(s, d):
+    """Time left after a job's first parts, as text ('' below a tenth)."""
+    o = _read(s, d, "orders")
+    return o.select("o_orderkey", F.coalesce(scalar.eta_text(F.col("o_orderkey") % 100 + 1, F.lit(100), F.col("o_custkey")), F.lit("")).alias("eta"))
+
+
+def header_checksum(s, d):
+    """The first eight bytes of each text's hash, as a header keeps them."""
+    return _read(s, d, "documents").select("doc_id", scalar.short_checksum(F.col("text")).alias("checksum"))
+
+
+def throughput(s, d):
+    """Ratio of distinct to whole bytes, and MB for each second of a given time, by source of the documents."""
+    docs = _read(s, d, "documents").select("source", F.sha2("text", 256).alias("hash"), F.octet_length("text").cast("long").alias("len"))
+    blocks = docs.groupBy("source", "hash").agg(F.sum("len").alias("bytes"), F.min("len").alias("len"))
+    sums = blocks.groupBy("source").agg(F.sum("bytes").alias("input_bytes"), F.sum("len").alias("unique_bytes"))
+    return sums.select("source", "input_bytes", "unique_bytes", scalar.ratio(F.col("input_bytes"), F.col("unique_bytes")).alias("ratio"), scalar.megabytes_per_second(F.col("input_bytes"), F.lit(2.0)).alias("mb_per_second"))
+
+
+def slice_bounds(s, d):
+    """Slices of blocks: those that reach past the block's end are told, others are cut."""
+    f = _files(s, d).select("seq", "content", F.length("content").alias("n"), (F.col("seq") * 37 % 500).cast("int").alias("start"))
+    inside = F.col("start") + 400 <= F.col("n")
+    return f.select("seq", inside.alias("inside"), F.when(inside, F.sha2(F.substring(F.col("content"), F.col("start") + 1, F.lit(400)), 256)).otherwise("").alias("hash"))
+
+
+def block_source(s, d):
+    """Where an incremental archive's references lead: to the base, or to its own blocks."""
+    return incremental_refs(s, d).groupBy(F.when(F.col("external"), "base").otherwise("own").alias("source")).agg(F.count("*").alias("refs"), F.countDistinct("hash").alias("blocks"))
+
+
+def repair_counts(s, d):
+    """Blocks scanned, damaged, recovered and lost when a group can lose as many as it has parity."""
+    g = _damaged(s, d).groupBy("group_id").agg(F.count("*").alias("n"), F.count_if("corrupted").alias("c"))
+    good = F.col("c") <= PARITY
+    return g.agg(F.sum("n").alias("scanned"), F.sum("c").alias("corrupted"), F.sum(F.when(good, F.col("c")).otherwise(0)).alias("recovered"), F.sum(F.when(good, 0).otherwise(F.col("c"))).alias("lost"))
+
+
+def verify_files(s, d):
+    """Each file that a damaged block touches, once, with how many such blocks it has."""
+    bad = _damaged(s, d).filter("corrupted").select("hash")
+    return _chunks(s, d).join(bad, "hash").groupBy("seq").agg(F.count("*").alias("bad_blocks"))
+
+
 def page_formats(s, d):
     """Magic-byte detection over page bytes."""
     return _read(s, d, "pages").groupBy(F.coalesce(scalar.legacy_format(F.encode("html", "UTF-8")), F.lit("none")).alias("format")).agg(F.count("*").alias("n"))
@@ -277,6 +355,13 @@ def content_roundtrip(s, d):
     return c.select("seq", F.sha2(whole, 256).alias("hash"))
 
 
+def archive_roundtrip(s, d):
+    """Documents written as an archive and read back from it."""
+    files = _files(s, d).select("seq", "path", F.encode("content", "UTF-8").alias("content"))
+    archive = Archive.create(files, f"{scratch_dir(s)}/{uuid.uuid4().hex}/archive", Options(least=256, average=1024, most=4096))
+    return archive.extract().select("path", F.sha2("content", 256).alias("hash"), F.octet_length("content").cast("long").alias("size"))
+
+
 def codec_roundtrip(s, d):
     c = chunk.fixed_chunks(_files(s, d), CHUNK).groupBy("hash").agg(F.min("chunk").alias("chunk"))
     return codec.decompress_blocks(codec.compress_blocks(c)).select("hash", "intact", F.octet_length("chunk").cast("long").alias("len"))
@@ -311,6 +396,8 @@ _W = f"""{_V}, w AS (SELECT path, src, mtime, hash, size FROM (SELECT *, row_num
      FROM (SELECT 'a' AS src, * FROM a UNION ALL SELECT 'b', * FROM b)) WHERE k = 1)"""
 _G = """e AS (SELECT user_id AS path, datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day, ts, event_id, sha256(concat_ws('|', event_type, props)) AS hash, CAST(strlen(concat_ws('|', event_type, props)) AS BIGINT) AS size FROM events),
 g AS (SELECT generation, path, hash, size FROM (SELECT generation, e.*, row_number() OVER (PARTITION BY generation, path ORDER BY ts DESC, event_id DESC) AS k FROM range(30) r(generation) JOIN e ON day <= generation) WHERE k = 1)"""
+_DEPTH = """p AS (SELECT path, target, list_filter(string_split(regexp_replace(path, '[^/]*$', '') || target, '/'), lambda x: x NOT IN ('', '.')) AS c FROM v),
+w AS (SELECT path, target, list_transform(range(1, len(c) + 1), lambda i: list_sum(list_transform(c[1:i], lambda x: CASE WHEN x = '..' THEN -1 ELSE 1 END))) AS d FROM p)"""
 _DIFF = "CASE WHEN y.path IS NULL THEN 'removed' WHEN x.path IS NULL THEN 'added' WHEN x.hash = y.hash AND x.size = y.size THEN 'unchanged' ELSE 'modified' END"
 _CUTS = f"""o AS (SELECT row_number() OVER (ORDER BY "offset") AS i, "offset" + len + {S.BLOCK_HEADER_SIZE} AS boundary FROM b),
 r(i, start, n, cut) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT) UNION ALL
@@ -371,6 +458,19 @@ def oracle_sql() -> dict[str, str]:
         "url_versions": "WITH v(url, version) AS (VALUES ('https://x.example/releases/v1.2.3', '1.2.3'), ('https://x.example/releases/latest', NULL), ('https://x.example/tag/0.7', '0.7')) SELECT * FROM v",
         "page_formats": "SELECT CASE WHEN strlen(html) < 4 THEN 'none' WHEN substr(html, 258, 5) = 'ustar' THEN 'tar' ELSE 'none' END AS format, count(*) AS n FROM pages GROUP BY 1",
         "lineitem_dedup": "SELECT sha256(concat_ws('|', l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d'), CAST(CAST(l_quantity AS INTEGER) AS VARCHAR))) AS hash, count(*) AS uses, min(l_orderkey) AS first_seq, CAST(sum(l_linenumber) AS BIGINT) AS bytes FROM lineitem GROUP BY 1",
+        "codec_names": f"WITH {_values(_NAMES, 'name')}, i AS (SELECT name, CASE WHEN lower(name) IN ('none', 'store') THEN 0 WHEN lower(name) IN ('zstd', 'zstandard') THEN 1 WHEN lower(name) = 'lz4' THEN 2 ELSE -1 END AS codec FROM v) SELECT name, codec, CASE codec WHEN 0 THEN 'none' WHEN 1 THEN 'zstd' WHEN 2 THEN 'lz4' ELSE 'unknown' END AS canonical FROM i",
+        "checksum_lines": f"WITH {_values(_LINES, 'line')} SELECT line, lower(regexp_extract(trim(line), '^[^\\s]+')) AS hash, regexp_extract(trim(line), '^[^\\s]+\\s+[*]?(.*)$', 1) AS name FROM v",
+        "link_escape": f"WITH {_values(_LINKS, 'path', 'target')}, {_DEPTH} SELECT path, target, target NOT LIKE '/%' AND list_min(d) >= 0 AS inside FROM w",
+        "size_format": "WITH n AS (SELECT c_custkey, c_custkey * c_custkey * c_custkey AS n FROM customer) SELECT c_custkey, CASE WHEN n >= 1099511627776 THEN printf('%.2f TiB', n / 1099511627776.0) WHEN n >= 1073741824 THEN printf('%.2f GiB', n / 1073741824.0) WHEN n >= 1048576 THEN printf('%.2f MiB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.2f KiB', n / 1024.0) ELSE printf('%d B', n) END AS text FROM n",
+        "volume_names": "SELECT s_suppkey, printf('set.%03d.blk', s_suppkey) AS name FROM supplier",
+        "eta_texts": "WITH t AS (SELECT o_orderkey, o_orderkey % 100 + 1 AS k, o_custkey AS s FROM orders), l AS (SELECT o_orderkey, k, CAST(floor(s * (100 - k) / k) AS BIGINT) AS x FROM t) SELECT o_orderkey, CASE WHEN k < 10 THEN '' WHEN x < 60 THEN printf('ETA %ds', x) WHEN x < 3600 THEN printf('ETA ~%dm', x // 60) ELSE printf('ETA ~%dh%02dm', x // 3600, x % 3600 // 60) END AS eta FROM l",
+        "header_checksum": "SELECT doc_id, substr(sha256(text), 1, 16) AS checksum FROM documents",
+        "throughput": "WITH h AS (SELECT source, sum(strlen(text)) AS b, min(strlen(text)) AS l FROM documents GROUP BY source, sha256(text)) SELECT source, CAST(sum(b) AS BIGINT) AS input_bytes, CAST(sum(l) AS BIGINT) AS unique_bytes, CAST(sum(b) AS DOUBLE) / CAST(sum(l) AS DOUBLE) AS ratio, CAST(sum(b) AS DOUBLE) / 1048576.0 / 2.0 AS mb_per_second FROM h GROUP BY source",
+        "slice_bounds": "WITH f AS (SELECT doc_id AS seq, text, doc_id * 37 % 500 AS st, doc_id * 37 % 500 + 400 <= length(text) AS inside FROM documents) SELECT seq, inside, CASE WHEN inside THEN sha256(substring(text, st + 1, 400)) ELSE '' END AS hash FROM f",
+        "block_source": f"WITH {_C}, n AS (SELECT DISTINCT hash, 1 AS ext FROM c WHERE seq % 3 = 0) SELECT CASE WHEN ext = 1 THEN 'base' ELSE 'own' END AS source, count(*) AS refs, count(DISTINCT hash) AS blocks FROM c LEFT JOIN n USING (hash) WHERE seq % 3 <> 0 GROUP BY 1",
+        "repair_counts": f"WITH {_B}, {bad}, g AS (SELECT group_id, count(*) AS n, count(*) FILTER (corrupted) AS c FROM d GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS scanned, CAST(sum(c) AS BIGINT) AS corrupted, CAST(sum(CASE WHEN c <= {PARITY} THEN c ELSE 0 END) AS BIGINT) AS recovered, CAST(sum(CASE WHEN c > {PARITY} THEN c ELSE 0 END) AS BIGINT) AS lost FROM g",
+        "verify_files": f"WITH {_B}, {bad} SELECT c.seq, count(*) AS bad_blocks FROM c JOIN d USING (hash) WHERE corrupted GROUP BY 1",
+        "archive_roundtrip": "SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS size FROM documents",
         "content_roundtrip": "SELECT doc_id AS seq, sha256(text) AS hash FROM documents WHERE text <> ''",
         "codec_roundtrip": f"WITH {_K} SELECT DISTINCT sha256(chunk) AS hash, true AS intact, CAST(strlen(chunk) AS BIGINT) AS len FROM k",
         "parity_repair": f"WITH {_B} SELECT block_seq, true AS repaired, hash FROM b WHERE block_seq % 10 IN (2, 7)",

@@ -7,6 +7,7 @@ import gzip
 import io
 import os
 import tarfile
+import tempfile
 
 import pandas as pd
 import zstandard
@@ -18,6 +19,15 @@ from blockloom.functions import scalar
 FILES = "seq long, path string, kind string, target string, mode int, mtime_ns long, content binary"
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names; an own temporary one only where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = tempfile.mkdtemp(prefix="blockloom-")
+        spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
 def table_files(table: DataFrame, key: str, content: str) -> DataFrame:
     """One file for each row: seq, path, content, size, hash."""
     return table.select(F.col(key).alias("seq"), F.col(key).cast("string").alias("path"), F.col(content).alias("content"), F.octet_length(content).cast("long").alias("size"), F.sha2(content, 256).alias("hash"))
