@@ -148,6 +148,10 @@ def test_jaccard_components(spark, docs, boundary):
     assert [r.component_id for r in got if r.doc_id is None] == [None]
 
 
+def test_jaccard_matches_sql(spark, data):
+    same(spark, data, queries.op4_jaccard_join, queries.oracle_sql()["op4_jaccard_join"])
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
