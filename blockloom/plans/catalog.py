@@ -15,7 +15,7 @@ from blockloom.operators.archive import Archive, Options
 from blockloom.sources.files import scratch_dir, table_files
 from blockloom.sources.restore import link_stays_inside
 
-CHUNK, CAP, VOLUME, PARITY = 1024, 100, 200_000, 2
+CHUNK, CAP, VOLUME, PARITY, RENAMED = 1024, 100, 200_000, 2, 1_000_000_000_000
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -32,10 +32,21 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Two manifests: b lacks every third document of a, and holds some of a's with another time or text."""
-    f = _files(spark, d).select(F.col("seq").alias("path"), "hash", "size", (F.col("seq") * 1000).alias("mtime"))
-    b = f.filter("path % 3 <> 0").withColumns({"mtime": F.expr("mtime + case path % 5 when 0 then 10 when 1 then -10 else 0 end"), "hash": F.when(F.col("path") % 7 == 0, F.sha2(F.concat("hash", F.lit("v2")), 256)).otherwise(F.col("hash"))})
-    return f.filter("path % 4 <> 1"), b
+    """Two manifests of all documents: in b some have another name, another time or another text."""
+    a = _files(spark, d).select(F.col("seq").alias("path"), "hash", "size", (F.col("seq") * 1000).alias("mtime"))
+    b = a.select(
+        F.expr(f"path + case when path % 3 = 0 then {RENAMED} else 0 end").alias("path"),
+        F.when(F.col("path") % 7 == 0, F.sha2(F.concat("hash", F.lit("v2")), 256)).otherwise(F.col("hash")).alias("hash"),
+        "size",
+        F.expr("mtime + case path % 5 when 0 then 10 when 1 then -10 else 0 end").alias("mtime"),
+    )
+    return a, b
+
+
+def _runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All documents as a later run sees them, two thirds of them edited since, and as the base run saw them."""
+    base = _files(spark, d).select("seq", "hash", "size")
+    return base.withColumn("hash", F.when(F.col("seq") % 3 != 0, F.sha2(F.concat("hash", F.lit("v2")), 256)).otherwise(F.col("hash"))), base
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -175,8 +186,7 @@ def append_new_blocks(s, d):
 
 
 def incremental_refs(s, d):
-    f = _files(s, d)
-    r = versions.incremental_refs(f.filter("seq % 3 <> 0"), f.filter("seq % 3 = 0"))
+    r = versions.incremental_refs(*_runs(s, d))
     return r.withColumn("base_seq", F.coalesce("base_seq", F.lit(-1)))
 
 
@@ -186,8 +196,7 @@ def incremental_stats(s, d):
 
 
 def incremental_new_blocks(s, d):
-    f = _files(s, d)
-    return versions.new_blocks(f.filter("seq % 3 <> 0"), f.filter("seq % 3 = 0"))
+    return versions.new_blocks(*_runs(s, d))
 
 
 def merge_winners(s, d):
@@ -228,8 +237,8 @@ def ecc_islands(s, d):
 
 
 def merkle_root(s, d):
-    """Root over the first thousand blocks: hex digests joined and hashed."""
-    b = dedup.unique_blocks(_chunks(s, d)).filter("block_seq < 1000")
+    """Root over all blocks: hex digests joined and hashed."""
+    b = dedup.unique_blocks(_chunks(s, d))
     return merkle.merkle_root(b.select(F.col("block_seq").alias("i"), "hash"))
 
 
@@ -389,9 +398,10 @@ b AS (SELECT c.seq, c.hash, c.len, uses, row_number() OVER (ORDER BY c.seq) - 1
       CAST({S.HEADER_SIZE} + coalesce(sum(c.len + {S.BLOCK_HEADER_SIZE}) OVER (ORDER BY c.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM c JOIN f USING (seq, hash))"""
 _K = f"""k AS (SELECT doc_id AS seq, CAST(i AS INTEGER) AS pos, substring(text, CAST(i * {CHUNK} + 1 AS BIGINT), {CHUNK}) AS chunk
      FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / {CHUNK}.0) AS BIGINT))) AS i FROM documents))"""
-_V = """f AS (SELECT doc_id AS path, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS size, doc_id * 1000 AS mtime FROM documents),
-a AS (SELECT * FROM f WHERE path % 4 <> 1),
-b AS (SELECT path, CASE WHEN path % 7 = 0 THEN sha256(hash || 'v2') ELSE hash END AS hash, size, mtime + CASE path % 5 WHEN 0 THEN 10 WHEN 1 THEN -10 ELSE 0 END AS mtime FROM f WHERE path % 3 <> 0)"""
+_V = f"""f AS (SELECT doc_id AS path, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS size, doc_id * 1000 AS mtime FROM documents),
+a AS (SELECT * FROM f),
+b AS (SELECT path + CASE WHEN path % 3 = 0 THEN {RENAMED} ELSE 0 END AS path, CASE WHEN path % 7 = 0 THEN sha256(hash || 'v2') ELSE hash END AS hash, size, mtime + CASE path % 5 WHEN 0 THEN 10 WHEN 1 THEN -10 ELSE 0 END AS mtime FROM f)"""
+_I = f"""{_C}, x AS (SELECT seq, len, CASE WHEN seq % 3 <> 0 THEN sha256(hash || 'v2') ELSE hash END AS hash FROM c), n AS (SELECT hash, min(seq) AS base_seq FROM c GROUP BY hash)"""
 _W = f"""{_V}, w AS (SELECT path, src, mtime, hash, size FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY mtime DESC, src) AS k
      FROM (SELECT 'a' AS src, * FROM a UNION ALL SELECT 'b', * FROM b)) WHERE k = 1)"""
 _G = """e AS (SELECT user_id AS path, datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day, ts, event_id, sha256(concat_ws('|', event_type, props)) AS hash, CAST(strlen(concat_ws('|', event_type, props)) AS BIGINT) AS size FROM events),
@@ -438,9 +448,9 @@ def oracle_sql() -> dict[str, str]:
         "generation_diff": f"WITH {_G}, x AS (SELECT * FROM g WHERE generation = 3), y AS (SELECT * FROM g WHERE generation = 20) SELECT coalesce(x.path, y.path) AS path, {_DIFF} AS change FROM x FULL JOIN y ON x.path = y.path",
         "diff_summary": f"WITH {_V} SELECT {_DIFF} AS change, count(*) AS n FROM a x FULL JOIN b y ON x.path = y.path GROUP BY 1",
         "append_new_blocks": f"WITH {_G}, h AS (SELECT generation, hash, count(*) AS refs FROM g GROUP BY ALL) SELECT h.generation, CAST(sum(CASE WHEN p.hash IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS new_blocks, CAST(sum(CASE WHEN p.hash IS NULL THEN h.refs - 1 ELSE h.refs END) AS BIGINT) AS reused FROM h LEFT JOIN h p ON p.generation + 1 = h.generation AND p.hash = h.hash GROUP BY 1",
-        "incremental_refs": f"WITH {_C}, n AS (SELECT hash, min(seq) AS base_seq FROM c WHERE seq % 3 = 0 GROUP BY hash) SELECT c.seq, c.hash, c.len AS size, coalesce(base_seq, -1) AS base_seq, base_seq IS NOT NULL AS external FROM c LEFT JOIN n USING (hash) WHERE seq % 3 <> 0",
-        "incremental_stats": f"WITH {_C}, n AS (SELECT DISTINCT hash, 1 AS ext FROM c WHERE seq % 3 = 0) SELECT count(*) AS files, count(ext) AS reused, count(DISTINCT CASE WHEN ext IS NULL THEN hash END) AS new_blocks, CAST(sum(len) AS BIGINT) AS input_bytes FROM c LEFT JOIN n USING (hash) WHERE seq % 3 <> 0",
-        "incremental_new_blocks": f"WITH {_C} SELECT hash, min(seq) AS seq FROM c WHERE seq % 3 <> 0 AND hash NOT IN (SELECT hash FROM c WHERE seq % 3 = 0) GROUP BY hash",
+        "incremental_refs": f"WITH {_I} SELECT x.seq, x.hash, x.len AS size, coalesce(base_seq, -1) AS base_seq, base_seq IS NOT NULL AS external FROM x LEFT JOIN n USING (hash)",
+        "incremental_stats": f"WITH {_I} SELECT count(*) AS files, count(base_seq) AS reused, count(DISTINCT CASE WHEN base_seq IS NULL THEN hash END) AS new_blocks, CAST(sum(len) AS BIGINT) AS input_bytes FROM x LEFT JOIN n USING (hash)",
+        "incremental_new_blocks": f"WITH {_I} SELECT hash, min(seq) AS seq FROM x WHERE hash NOT IN (SELECT hash FROM n) GROUP BY hash",
         "merge_winners": f"WITH {_W} SELECT * FROM w",
         "merge_conflicts": f"WITH {_V} SELECT count(*) AS overlaps, count(*) FILTER (b.mtime >= a.mtime) AS conflicts FROM a JOIN b USING (path)",
         "merge_blocks": f"WITH {_W} SELECT hash, min(src) AS src FROM (SELECT hash, 'a' AS src FROM a UNION ALL SELECT hash, 'b' FROM b) WHERE hash IN (SELECT hash FROM w) GROUP BY hash",
@@ -449,7 +459,7 @@ def oracle_sql() -> dict[str, str]:
         "verify_damage_map": f"WITH {_B}, {bad} SELECT c.seq, d.block_seq FROM c JOIN d USING (hash) WHERE corrupted",
         "verify_recoverable": f"WITH {_B}, {bad}, g AS (SELECT group_id, count(*) FILTER (corrupted) AS c FROM d GROUP BY 1) SELECT CAST(sum(c) AS BIGINT) AS corrupted, CAST(sum(CASE WHEN c BETWEEN 1 AND {PARITY} THEN c ELSE 0 END) AS BIGINT) AS recoverable FROM g",
         "ecc_islands": f"WITH {_B} SELECT block_seq // 10 AS group_no, count(*) AS data, CASE WHEN count(*) = 10 THEN 2 ELSE 0 END::BIGINT AS parity FROM b GROUP BY 1",
-        "merkle_root": f"""WITH RECURSIVE {_B}, l(n, h) AS (SELECT count(*), list(hash ORDER BY block_seq) FROM b WHERE block_seq < 1000 UNION ALL
+        "merkle_root": f"""WITH RECURSIVE {_B}, l(n, h) AS (SELECT count(*), list(hash ORDER BY block_seq) FROM b UNION ALL
             SELECT (n + 1) // 2, list_transform(range(1, (n + 1) // 2 + 1), lambda i: CASE WHEN 2 * i <= n THEN sha256(h[2 * i - 1] || h[2 * i]) ELSE h[2 * i - 1] END) FROM l WHERE n > 1)
             SELECT h[1] AS root FROM l WHERE n = 1""",
         "path_safety": f"WITH {_values(_PATHS, 'path')} SELECT path, NOT (regexp_matches(path, '^[/\\\\]') OR list_contains(string_split_regex(path, '[/\\\\]'), '..')) AS safe, regexp_replace(replace(path, '\\', '/'), '^/+', '') AS normal FROM v",
@@ -467,7 +477,7 @@ def oracle_sql() -> dict[str, str]:
         "header_checksum": "SELECT doc_id, substr(sha256(text), 1, 16) AS checksum FROM documents",
         "throughput": "WITH h AS (SELECT source, sum(strlen(text)) AS b, min(strlen(text)) AS l FROM documents GROUP BY source, sha256(text)) SELECT source, CAST(sum(b) AS BIGINT) AS input_bytes, CAST(sum(l) AS BIGINT) AS unique_bytes, CAST(sum(b) AS DOUBLE) / CAST(sum(l) AS DOUBLE) AS ratio, CAST(sum(b) AS DOUBLE) / 1048576.0 / 2.0 AS mb_per_second FROM h GROUP BY source",
         "slice_bounds": "WITH f AS (SELECT doc_id AS seq, text, doc_id * 37 % 500 AS st, doc_id * 37 % 500 + 400 <= length(text) AS inside FROM documents) SELECT seq, inside, CASE WHEN inside THEN sha256(substring(text, st + 1, 400)) ELSE '' END AS hash FROM f",
-        "block_source": f"WITH {_C}, n AS (SELECT DISTINCT hash, 1 AS ext FROM c WHERE seq % 3 = 0) SELECT CASE WHEN ext = 1 THEN 'base' ELSE 'own' END AS source, count(*) AS refs, count(DISTINCT hash) AS blocks FROM c LEFT JOIN n USING (hash) WHERE seq % 3 <> 0 GROUP BY 1",
+        "block_source": f"WITH {_I} SELECT CASE WHEN base_seq IS NULL THEN 'own' ELSE 'base' END AS source, count(*) AS refs, count(DISTINCT hash) AS blocks FROM x LEFT JOIN n USING (hash) GROUP BY 1",
         "repair_counts": f"WITH {_B}, {bad}, g AS (SELECT group_id, count(*) AS n, count(*) FILTER (corrupted) AS c FROM d GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS scanned, CAST(sum(c) AS BIGINT) AS corrupted, CAST(sum(CASE WHEN c <= {PARITY} THEN c ELSE 0 END) AS BIGINT) AS recovered, CAST(sum(CASE WHEN c > {PARITY} THEN c ELSE 0 END) AS BIGINT) AS lost FROM g",
         "verify_files": f"WITH {_B}, {bad} SELECT c.seq, count(*) AS bad_blocks FROM c JOIN d USING (hash) WHERE corrupted GROUP BY 1",
         "archive_roundtrip": "SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS size FROM documents",
