@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -40,6 +41,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Folders of the tables that store() wrote.
+_STORED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the session names; an own temporary one only where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -54,9 +59,19 @@ def scratch_dir(spark: SparkSession) -> str:
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and retries read the same rows."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{name}")
+    stored = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    _STORED[stored] = folder
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no later plan reads: all that came from them must have been stored already."""
+    for df in tables:
+        jvm, folder = df.sparkSession._jvm, _STORED.pop(df)
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

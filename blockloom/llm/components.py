@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import store
+from blockloom.llm.common import discard, store
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, label) for all ends of edges(a, b): label is the smallest node that can be reached.
+    """(node, label, changed) for all ends of edges(a, b): label is the smallest node that can be reached. A stored table.
 
     Rounds of taking the smallest label beside a node and then that label's own label, until nothing
     changes: about log2 of the longest shortest path. A round is a join and a partial aggregate.
@@ -21,8 +21,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         near = store(near, "near")
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        step = store(step.join(jump, "mid", "left").select("node", "old", F.least("mid", "far").alias("label")), "step")
-        changed = step.filter(F.col("label") != F.col("old")).limit(1).count()
-        labels = step.select("node", "label")
-        if not changed:
+        step = store(step.join(jump, "mid", "left").select("node", F.least("mid", "far").alias("label"), (F.least("mid", "far") != F.col("old")).alias("changed")), "step")
+        discard(near, labels)
+        labels = step
+        if not step.filter("changed").limit(1).count():
+            discard(both)
             return labels

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import LOWER_AZ, emit, hold, id_and_text, slices, store
+from blockloom.llm.common import LOWER_AZ, discard, emit, hold, id_and_text, slices, store
 from blockloom.llm.components import connected_components
 
 CACHE_WORDS = 400_000
@@ -160,7 +160,9 @@ def _sets_of(rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """Whole shingle sets of some nodes (and of few other documents)."""
     wanted = store(nodes.distinct(), "wanted")
     found = _among(rows.filter("doc_id IS NOT NULL").select("doc_id", "text"), "doc_id", wanted, "node")
-    return store(found.mapInArrow(partial(_sets, words), "node long, shingles array<long>"), "sets")
+    sets = store(found.mapInArrow(partial(_sets, words), "node long, shingles array<long>"), "sets")
+    discard(wanted)
+    return sets
 
 
 # ---- candidates -----------------------------------------------------------------------------------
@@ -197,9 +199,12 @@ def _buckets(prefixes: DataFrame, percent: int, boundary: int | None) -> DataFra
     pairs = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.struct(F.xxhash64(x["shingle"], y["shingle"]).alias("key"), x["pos"].alias("pos")))))
     subsets = light.select("node", "n", F.explode(pairs).alias("p")).select("p.key", "node", "n", "p.pos")
     found = store(lists.unionByName(subsets), "keys")
+    discard(live, shared)
     first = F.min(F.struct("node", "n", "pos")).alias("first")
     keys = store(found.groupBy("key").agg(F.count("*").alias("members"), first).filter("members > 1").select("key", "members", F.col("first.node").alias("pivot"), F.col("first.n").alias("pivot_n"), F.col("first.pos").alias("pivot_pos")), "pivots")
-    return store(found.join(keys, "key"), "buckets")
+    buckets = store(found.join(keys, "key"), "buckets")
+    discard(found, keys)
+    return buckets
 
 
 def _may_link(na, pa_, nb, pb, percent: int):
@@ -209,7 +214,7 @@ def _may_link(na, pa_, nb, pb, percent: int):
 
 
 def _plausible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that their first shingles leave possible.
+    """Of stored pairs (a, b) those that their first shingles leave possible; takes their place.
 
     Up to the last shingle that both prefixes hold, all common shingles are known: what stands before it in
     one prefix and not in the other is in one set only.
@@ -221,7 +226,9 @@ def _plausible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame
     both = pairs.join(b, "b").join(a, "a").withColumn("both", F.array_intersect("pa", "pb"))
     last = F.try_element_at("both", F.lit(-1))
     most = F.size("both") + F.least(F.col("na") - F.array_position("pa", last), F.col("nb") - F.array_position("pb", last))
-    return both.filter(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+    left = store(both.filter(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b"), "plausible")
+    discard(pairs, nodes, known)
+    return left
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -272,14 +279,16 @@ def links_in_block(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 def _rest(buckets: DataFrame, labels: DataFrame, prefixes: DataFrame, rows: DataFrame, words: int, percent: int, small: int, block: int) -> DataFrame | None:
     """Links between components that a key still holds together."""
-    named = store(buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+    named = store(buckets.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
     mixed = store(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"), "mixed")
     rest = store(named.join(mixed, "key"), "rest")
+    discard(named, mixed)
     few = rest.filter((F.col("members") <= small) & (F.col("node") > F.col("pivot")))
     other = few.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
     pairs = few.select("key", F.col("node").alias("a"), "n", "pos", "label").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("lb")) & _may_link(F.col("n"), F.col("pos"), F.col("nb"), F.col("pb"), percent))
-    pairs = store(_plausible(store(pairs.select("a", "b").distinct(), "pairs"), prefixes, percent), "pairs")
+    pairs = _plausible(store(pairs.select("a", "b").distinct(), "pairs"), prefixes, percent)
     many = store(rest.filter(F.col("members") > small).select("pivot", "node", "label").distinct(), "many")
+    discard(rest)
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(many.select("node"))
     if not nodes.limit(1).count():
         return None
@@ -294,7 +303,9 @@ def _rest(buckets: DataFrame, labels: DataFrame, prefixes: DataFrame, rows: Data
         return links_in_block(rows, percent)
 
     blocks = dealt.groupBy("pivot", "lo", "hi").applyInPandas(links, "a long, b long")
-    return store(found.union(blocks), "links")
+    both = store(found.union(blocks), "links")
+    discard(pairs, many, sets)
+    return both
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", boundary: int | None = None, sketch_bits: int = 20, small: int = 48, block: int = 256) -> DataFrame:
@@ -317,14 +328,18 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     buckets = _buckets(prefixes, percent, boundary)
     star = buckets.filter((F.col("node") != F.col("pivot")) & _may_link(F.col("n"), F.col("pos"), F.col("pivot_n"), F.col("pivot_pos"), percent))
     star = store(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    star = store(_plausible(star, prefixes, percent), "star")
+    star = _plausible(star, prefixes, percent)
     sets = _sets_of(rows, star.select(F.col("a").alias("node")).union(star.select(F.col("b").alias("node"))), words)
     links = store(_verified(star, sets, percent), "links")
+    discard(star, sets)
     labels = connected_components(links)
     more = _rest(buckets, labels, prefixes, rows, words, percent, small, block)
+    discard(buckets, prefixes)
     if more is not None and more.limit(1).count():
+        discard(labels)
         labels = connected_components(links.union(more))
-    named = store(nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id")), "components")
+    named = store(nodes.join(labels.select("node", "label"), "node", "left").select("digest", F.coalesce("label", "node").alias("component_id")), "components")
+    discard(nodes, labels)
     linked = own.filter("digest IS NOT NULL").join(named, "digest", "left")
     alone = own.filter("digest IS NULL").withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")]
