@@ -7,7 +7,8 @@ n - t + 2.
 
 - Light sets are found by their 2-subsets: every pair of those n - t + 2 shingles is a key.
 - Heavy sets are found by inverted lists: each of the n - t + 1 shingles is a key, for heavy sets
-  and for those light ones that are large enough to link to a heavy one.
+  and for those light ones that are large enough to link to a heavy one. So are sets small enough to
+  link by a single shared shingle (t = 1), which no 2-subset finds.
 - The boundary is the size at which, summed over all sets, 2-subsets cost more keys than the
   list entries and comparisons that they replace.
 
@@ -126,7 +127,7 @@ def _prefixes(words: int, percent: int, shared, batches):
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
             s = shingle_set(text, words)
             n = len(s)
-            if doc is None or n <= needed(n, percent):  # only an equal set can link to it
+            if doc is None or 100 * n < percent * (n + 1):  # only an equal set can link to it, no larger one
                 continue
             k = n - needed(n, percent) + 2
             order = np.argsort(counts[(s >> shift).astype(np.int64)], kind="stable")[:k]  # ties in order of the hash
@@ -194,7 +195,8 @@ def _buckets(prefixes: DataFrame, percent: int, boundary: int | None) -> DataFra
     live = store(_among(posts, "shingle", shared, "shingle").join(shared, "shingle"), "live")
     if boundary is None:
         boundary = _boundary(live, length)
-    lists = live.filter((F.col("n") * 100 >= (boundary + 1) * percent) & (F.col("pos") < length - 1)).select(F.col("shingle").alias("key"), "node", "n", "pos")
+    listed = (F.col("n") * 100 >= (boundary + 1) * percent) | (F.col("n") * percent <= 100)
+    lists = live.filter(listed & (F.col("pos") < length - 1)).select(F.col("shingle").alias("key"), "node", "n", "pos")
     light = live.filter(F.col("n") <= boundary).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "shingle"))).alias("s"))
     pairs = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.struct(F.xxhash64(x["shingle"], y["shingle"]).alias("key"), x["pos"].alias("pos")))))
     subsets = light.select("node", "n", F.explode(pairs).alias("p")).select("p.key", "node", "n", "p.pos")

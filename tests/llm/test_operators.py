@@ -148,6 +148,18 @@ def test_jaccard_components(spark, docs, boundary):
     assert [r.component_id for r in got if r.doc_id is None] == [None]
 
 
+@pytest.mark.parametrize(("words", "percent", "boundary"), [(4, 85, None), (5, 80, 0), (5, 80, 10_000), (3, 50, 10_000)])
+def test_jaccard_of_small_sets(spark, words, percent, boundary):
+    rows = []
+    for n in range(1, 13):
+        for change in (lambda w: ["first", *w], lambda w: [*w, "last"], lambda w: w[1:], lambda w: w[:-1]):
+            base = [f"t{len(rows)}w{k}" for k in range(n + words - 1)]
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(change(base)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.jaccard_components(df, words=words, percent=percent, boundary=boundary).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == links(rows, words, percent)
+
+
 def test_jaccard_matches_sql(spark, data):
     same(spark, data, queries.op4_jaccard_join, queries.oracle_sql()["op4_jaccard_join"])
 
