@@ -7,6 +7,7 @@ words to prime the compressor? Words and identifiers cost little; keys cost as m
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 
@@ -26,6 +27,9 @@ KINDS = ("assign", "access", "hex", "novel")
 #: Words that make a context sensitive, and what may be a secret there.
 SENSITIVE = re.compile(r"(?i:passphrase|passwort|credential|bearer|authorization|private[_ -]?key|access[_ -]?key|signing[_ -]?key|client[_ -]?secret|password|passwd|secret|token|api[_-]?key|auth[_-]key)", re.A)
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=~$!-])[A-Za-z0-9+/_.=~$!-]{16,}+")
+#: What is left of a name and its equals sign, and the parts of a run between equals signs, with their padding.
+NAMED = re.compile(r"[^=]*+=++")
+PART = re.compile(r"[^=]++=*+")
 
 #: Text that primes the compressor: what surrounds secrets, and what identifiers are made of.
 DICTIONARY = b"""
@@ -60,21 +64,38 @@ def base_spans(text: str) -> list[Span]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
+def _judged(text: str, a: int, b: int, base: list[Span], least: float) -> bool:
+    """Whether a candidate has digits and letters and doesn't compress."""
+    word = text[a:b]
+    if b - a < 16 or overlaps(a, b, base) or word.isalpha() or not any(map(str.isdigit, word)) or len(set(word)) < 8:
+        return False
+    return novelty(word[:4096], text[max(0, a - 256) : a]) >= least
+
+
 def novel_spans(text: str, base: list[Span], reach: int = 48, least: float = 0.62) -> list[Span]:
-    """Candidates within reach characters after a sensitive word that don't compress and have digits and letters."""
+    """Candidates within reach characters after a sensitive word, or after the equals sign of a name that holds one,
+    that don't compress and have digits and letters. Where no such run does, its parts between equals signs may."""
     out: list[Span] = []
-    end = 0
-    for m in SENSITIVE.finditer(text):
-        for c in CANDIDATE.finditer(text, max(m.end(), end), min(len(text), m.end() + reach)):
-            # a candidate that the reach cuts is read to its own end
-            whole = CANDIDATE.match(text, c.start())
-            a, b = whole.start(), whole.end()
-            end = max(end, b)
-            word = text[a:b]
-            if overlaps(a, b, base) or word.isalpha() or not any(map(str.isdigit, word)) or len(set(word)) < 8:
-                continue
-            if novelty(word[:4096], text[max(0, a - 256) : a]) >= least:
-                out.append(("novel", a, b))
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    w = 0
+    for run in CANDIDATE.finditer(text) if words else ():
+        a, b = run.span()
+        while w < len(words) and words[w][1] < a - (reach - 16):
+            w += 1
+        if w == len(words):
+            break
+        near = words[w][1] <= a
+        inside = bisect.bisect_right(words, a, key=lambda s: s[1])
+        named = inside < len(words) and words[inside][0] < b
+        # of a name with its value, the value: all of it first, as it may hold equals signs itself
+        value = NAMED.match(text, words[inside][1], b) if named else None
+        wholes = ([(value.end(), b)] if value else []) + ([(a, b)] if near else [])
+        found = next((s for s in wholes if _judged(text, *s, base, least)), None)
+        if found:
+            out.append(("novel", *found))
+        elif wholes:
+            parts = [m.span() for m in PART.finditer(text, min(x for x, _ in wholes), b)]
+            out += [("novel", *s) for s in parts if s not in wholes and _judged(text, *s, base, least)]
     return out
 
 

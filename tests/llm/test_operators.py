@@ -195,6 +195,27 @@ def test_pii_and_secrets(docs, empty):
         assert {r.base_sha256 for r in op(docs.filter("text IS NULL")).collect()} == {hashlib.sha256(b"").hexdigest()}
 
 
+def novel(text):
+    return [text[a:b] for _, a, b in secret_scan.novel_spans(text, secret_scan.base_spans(text))]
+
+
+KEY = "f3Kq9ZxT7Lp2VbN8wQe1Yh5RmD0sUgJ4oXcA6tBi"
+
+
+def test_secrets_of_names():
+    words = "passphrase passwort credential bearer authorization private_key private-key privatekey access_key signing_key client_secret password passwd secret token api_key apikey api-key auth_key AWS_SECRET_ACCESS_KEY".split()
+    for name in [*words, *map(str.upper, words)]:
+        for value in (KEY, KEY[:16], KEY[:22] + "==", KEY[:12] + "=" + KEY[12:]):
+            text = f"export {name}={value}\nnext"
+            found = secret_scan.base_spans(text)
+            spans = found + secret_scan.novel_spans(text, found)
+            assert any(a <= text.index(value) and b >= text.index(value) + len(value) for _, a, b in spans), text
+    assert novel(f"PRIVATE_KEY={KEY}") == [KEY]
+    assert novel("x = 1\nexport signing_key=configuration_value_default1") == []
+    for text in ("token" * 80_000, "token=" * 60_000, "bearer " + "a=1b" * 100_000, "bearer " * 60_000):
+        secret_scan.novel_spans(text, [])
+
+
 def test_long_texts_stay_linear():
     for text in ("a" * 400_000, "1" * 400_000, "a." * 200_000, "+1 " * 100_000, "token" + " " * 300_000, "0f" * 200_000, "@" * 100_000):
         pii.base_spans(text)
