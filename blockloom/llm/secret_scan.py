@@ -73,18 +73,19 @@ def _judged(text: str, a: int, b: int, base: list[Span], least: float) -> bool:
 
 
 def novel_spans(text: str, base: list[Span], reach: int = 48, least: float = 0.62) -> list[Span]:
-    """Candidates within reach characters after a sensitive word, or after the equals sign of a name that holds one,
-    that don't compress and have digits and letters. Where no such run does, its parts between equals signs may."""
+    """Candidates within reach characters before or after a sensitive word, or after the equals sign of a name that holds
+    one, that don't compress and have digits and letters. Where no such run does, its parts between equals signs may."""
     out: list[Span] = []
     words = [m.span() for m in SENSITIVE.finditer(text)]
     w = 0
     for run in CANDIDATE.finditer(text) if words else ():
         a, b = run.span()
-        while w < len(words) and words[w][1] < a - (reach - 16):
+        while w < len(words) and words[w][1] < a - reach:
             w += 1
         if w == len(words):
             break
-        near = words[w][1] <= a
+        behind = bisect.bisect_left(words, (b,))
+        near = words[w][1] <= a or behind < len(words) and words[behind][0] - b <= reach
         inside = bisect.bisect_right(words, a, key=lambda s: s[1])
         named = inside < len(words) and words[inside][0] < b
         # of a name with its value, the value: all of it first, as it may hold equals signs itself

@@ -216,6 +216,14 @@ def test_secrets_of_names():
         secret_scan.novel_spans(text, [])
 
 
+def test_reach_of_sensitive_words():
+    assert novel(f"the client secret for the production billing service is {KEY}") == [KEY]
+    for gap in range(1, 60):
+        fill = (" is it" * 10)[: gap - 1] + " "
+        want = [KEY] if gap <= 48 else []
+        assert novel(f"bearer{fill}{KEY} end") == want and novel(f"so {KEY}{fill}bearer") == want
+
+
 def test_long_texts_stay_linear():
     for text in ("a" * 400_000, "1" * 400_000, "a." * 200_000, "+1 " * 100_000, "token" + " " * 300_000, "0f" * 200_000, "@" * 100_000):
         pii.base_spans(text)
