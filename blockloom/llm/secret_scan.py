@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import re
 
 import pyarrow as pa
@@ -30,6 +31,8 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=~$!-])[A-Za-z0-9+/_.=~$!-]{16,}+")
 #: What is left of a name and its equals sign, and the parts of a run between equals signs, with their padding.
 NAMED = re.compile(r"[^=]*+=++")
 PART = re.compile(r"[^=]++=*+")
+#: Characters of a candidate that are measured at once, and of the windows in longer ones: the length of a key.
+PIECE, WINDOW = 4096, 32
 
 #: Text that primes the compressor: what surrounds secrets, and what identifiers are made of.
 DICTIONARY = b"""
@@ -64,12 +67,21 @@ def base_spans(text: str) -> list[Span]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
+def _mixed(word: str) -> bool:
+    """Whether there are digits and letters enough for a key."""
+    return not word.isalpha() and any(map(str.isdigit, word)) and len(set(word)) >= 8
+
+
 def _judged(text: str, a: int, b: int, base: list[Span], least: float) -> bool:
-    """Whether a candidate has digits and letters and doesn't compress."""
-    word = text[a:b]
-    if b - a < 16 or overlaps(a, b, base) or word.isalpha() or not any(map(str.isdigit, word)) or len(set(word)) < 8:
+    """Whether a candidate has digits and letters and doesn't compress. Of one too long to be measured at once every piece
+    is measured, then every window of the length of a key, as padding in a piece outweighs a key."""
+    if b - a < 16 or overlaps(a, b, base) or not _mixed(text[a:b]):
         return False
-    return novelty(word[:4096], text[max(0, a - 256) : a]) >= least
+    if b - a <= PIECE:
+        return novelty(text[a:b], text[max(0, a - 256) : a]) >= least
+    pieces = [(x, x + PIECE) for x in (*range(a, b - PIECE, PIECE), b - PIECE)]
+    windows = ((x, x + WINDOW) for x in (*range(a, b - WINDOW, WINDOW // 4), b - WINDOW))
+    return any(_mixed(text[x:y]) and novelty(text[x:y], text[max(0, x - 256) : x]) >= least for x, y in itertools.chain(pieces, windows))
 
 
 def novel_spans(text: str, base: list[Span], reach: int = 48, least: float = 0.62) -> list[Span]:

@@ -224,6 +224,17 @@ def test_reach_of_sensitive_words():
         assert novel(f"bearer{fill}{KEY} end") == want and novel(f"so {KEY}{fill}bearer") == want
 
 
+def test_secret_late_in_a_long_candidate():
+    for fill in ("configuration_value_default1_", "xyzxyzxyz12"):
+        long = fill * (9000 // len(fill))
+        assert novel("bearer " + long + " end") == []
+        for run in (long + KEY, long + KEY + long, long + KEY * 3 + long, KEY + long):
+            assert novel("bearer " + run + " end") == [run]
+    rng = random.Random(6)
+    noise = "".join(rng.choice(KEY) for _ in range(6000))
+    assert novel("bearer " + "xyz1" * 2000 + noise) == ["xyz1" * 2000 + noise]
+
+
 def test_long_texts_stay_linear():
     for text in ("a" * 400_000, "1" * 400_000, "a." * 200_000, "+1 " * 100_000, "token" + " " * 300_000, "0f" * 200_000, "@" * 100_000):
         pii.base_spans(text)
