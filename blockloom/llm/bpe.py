@@ -20,8 +20,8 @@ from blockloom.llm.common import hold
 #: The pre-tokenizer of byte-level BPE, with Unicode's White_Space property written out.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PRETOKEN = " ?[{L}]+| ?[{N}]+|'(?:[stmd]|re|ve|ll)| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
-#: Pre-tokens remembered by a worker before its memory of them is emptied.
-CACHE_WORDS = 500_000
+#: Bytes of pre-tokens and ids that a worker remembers before this memory is emptied.
+CACHE_BYTES = 64 << 20
 
 
 def _category_ranges(letter: str, top: int) -> str:
@@ -136,6 +136,7 @@ class Encoder:
     def __init__(self, path: str):
         self.merger = RankMerger(path)
         self.ids: dict[str, bytes] = {}
+        self.held = 0
 
     def _parts(self, text: str) -> list[str]:
         """Pre-tokens of a text; a special string stands as it is, under its own key."""
@@ -152,8 +153,9 @@ class Encoder:
     def _learn(self, parts: list[list[str]]) -> None:
         seen = set().union(*parts)
         new = list(seen.difference(self.ids))
-        if len(self.ids) + len(new) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.ids.clear()
+            self.held = 0
             new = list(seen)
         for w in [w for w in new if w.startswith("\0special") and w[8:] in self.merger.special]:
             self.ids[w] = np.array([self.merger.special[w[8:]]], "<u4").tobytes()
@@ -162,6 +164,7 @@ class Encoder:
             some = new[i : i + 50_000]
             ids, at = self.merger.merge(some)
             raw, at = ids.astype("<u4").tobytes(), (4 * at).tolist()
+            self.held += len(raw) + 150 * len(some) + sum(map(sys.getsizeof, some))
             self.ids.update(zip(some, map(raw.__getitem__, map(slice, at, at[1:])), strict=False))
 
     def counts(self, texts: list[str]) -> list[int]:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
+import sys
 import tempfile
 import uuid
 import weakref
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +24,25 @@ LOWER_AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
+class Memory(dict):
+    """Values that make gives of words, remembered within a number of bytes; then the memory starts anew. A very long word is not kept."""
+
+    def __init__(self, make: Callable[[Any], Any], most_bytes: int = 48 << 20, entry_bytes: int = 150):
+        super().__init__()
+        self.make, self.most_bytes, self.entry_bytes, self.held = make, most_bytes, entry_bytes, 0
+
+    def __missing__(self, word):
+        value = self.make(word)
+        size = self.entry_bytes + sys.getsizeof(word)
+        if size <= self.most_bytes >> 6:
+            if self.held + size > self.most_bytes:
+                self.clear()
+                self.held = 0
+            self.held += size
+            self[word] = value
+        return value
+
+
 #: What the operator that runs in this worker remembers, and how to forget it.
 _HELD: dict[str, Callable[[], object]] = {}
 
@@ -43,14 +65,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Folders of the tables that store() wrote.
 _STORED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_FOLDERS: dict[str, None] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; an own temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    """The shared folder that the session names. Only a session of one machine gets a temporary folder where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="blockloom-")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -61,17 +84,37 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(f"{folder}/{name}")
-    stored = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-    _STORED[stored] = folder
-    return stored
+    table = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    _STORED[table] = folder
+    _FOLDERS[folder] = None
+    return table
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _FOLDERS.pop(folder, None)
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables that no later plan reads: all that came from them must have been stored already."""
     for df in tables:
-        jvm, folder = df.sparkSession._jvm, _STORED.pop(df)
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, _STORED.pop(df))
+
+
+def stored() -> set[str]:
+    """Folders of the tables that store() wrote and nobody has deleted."""
+    return set(_FOLDERS)
+
+
+def sweep(spark: SparkSession, keep: Iterable[str] = ()) -> None:
+    """Delete all stored tables but those in some folders: for the end of a job whose result is stored or read."""
+    for folder in stored().difference(keep):
+        _delete(spark, folder)
+
+
+def folder_of(table: DataFrame) -> str:
+    return _STORED[table]
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

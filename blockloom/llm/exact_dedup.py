@@ -1,10 +1,12 @@
 """Operator 7: exact duplicates by distributed MSD radix partitioning.
 
-1. Each task splits its own batches of normalised texts by successive digits of bytes until a
-   group has one text or its texts have ended, and keeps one text for each group of equals. A
-   text that makes up a third of all rows leaves a task once for each batch.
+1. Each task splits its own normalised texts by successive digits of bytes until a group has one text or
+   its texts have ended, and keeps one text for each group of equals. A text that makes up a third of all
+   rows leaves a task once, or once for each time that the task's memory of texts is full.
 2. The kept texts are dealt by their leading bytes. A prefix with more bytes than a task should
-   hold is split by further bytes, level after level, until it is small enough or its texts end.
+   hold is split by further bytes, level after level, until it is small enough or its texts end. One that has
+   ended and is still too large is one text that many tasks hold: it is dealt by task as well, and what those
+   parts keep is joined in a round more.
 3. Each task joins its texts by the same recursion; only small (part, keeper) rows go back.
 
 Texts are compared byte by byte throughout; the SHA-256 in the result is output, not a key.
@@ -12,6 +14,7 @@ Texts are compared byte by byte throughout; the SHA-256 in the result is output,
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import pyarrow as pa
@@ -19,10 +22,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import BLANKS, emit, hold, id_and_text, slices, store
+from blockloom.llm.common import BLANKS, discard, emit, hold, id_and_text, slices, store
 
-LOCAL = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("norm", pa.binary()), ("size", pa.int64()), ("points", pa.int64()), ("keep_id", pa.int64())])
-MERGED = pa.schema([("part", pa.int64()), ("keep_part", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("text_sha256", pa.string())])
+TEXTS = [("part", pa.int64()), ("norm", pa.binary()), ("size", pa.int64()), ("points", pa.int64()), ("keep_id", pa.int64()), ("keep_row", pa.int64())]
+#: Rows (row, part, doc_id) and texts (no row) of a task.
+LOCAL = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), *TEXTS])
+#: Texts, and where parts that have no text any more went (whole).
+JOINED = pa.schema([*TEXTS, ("whole", pa.int64())])
+MERGED = pa.schema([("part", pa.int64()), ("keep_row", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("text_sha256", pa.string())])
+_SQL = {pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
+
+
+def ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {_SQL[f.type]}" for f in schema)
 
 
 def radix_groups(texts: list[bytes], first_digit: int = 8, growth: int = 8, max_digit: int = 1 << 16) -> list[int]:
@@ -46,107 +58,171 @@ def radix_groups(texts: list[bytes], first_digit: int = 8, growth: int = 8, max_
 
 
 def _better(a: tuple, b: tuple) -> bool:
-    """Whether row a = (points, doc_id, part) stays rather than b: more code points, then smaller doc_id, null last."""
+    """Whether row a = (points, doc_id, row) stays rather than b: more code points, then smaller doc_id, null last."""
     return (-a[0], a[1] is None, a[1] or 0, a[2]) < (-b[0], b[1] is None, b[1] or 0, b[2])
 
 
-def _local(batches):
-    """Rows of one task. part: number of a group of equal texts; its text stands in the row that stays."""
-    hold("dedup")
-    number = TaskContext.get().partitionId() << 36
-    for b in slices(batches, 16 << 20):
-        texts = ["" if t is None else t for t in b.column("text").to_pylist()]
-        ids = b.column("doc_id").to_pylist()
-        norm = [t.encode().translate(None, BLANKS) for t in texts]
-        first = radix_groups(norm)
-        size: dict[int, int] = {}
-        best: dict[int, tuple] = {}
-        for i, g in enumerate(first):
-            size[g] = size.get(g, 0) + 1
-            row = (len(texts[i]), ids[i], i)
-            if g not in best or _better(row, best[g]):
-                best[g] = row
-        stays = {row[2]: g for g, row in best.items()}
-        kept = [stays.get(i) for i in range(len(texts))]
-        yield emit(
-            LOCAL,
-            part=[number + g for g in first],
-            doc_id=ids,
-            norm=[None if g is None else norm[i] for i, g in enumerate(kept)],
-            size=[None if g is None else size[g] for g in kept],
-            points=[len(t) for t in texts],
-            keep_id=[None if g is None else best[g][1] for g in kept],
-        )
-        number += len(texts)
+class Groups:
+    """One of each text seen, with the number of its rows and the row that stays."""
 
+    def __init__(self):
+        self.texts: list[bytes] = []
+        self.size: list[int] = []
+        self.best: list[tuple] = []
+        self.bytes = 0
 
-def _merge(batches):
-    """Join the parts of one radix bucket. Equal texts collapse as batches arrive: memory holds distinct texts."""
-    hold("dedup")
-    kept: list[bytes] = []
-    state: list[list] = []  # of each kept text: rows, (points, doc_id, part)
-    part_of: list[list[int]] = []
-    for b in slices(batches, 16 << 20, "norm"):
-        rows = b.to_pylist()
-        known = len(kept)
-        first = radix_groups(kept + [r["norm"] for r in rows])
+    def add(self, texts: list[bytes], sizes: list[int], rows: list[tuple]) -> list[int]:
+        """The group of each text. Equal texts collapse as they arrive."""
+        known = len(self.texts)
         place = list(range(known))
-        for r, g in zip(rows, first[known:], strict=True):
-            row = (r["points"], r["keep_id"], r["part"])
-            if g == len(place):  # its own first
-                place.append(len(kept))
-                kept.append(r["norm"])
-                state.append([r["size"], row])
-                part_of.append([r["part"]])
+        for text, size, row, first in zip(texts, sizes, rows, radix_groups(self.texts + texts)[known:], strict=True):
+            if first == len(place):  # its own first
+                place.append(len(self.texts))
+                self.texts.append(text)
+                self.size.append(size)
+                self.best.append(row)
+                self.bytes += len(text) + 200
                 continue
-            k = place[g]
+            k = place[first]
             place.append(k)
-            part_of[k].append(r["part"])
-            state[k][0] += r["size"]
-            if _better(row, state[k][1]):
-                state[k][1] = row
-    for a in range(0, len(kept), 5000):
-        out = [(p, state[k], kept[k]) for k in range(a, min(a + 5000, len(kept))) for p in part_of[k]]
-        sha: dict[int, str] = {id(t): hashlib.sha256(t).hexdigest() for _, _, t in out}
+            self.size[k] += size
+            if _better(row, self.best[k]):
+                self.best[k] = row
+        return place[known:]
+
+    def columns(self, a: int, b: int) -> dict:
+        best = self.best[a:b]
+        return {"norm": self.texts[a:b], "size": self.size[a:b], "points": [x[0] for x in best], "keep_id": [x[1] for x in best], "keep_row": [x[2] for x in best]}
+
+    def pieces(self, most_bytes: int = 8 << 20):
+        """Ranges of groups whose texts have about most_bytes, or one longer text."""
+        a = held = 0
+        for b, t in enumerate(self.texts):
+            if b > a and held + len(t) > most_bytes:
+                yield a, b
+                a, held = b, 0
+            held += len(t) + 200
+        if a < len(self.texts):
+            yield a, len(self.texts)
+
+
+def _local(most_bytes: int, batches):
+    """Rows of one task with the part that each belongs to, and each part's text once."""
+    hold("dedup")
+    row = part = TaskContext.get().partitionId() << 36
+    groups = Groups()
+
+    def leave():
+        for a, b in groups.pieces():
+            none = [None] * (b - a)
+            yield emit(LOCAL, row=none, doc_id=none, part=range(part + a, part + b), **groups.columns(a, b))
+
+    for s in slices(batches, most_bytes >> 2):
+        texts = ["" if t is None else t for t in s.column("text").to_pylist()]
+        ids = s.column("doc_id").to_pylist()
+        found = groups.add([t.encode().translate(None, BLANKS) for t in texts], [1] * len(texts), [(len(t), i, row + k) for k, (t, i) in enumerate(zip(texts, ids, strict=True))])
+        none = [None] * len(texts)
+        yield emit(LOCAL, row=range(row, row + len(texts)), doc_id=ids, part=[part + g for g in found], norm=none, size=none, points=none, keep_id=none, keep_row=none)
+        row += len(texts)
+        if groups.bytes > most_bytes:
+            yield from leave()
+            part += len(groups.texts)
+            groups = Groups()
+    yield from leave()
+
+
+def _gather(batches) -> tuple[Groups, list[list[int]]]:
+    """The texts of one radix bucket, and the parts of each. Memory holds distinct texts."""
+    hold("dedup")
+    groups, parts = Groups(), []
+    for s in slices(batches, 16 << 20, "norm"):
+        c = {k: s.column(k).to_pylist() for k in ("part", "norm", "size", "points", "keep_id", "keep_row")}
+        found = groups.add(c["norm"], c["size"], list(zip(c["points"], c["keep_id"], c["keep_row"], strict=True)))
+        parts += [[] for _ in range(len(groups.texts) - len(parts))]
+        for p, g in zip(c["part"], found, strict=True):
+            parts[g].append(p)
+    return groups, parts
+
+
+def _join(batches):
+    """One text of each group of equals under its first part, and the other parts."""
+    groups, parts = _gather(batches)
+    for a, b in groups.pieces():
+        yield emit(JOINED, part=[p[0] for p in parts[a:b]], **groups.columns(a, b), whole=[None] * (b - a))
+    moved = [(p, every[0]) for every in parts for p in every[1:]]
+    none = [None] * len(moved)
+    yield emit(JOINED, part=[p for p, _ in moved], norm=none, size=none, points=none, keep_id=none, keep_row=none, whole=[w for _, w in moved])
+
+
+def _merge(batches):
+    """For each part the row that stays, and its group's size."""
+    groups, parts = _gather(batches)
+    for a in range(0, len(parts), 5000):
+        out = [(p, k) for k in range(a, min(a + 5000, len(parts))) for p in parts[k]]
+        sha = {k: hashlib.sha256(groups.texts[k]).hexdigest() for k in range(a, min(a + 5000, len(parts)))}
         yield emit(
             MERGED,
-            part=[p for p, _, _ in out],
-            keep_part=[s[1][2] for _, s, _ in out],
-            keep_id=[s[1][1] for _, s, _ in out],
-            group_size=[s[0] for _, s, _ in out],
-            text_sha256=[sha[id(t)] for _, _, t in out],
+            part=[p for p, _ in out],
+            keep_row=[groups.best[k][2] for _, k in out],
+            keep_id=[groups.best[k][1] for _, k in out],
+            group_size=[groups.size[k] for _, k in out],
+            text_sha256=[sha[k] for _, k in out],
         )
 
 
-def _bucketed(texts: DataFrame, target_bytes: int, first_depth: int, broadcast_rows: int) -> DataFrame:
-    """Add bucket: the shortest prefix, of growing depths, whose texts have at most target_bytes together (or that has ended)."""
-    depth, out, open_ = first_depth, texts.withColumn("bucket", F.lit(None).cast("binary")), F.lit(True)
+def _beside(table: DataFrame, rows: int, depth: int, broadcast_bytes: int) -> DataFrame:
+    """A table of prefixes for a join: broadcast if its rows of depth bytes are small enough together."""
+    return F.broadcast(table) if rows * (depth + 64) <= broadcast_bytes else table
+
+
+def _bucketed(texts: DataFrame, target_bytes: int, first_depth: int, broadcast_bytes: int) -> tuple[DataFrame, list[DataFrame], bool]:
+    """Add bucket and deals: the shortest prefix, of growing depths, whose texts have at most target_bytes together (deals 1),
+    or one that has ended, whose copies have to be dealt over that many tasks. Also the tables that this reads, and whether
+    there is a prefix of the second kind."""
+    depth, out, read, hot = first_depth, texts.withColumns({"bucket": F.lit(None).cast("binary"), "deals": F.lit(1).cast("long")}), [], False
     while True:
         prefix = F.substring("norm", 1, depth)
-        heavy = out.filter("bucket IS NULL").groupBy(prefix.alias("prefix")).agg(F.sum(F.length("norm")).alias("bytes"), F.max(F.length("norm")).alias("longest"))
-        heavy = store(heavy.filter((F.col("bytes") > target_bytes) & (F.col("longest") > depth)).select(F.col("prefix").alias("heavy")), "heavy")
-        n = heavy.count()
-        if not n:
-            return out.withColumn("bucket", F.coalesce("bucket", prefix))
-        side = F.broadcast(heavy) if n * depth <= broadcast_rows * first_depth else heavy
-        out = out.withColumn("prefix", prefix).join(side, F.col("bucket").isNull() & (F.col("prefix") == F.col("heavy")), "left")
-        out = out.withColumn("bucket", F.when(F.col("heavy").isNull(), F.coalesce("bucket", "prefix"))).drop("prefix", "heavy")
+        heavy = out.filter("bucket IS NULL").groupBy(prefix.alias("heavy")).agg(F.sum(F.length("norm")).alias("bytes"), F.max(F.length("norm")).alias("longest"))
+        heavy = heavy.filter(F.col("bytes") > target_bytes).select("heavy", (F.col("longest") > depth).alias("open"), F.ceil(F.col("bytes") / target_bytes).alias("over"))
+        heavy = store(heavy, "heavy")
+        read.append(heavy)
+        n = heavy.agg(F.count("*").alias("n"), F.count_if("open").alias("open")).first()
+        hot = hot or n["n"] > n["open"]
+        if not n["n"]:
+            return out.withColumn("bucket", F.coalesce("bucket", prefix)), read, hot
+        out = out.withColumn("prefix", prefix).join(_beside(heavy, n["n"], depth, broadcast_bytes), F.col("bucket").isNull() & (F.col("prefix") == F.col("heavy")), "left")
+        out = out.withColumns({"deals": F.when(F.col("open") | F.col("heavy").isNull(), F.col("deals")).otherwise(F.col("over")), "bucket": F.when(F.col("heavy").isNull() | ~F.col("open"), F.coalesce("bucket", "prefix"))})
+        out = out.drop("prefix", "heavy", "open", "over")
+        if not n["open"]:
+            return out, read, hot
         depth *= 4
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_bytes: int = 24 << 20, first_depth: int = 12, broadcast_rows: int = 100_000) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_bytes: int = 24 << 20, first_depth: int = 12, broadcast_bytes: int = 8 << 20, memory_bytes: int = 32 << 20) -> DataFrame:
     """Group rows whose texts are equal without blanks: doc_id, keep_id, group_size, kept, text_sha256.
 
     The row with the most code points stays, then the smallest doc_id (null is last). Null text is empty;
     all empty texts are one group. Repeated rows (same doc_id, same text) count each in group_size and
     exactly one row of a group has kept = true. Other columns are not looked at. Empty table: empty result.
+    A very long text is held whole by one task.
     """
-    local = store(id_and_text(docs, id_col, text_col).mapInArrow(_local, "part long, doc_id long, norm binary, size long, points long, keep_id long"), "local")
-    texts = local.filter(F.col("size").isNotNull()).drop("doc_id")
+    local = store(id_and_text(docs, id_col, text_col).mapInArrow(functools.partial(_local, memory_bytes), ddl(LOCAL)), "local")
+    names = [n for n, _ in TEXTS]
+    texts = local.filter(F.col("norm").isNotNull()).select(*names)
     total = texts.agg(F.sum(F.length("norm"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // target_bytes))
     fair = min(target_bytes, max(1 << 16, total // (2 * parts)))  # no prefix takes more than half a task's share
-    merged = _bucketed(texts, fair, first_depth, broadcast_rows).repartition(parts, "bucket").select("part", "norm", "size", "points", "keep_id")
-    merged = merged.mapInArrow(_merge, "part long, keep_part long, keep_id long, group_size long, text_sha256 string")
-    rows = local.select("part", "doc_id", F.col("size").isNotNull().alias("first"))
-    return rows.join(merged, "part").select("doc_id", "keep_id", "group_size", (F.col("first") & (F.col("part") == F.col("keep_part"))).alias("kept"), "text_sha256")
+    bucketed, read, hot = _bucketed(texts, fair, first_depth, broadcast_bytes)
+    rows = local.filter(F.col("row").isNotNull()).select("row", "part", "doc_id")
+    joined = None
+    if hot:
+        dealt = bucketed.filter("deals > 1").repartition(parts, "bucket", F.pmod(F.shiftright("part", 36), F.col("deals"))).select(*names)
+        joined = store(dealt.mapInArrow(_join, ddl(JOINED)), "joined")
+        again = joined.filter(F.col("norm").isNotNull()).select(*names, F.col("norm").alias("bucket"))
+        bucketed = bucketed.filter("deals = 1").select(*names, "bucket").union(again)
+        moved = joined.filter(F.col("whole").isNotNull()).select(F.col("part").alias("from"), "whole")
+        rows = rows.join(moved, rows["part"] == moved["from"], "left").select("row", F.coalesce("whole", "part").alias("part"), "doc_id")
+    merged = store(bucketed.repartition(parts, "bucket").select(*names).mapInArrow(_merge, ddl(MERGED)), "merged")
+    slim = store(rows, "rows")
+    discard(local, *read, *([joined] if hot else []))
+    return slim.join(merged, "part").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")

@@ -26,30 +26,17 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import LOWER_AZ, discard, emit, hold, id_and_text, slices, store
+from blockloom.llm.common import LOWER_AZ, Memory, discard, emit, hold, id_and_text, slices, store
 from blockloom.llm.components import connected_components
 
-CACHE_WORDS = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _Hashes(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        v = self[word] = xxhash.xxh3_64_intdigest(word)
-        return v
-
-
-_HASHES = _Hashes()
+#: 64-bit hashes of words.
+_HASHES = Memory(xxhash.xxh3_64_intdigest)
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -144,12 +131,12 @@ def _sets(words: int, batches):
 def _among(table: DataFrame, column: str, wanted: DataFrame, wanted_column: str) -> DataFrame:
     """Rows of table whose column is in wanted, and few others, without a shuffle of table.
 
-    Each wanted value sets one bit of a bitmap of 2^20 to 2^27 bits, some sixteen bits for each value. The
-    bitmap is broadcast as words of 64 bits: 2^21 rows at most. With more values than it has room for it
+    Each wanted value sets one bit of a bitmap of 2^20 to 2^26 bits, some sixteen bits for each value. The
+    bitmap is broadcast as words of 64 bits: 2^20 rows at most. With more values than it has room for it
     only lets more rows pass.
     """
     n = wanted.count()
-    bits = min(27, max(20, (16 * n).bit_length()))
+    bits = min(26, max(20, (16 * n).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
     one = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), {1 << bits}) & 63 as int))")
     words = wanted.groupBy(F.shiftright(place(wanted_column), 6).alias("filter_word")).agg(F.bit_or(one(wanted_column)).alias("filter_bits"))
@@ -241,16 +228,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").filter(both * (100 + percent) >= (F.size("sa") + F.size("sb")) * percent).select("a", "b")
 
 
-def links_in_block(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links across components among the sets of two blocks (or within one), by counting shared shingles."""
-    lo, hi = int(rows["lo"].iloc[0]), int(rows["hi"].iloc[0])
-    rows = rows.drop_duplicates("node")
-    left, right = rows[rows["block"] == lo], rows[rows["block"] == hi]
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def links_in_block(rows: pa.Table, percent: int) -> pa.Table:
+    """Links across components among the sets of two blocks (or within one), by counting shared shingles: of those that
+    join the same components, one. rows: node, label, block, lo, hi, shingles; a node may be repeated."""
+    lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+    node, label, part = (rows.column(c).to_numpy() for c in ("node", "label", "block"))
+    flat = rows.column("shingles").combine_chunks()
+    flat = flat if isinstance(flat, pa.ListArray) else flat.chunk(0)
+    begin, values = flat.offsets.to_numpy(), flat.values.to_numpy()
+    once = np.zeros(len(node), bool)
+    once[np.unique(node, return_index=True)[1]] = True
+
+    def side(which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.flatnonzero(once & (part == which))
+        sizes = begin[at + 1] - begin[at]
+        return at, sizes, np.concatenate([values[begin[i] : begin[i + 1]] for i in at] or [values[:0]])
+
+    (la, na, fa), (lb, nb, fb) = side(lo), side(hi)
     out: list[tuple[int, int]] = []
-    if len(left) and len(right):
-        size = lambda r: np.array([len(s) for s in r["shingles"]], np.int64)
-        flat = lambda r: np.concatenate([np.asarray(s, np.int64) for s in r["shingles"]])
-        na, nb, fa, fb = size(left), size(right), flat(left), flat(right)
+    if len(la) and len(lb):
         common = np.intersect1d(fa, fb)
         ra, rb = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
         ka, kb = np.isin(fa, common), np.isin(fb, common)
@@ -262,9 +261,7 @@ def links_in_block(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
             ma[ra[ia], ca[ia] - at] = 1
             mb[rb[ib], cb[ib] - at] = 1
             both += ma @ mb.T
-        la, lb = left["label"].to_numpy(), right["label"].to_numpy()
-        ok = (both * (100 + percent) >= (na[:, None] + nb[None, :]) * percent) & (la[:, None] != lb[None, :])
-        a, b = np.nonzero(ok)
+        ok = (both * (100 + percent) >= (na[:, None] + nb[None, :]) * percent) & (label[la][:, None] != label[lb][None, :])
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -272,11 +269,11 @@ def links_in_block(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
                 parent[x] = x = parent[parent[x]]
             return x
 
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            if (p := root(int(la[x]))) != (q := root(int(lb[y]))):
+        for x, y in np.argwhere(ok).tolist():
+            if (p := root(int(label[la[x]]))) != (q := root(int(label[lb[y]]))):
                 parent[p] = q
-                out.append((int(left["node"].iloc[x]), int(right["node"].iloc[y])))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                out.append((int(node[la[x]]), int(node[lb[y]])))
+    return pa.Table.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=LINKS)
 
 
 def _rest(buckets: DataFrame, labels: DataFrame, prefixes: DataFrame, rows: DataFrame, words: int, percent: int, small: int, block: int) -> DataFrame | None:
@@ -301,10 +298,10 @@ def _rest(buckets: DataFrame, labels: DataFrame, prefixes: DataFrame, rows: Data
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("pivot", "node", "label", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).join(sets, "node")
 
-    def links(rows: pd.DataFrame) -> pd.DataFrame:
+    def links(rows: pa.Table) -> pa.Table:
         return links_in_block(rows, percent)
 
-    blocks = dealt.groupBy("pivot", "lo", "hi").applyInPandas(links, "a long, b long")
+    blocks = dealt.groupBy("pivot", "lo", "hi").applyInArrow(links, "a long, b long")
     both = store(found.union(blocks), "links")
     discard(pairs, many, sets)
     return both
@@ -327,6 +324,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     nodes = store(own.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
     prefixes = rows.mapInArrow(partial(_prefixes, words, percent, counts), "node long, n long, digest binary, prefix array<long>")
     prefixes = store(prefixes.join(nodes, ["node", "digest"], "left_semi").drop("digest"), "prefixes")
+    counts.unpersist()
     buckets = _buckets(prefixes, percent, boundary)
     star = buckets.filter((F.col("node") != F.col("pivot")) & _may_link(F.col("n"), F.col("pos"), F.col("pivot_n"), F.col("pivot_pos"), percent))
     star = store(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "star")

@@ -8,6 +8,7 @@ word's sums and adds them up.
 
 from __future__ import annotations
 
+import sys
 import zlib
 from dataclasses import dataclass
 from functools import partial
@@ -21,7 +22,6 @@ from blockloom.llm.common import emit, hold, id_and_text, slices, texts_of
 
 OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
 UNKNOWN = "und"
-CACHE_WORDS = 500_000
 
 
 def has_letter(text: str) -> bool:
@@ -75,19 +75,26 @@ class Model:
 
 
 class Scorer:
-    """Margins of whole texts from a bounded memory of words."""
+    """Margins of whole texts from a memory of words that is bounded in bytes."""
 
-    def __init__(self, model: Model):
-        self.model, self.row = model, {}
+    def __init__(self, model: Model, most_bytes: int = 64 << 20):
+        self.model, self.row, self.most_bytes, self.held = model, {}, most_bytes, 0
         self.table = np.zeros((1024, model.weights.shape[1] + 1), np.float32)
 
     def _learn(self, words: set[str]) -> None:
         new = words.difference(self.row)
-        if len(self.row) + len(new) > CACHE_WORDS:
+        size = sum(map(sys.getsizeof, new)) + len(new) * (100 + 2 * self.table[0].nbytes)
+        if self.row and self.held + size > self.most_bytes:
             self.row, new = {}, words
+            self.table = self.table[:1024].copy()
+            size = sum(map(sys.getsizeof, new)) + len(new) * (100 + 2 * self.table[0].nbytes)
+            self.held = 0
+        self.held += size
         need = len(self.row) + len(new)
         if need > len(self.table):
-            self.table = np.resize(self.table, (max(need, 2 * len(self.table)), self.table.shape[1]))
+            grown = np.zeros((max(need, len(self.table) * 3 // 2), self.table.shape[1]), np.float32)
+            grown[: len(self.row)] = self.table[: len(self.row)]
+            self.table = grown
         for w in new:
             self.table[len(self.row)] = self.model.word(w)
             self.row[w] = len(self.row)

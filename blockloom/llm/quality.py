@@ -18,11 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import emit, hold, id_and_text, slices, texts_of
+from blockloom.llm.common import Memory, emit, hold, id_and_text, slices, texts_of
 from blockloom.llm.language import held_out
 
 OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
-CACHE_WORDS = 500_000
 #: The word bigram of a word and itself is one feature for all words, so that stutter is learned as such; it
 #: counts as often as a usual word has features.
 SAME = "\0same"
@@ -90,35 +89,20 @@ def fit(rows: list[tuple[str, int]], buckets: int = 1 << 15, dim: int = 12, size
     return Model(embed @ (out[1] - out[0]), float(bias[1] - bias[0]), sizes)
 
 
-class _Words(dict):
-    """Projections of words, filled as they come."""
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, word: str) -> complex:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        v = self[word] = self.model.word(word)
-        return v
-
-
-_MEMORY: dict[str, _Words] = {}
+_MEMORY: dict[str, tuple[Model, Memory]] = {}
 
 
 def _score(shared, key: str, batches):
     hold("quality", _MEMORY.clear)
     if key not in _MEMORY:
         _MEMORY.clear()
-        _MEMORY[key] = _Words(shared.value)
-    words = _MEMORY[key]
-    bias = words.model.bias
-    same = SAME_WEIGHT * complex(words.model.projection[features(SAME, len(words.model.projection), ())[0]], 1)
+        _MEMORY[key] = shared.value, Memory(shared.value.word)
+    model, words = _MEMORY[key]
+    same = SAME_WEIGHT * complex(model.projection[features(SAME, len(model.projection), ())[0]], 1)
     for b in slices(batches):
         split = [t.split() for t in texts_of(b)]
         sums = [sum(map(words.__getitem__, w), 0j) + same * stutters(w) for w in split]
-        z = np.array([s.real / max(s.imag, 1) for s in sums]) + bias
+        z = np.array([s.real / max(s.imag, 1) for s in sums]) + model.bias
         yield emit(OUT, doc_id=b.column("doc_id"), score=1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from blockloom.llm.common import emit, id_and_text, slices, texts_of
-from blockloom.llm.spans import Span, digest, listed, overlaps
+from blockloom.llm.spans import Cover, Span, digest, listed
 
 #: The base patterns of the contract. Possessive runs and look-behinds keep long texts linear.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)""", re.A)
@@ -72,10 +72,10 @@ def _mixed(word: str) -> bool:
     return not word.isalpha() and any(map(str.isdigit, word)) and len(set(word)) >= 8
 
 
-def _judged(text: str, a: int, b: int, base: list[Span], least: float) -> bool:
+def _judged(text: str, a: int, b: int, base: Cover, least: float) -> bool:
     """Whether a candidate has digits and letters and doesn't compress. Of one too long to be measured at once every piece
     is measured, then every window of the length of a key, as padding in a piece outweighs a key."""
-    if b - a < 16 or overlaps(a, b, base) or not _mixed(text[a:b]):
+    if b - a < 16 or base.overlaps(a, b) or not _mixed(text[a:b]):
         return False
     if b - a <= PIECE:
         return novelty(text[a:b], text[max(0, a - 256) : a]) >= least
@@ -88,6 +88,7 @@ def novel_spans(text: str, base: list[Span], reach: int = 48, least: float = 0.6
     """Candidates within reach characters before or after a sensitive word, or after the equals sign of a name that holds
     one, that don't compress and have digits and letters. Where no such run does, its parts between equals signs may."""
     out: list[Span] = []
+    cover = Cover(base)
     words = [m.span() for m in SENSITIVE.finditer(text)]
     w = 0
     for run in CANDIDATE.finditer(text) if words else ():
@@ -103,12 +104,12 @@ def novel_spans(text: str, base: list[Span], reach: int = 48, least: float = 0.6
         # of a name with its value, the value: all of it first, as it may hold equals signs itself
         value = NAMED.match(text, words[inside][1], b) if named else None
         wholes = ([(value.end(), b)] if value else []) + ([(a, b)] if near else [])
-        found = next((s for s in wholes if _judged(text, *s, base, least)), None)
+        found = next((s for s in wholes if _judged(text, *s, cover, least)), None)
         if found:
             out.append(("novel", *found))
         elif wholes:
             parts = [m.span() for m in PART.finditer(text, min(x for x, _ in wholes), b)]
-            out += [("novel", *s) for s in parts if s not in wholes and _judged(text, *s, base, least)]
+            out += [("novel", *s) for s in parts if s not in wholes and _judged(text, *s, cover, least)]
     return out
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 Span = tuple[str, int, int]
 
@@ -18,5 +19,19 @@ def digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def overlaps(a: int, b: int, spans: Sequence[Span]) -> bool:
-    return any(a < e and s < b for _, s, e in spans)
+class Cover:
+    """What some spans cover together, so that each look-up is one bisection."""
+
+    def __init__(self, spans: Iterable[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, a, b in sorted(spans, key=lambda s: s[1]):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def overlaps(self, a: int, b: int) -> bool:
+        k = bisect.bisect_right(self.ends, a)
+        return k < len(self.starts) and self.starts[k] < b

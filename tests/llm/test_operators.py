@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from blockloom.llm import decontaminate, exact_dedup, jaccard_join, language, packing, pii, quality, queries, secret_scan, token_counts, url_filter
+from blockloom.llm import common, decontaminate, exact_dedup, jaccard_join, language, packing, pii, quality, queries, secret_scan, spans, token_counts, url_filter
 from tests.compare import same
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -63,13 +63,13 @@ def test_url_filter(spark, data):
         url_filter.url_filter(df, queries.URL_RULES, max_rules=2)
 
 
-@pytest.mark.parametrize("target", [24 << 20, 200])
-def test_exact_dedup(docs, empty, target):
+@pytest.mark.parametrize(("target", "memory"), [(24 << 20, 32 << 20), (200, 32 << 20), (200, 1), (24 << 20, 1), (8, 100)])
+def test_exact_dedup(docs, empty, target, memory):
     groups = {}
     for i, t in pairs():
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i is None, i or 0, i))
     want = Counter((i, min(g)[3], len(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for *_, i in g)
-    got = exact_dedup.exact_dedup(docs, target_bytes=target, first_depth=2).collect()
+    got = exact_dedup.exact_dedup(docs, target_bytes=target, first_depth=2, memory_bytes=memory).collect()
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
     assert sum(r.kept for r in got) == len(groups) and all(r.doc_id == r.keep_id for r in got if r.kept)
     assert exact_dedup.exact_dedup(empty).count() == 0
@@ -181,11 +181,6 @@ def test_pii_and_secrets(docs, empty):
                     continue
                 want.append((kind, m.start(), m.end()))
         assert pii.base_spans(x) == want
-    field = pii.default_field()
-    hits = sum([x for x in pii.decode(field, [" ".join(t)])[0]] != [] for t, labels in pii.training_rows(2, seed=99) if set(labels) != {"O"})
-    # a drawn order number can pass for a card by its last digit: then the pattern finds it as well
-    misses = sum(pii.decode(field, [x])[0] != [] for x, labels in ((" ".join(t), l) for t, l in pii.training_rows(2, seed=99)) if set(labels) == {"O"} and not pii.base_spans(x))
-    assert hits >= 25 and misses == 0
     assert secret_scan.base_spans('token = "abc123" password: x AKIA' + "Z" * 16 + " " + "0f" * 12) == [("assign", 0, 15), ("access", 29, 49), ("hex", 50, 74)]
     text = "the client_secret is f3Kq9ZxT7Lp2VbN8wQe1 and more"
     assert [text[a:b] for _, a, b in secret_scan.novel_spans(text, [])] == ["f3Kq9ZxT7Lp2VbN8wQe1"]
@@ -239,7 +234,124 @@ def test_long_texts_stay_linear():
     for text in ("a" * 400_000, "1" * 400_000, "a." * 200_000, "+1 " * 100_000, "token" + " " * 300_000, "0f" * 200_000, "@" * 100_000):
         pii.base_spans(text)
         secret_scan.base_spans(text)
-        pii.decode(pii.default_field(), [text])
+        pii.decode(pii.Decoder(pii.default_field()), [text])
+    for text in ("0" * 1_000_000 + "1.1.1.1", "+" * 500_000, "(1) " * 50_000, "1.1.1.1 " * 50_000, "Mr. Ab " * 50_000, "²³.1.1.1 " * 1000, "a@b.c " * 50_000, "token=abcdef client_secret " * 20_000):
+        base = pii.base_spans(text)
+        found = pii.decode(pii.Decoder(pii.default_field()), [text])[0]
+        assert all(isinstance(pii.plausible(k, text[a:b]), bool) for k, a, b in found[:1000]) and len(base) <= len(text)
+        secret_scan.novel_spans(text, secret_scan.base_spans(text))
+
+
+def test_octets_with_leading_zeros():
+    for zeros in (1, 5000, 100_000):
+        text = "x " + "0" * zeros + "1.1.1.255 and 1.2.3." + "0" * zeros + "256"
+        assert pii.base_spans(text) == [("ip", 2, 2 + zeros + 9)]
+
+
+def test_cover():
+    rng = random.Random(8)
+    for _ in range(500):
+        base = [("k", a, a + rng.randint(1, 9)) for a in (rng.randint(0, 60) for _ in range(rng.randint(0, 8)))]
+        cover = spans.Cover(base)
+        for _ in range(20):
+            a = rng.randint(0, 70)
+            b = a + rng.randint(1, 12)
+            assert cover.overlaps(a, b) == any(a < e and s < b for _, s, e in base)
+
+
+def wanted_spans(tokens, labels):
+    out = []
+    for t, label in zip(tokens, labels, strict=True):
+        if label[0] == "B":
+            out.append((label[2:], t))
+        elif label[0] == "I":
+            out[-1] = (out[-1][0], out[-1][1] + " " + t)
+    return [(k, t.rstrip(pii._MARKS)) for k, t in out]
+
+
+def test_field_finds_what_it_learned():
+    """Held-out draws of the labelled table: other digits, other names. A drawn order number may pass for a card."""
+    decoder = pii.Decoder(pii.default_field())
+    rows = pii.training_rows(3, seed=99)
+    wrong = [t for t, labels in rows if [(k, " ".join(t)[a:b]) for k, a, b in pii.decode(decoder, [" ".join(t)])[0]] != wanted_spans(t, labels)]
+    assert len(wrong) <= len(rows) // 50
+    text = "Yesterday came a note. My name is Anna Berg and I live at 12 Linden Street now, says Mr. Kowalski. Ask for it."
+    assert [(k, text[a:b]) for k, a, b in pii.decode(decoder, [text])[0]] == [("name", "Anna Berg"), ("address", "12 Linden Street"), ("name", "Kowalski")]
+
+
+def small_field(rng, labels):
+    """A field of three labels only, with random weights on a few words."""
+    index = {f"w:{w}": k for k, w in enumerate("abcdef")}
+    weights = rng.normal(0, 2, (len(pii.OFFSETS), len(index), labels))
+    weights[:, :, 0] += 0.5
+    move = rng.normal(0, 1, (labels, labels))
+    move[0, 2] = -1e9
+    return pii.Field(index, weights, move)
+
+
+def test_viterbi_and_pruning_against_enumeration(monkeypatch):
+    import itertools
+
+    monkeypatch.setattr(pii, "LABELS", ("O", "B-id", "I-id"))
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        field = small_field(rng, 3)
+        texts = [" ".join(rng.choice(list("abcdefx"), rng.integers(0, 7))) for _ in range(6)]
+        got = pii.Decoder(field).labels(texts)
+        for text, labels in zip(texts, got, strict=True):
+            tokens = text.split()
+            e = np.zeros((len(tokens), 3))
+            for t in range(len(tokens)):
+                for k, offset in enumerate(pii.OFFSETS):
+                    if 0 <= t + offset < len(tokens) and (f := f"w:{tokens[t + offset]}") in field.index:
+                        e[t] += field.weights[k, field.index[f]]
+            def score(path):
+                steps = [0, *path, 0]
+                return sum(e[t, y] for t, y in enumerate(path)) + sum(field.move[x, y] for x, y in zip(steps, steps[1:], strict=False))
+            best = max(itertools.product(range(3), repeat=len(tokens)), key=score)
+            assert score(best) - score([pii.LABELS.index(labels.get(t, "O")) for t in range(len(tokens))]) < 1e-9
+
+
+def test_long_runs_are_decoded_as_one():
+    rng = np.random.default_rng(5)
+    field = pii.default_field()
+    for n in (300, 1000, 1111):
+        run = rng.normal(0, 2, (n, len(pii.LABELS)))
+        whole = field._batch(run[None], np.append(0.0, np.full(len(pii.LABELS) - 1, -1e9))[None])[0].tolist()
+        assert field.viterbi([run], block=16, warm=8) == field.viterbi([run], block=16, warm=64) == [whole]
+
+
+def test_gradient_of_the_field():
+    rows = pii.training_rows(1, seed=3)[::7]
+    data = pii.Training(rows + rows)
+    rng = np.random.default_rng(1)
+    w, m = rng.normal(0, 0.1, (len(pii.OFFSETS), len(data.index), len(pii.LABELS))), rng.normal(0, 0.1, (len(pii.LABELS),) * 2)
+    _, gw, gm = data.loss(w, m)
+    for _ in range(12):
+        k = tuple(int(rng.integers(x)) for x in w.shape)
+        for x, g, at in ((w, gw, k), (m, gm, (int(rng.integers(len(m))), 0))):
+            old, step = x[at], 1e-4
+            x[at] = old + step
+            up = data.loss(w, m)[0]
+            x[at] = old - step
+            down = data.loss(w, m)[0]
+            x[at] = old
+            assert abs((up - down) / (2 * step) - g[at]) < 1e-3 * max(1, abs(g[at]))
+
+
+def test_classes_of_tokens():
+    field = pii.default_field()
+    for t in ["abc", "Abc", "ABC,", "Name:", "name", "street", "Street,", "x.y", "É.", "12", "a1", "'x'", "...", "é!", "²", "ǅa", "日本", "日本."]:
+        assert field.known(t) == field._known(t)
+
+
+def test_word_memory_is_bounded():
+    made = []
+    memory = common.Memory(lambda w: made.append(w) or len(w), most_bytes=1 << 16)
+    for k in range(5000):
+        assert memory[f"w{k}"] == len(f"w{k}")
+    assert len(memory) < 500 and memory.held <= 1 << 16
+    assert memory["x" * 5000] == 5000 and "x" * 5000 not in memory
 
 
 def test_language(spark, docs, empty, data):
