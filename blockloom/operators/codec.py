@@ -8,32 +8,39 @@ from functools import partial
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from blockloom import schema as S
 
 
-def _encode(codec: int, level: int, batches):
+def _encode(codec: int, level: int, schema: pa.Schema, batches):
     packer = zstandard.ZstdCompressor(level=level)
     for b in batches:
-        payload, used = [], []
-        for raw in b.column("chunk").to_pylist():
-            out = raw
+        payload, used, sizes = [], [], []
+        for value in b.column("chunk"):
+            raw = out = value.as_py()
             if len(raw) >= S.TINY_FILE and codec:
                 out = packer.compress(raw) if codec == 1 else pa.compress(raw, codec="lz4_raw", asbytes=True)
             small = len(out) < len(raw)  # stored raw unless smaller
             payload.append(out if small else raw)
             used.append(codec if small else 0)
-        yield pa.RecordBatch.from_arrays([b.column("hash"), pa.array(used, pa.int32()), pa.array([len(r) for r in b.column("chunk").to_pylist()], pa.int64()), pa.array(payload, pa.binary())], names=["hash", "codec", "uncompressed_size", "payload"])
+            sizes.append(len(raw))
+        made = {"codec": pa.array(used, pa.int32()), "uncompressed_size": pa.array(sizes, pa.int64()), "payload": pa.array(payload, pa.binary())}
+        yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else b.column(f.name).cast(f.type) for f in schema], schema=schema)
 
 
 def compress_blocks(blocks: DataFrame, codec: str = "zstd", level: int = 9) -> DataFrame:
-    """hash, codec, uncompressed_size, payload of blocks(hash, chunk)."""
+    """blocks(hash, chunk, ...) with codec, uncompressed_size and payload in place of chunk."""
     if codec.lower() not in S.CODECS:
         raise ValueError(f"unknown codec {codec!r}")
-    rows = blocks.select("hash", F.col("chunk").cast("binary").alias("chunk"))
-    return rows.mapInArrow(partial(_encode, S.CODECS[codec.lower()], level), "hash string, codec int, uncompressed_size long, payload binary")
+    rows = blocks.withColumn("chunk", F.col("chunk").cast("binary"))
+    kept = T.StructType([f for f in blocks.schema if f.name != "chunk"])
+    made = T.StructType([T.StructField("codec", T.IntegerType()), T.StructField("uncompressed_size", T.LongType()), T.StructField("payload", T.BinaryType())])
+    out = T.StructType([*kept, *made])
+    return rows.mapInArrow(partial(_encode, S.CODECS[codec.lower()], level, to_arrow_schema(out)), out)
 
 
 def decode(payload: bytes, codec: int, size: int) -> bytes:
@@ -42,23 +49,26 @@ def decode(payload: bytes, codec: int, size: int) -> bytes:
     return pa.decompress(payload, decompressed_size=size, codec="lz4_raw", asbytes=True) if codec == 2 else payload
 
 
-def _decode(batches):
+def _decode(schema: pa.Schema, batches):
     for b in batches:
         out, ok = [], []
-        for payload, codec, size in zip(*(b.column(c).to_pylist() for c in ("payload", "codec", "uncompressed_size")), strict=True):
+        for payload, codec, size in zip(*(b.column(c) for c in ("payload", "codec", "uncompressed_size")), strict=True):
             try:
-                out.append(decode(payload, codec, size))
-                ok.append(True)
+                out.append(decode(payload.as_py(), codec.as_py(), size.as_py()))
+                ok.append(out[-1] is not None)
             except Exception:  # damaged payload: a finding, not a failure
                 out.append(None)
                 ok.append(False)
-        yield pa.RecordBatch.from_arrays([b.column("hash"), pa.array(out, pa.binary()), pa.array(ok)], names=["hash", "chunk", "decoded"])
+        made = {"chunk": pa.array(out, pa.binary()), "decoded": pa.array(ok)}
+        yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else b.column(f.name).cast(f.type) for f in schema], schema=schema)
 
 
 def decompress_blocks(blocks: DataFrame) -> DataFrame:
-    """hash, chunk, intact: damaged blocks have intact = false."""
-    rows = blocks.select("hash", "payload", "codec", "uncompressed_size").mapInArrow(_decode, "hash string, chunk binary, decoded boolean")
-    return rows.select("hash", "chunk", (F.col("decoded") & (F.sha2("chunk", 256) == F.col("hash"))).alias("intact"))
+    """blocks(hash, payload, codec, uncompressed_size, ...) with chunk and intact in place of these three; damaged blocks have intact = false."""
+    kept = [f for f in blocks.schema if f.name not in ("payload", "codec", "uncompressed_size")]
+    out = T.StructType([*kept, T.StructField("chunk", T.BinaryType()), T.StructField("decoded", T.BooleanType())])
+    rows = blocks.mapInArrow(partial(_decode, to_arrow_schema(out)), out)
+    return rows.withColumn("intact", F.col("decoded") & (F.sha2("chunk", 256) == F.col("hash"))).drop("decoded")
 
 
 def derive_key(passphrase: str, salt: bytes) -> bytes:
@@ -81,3 +91,19 @@ def encrypt(payload: Column, hash_: Column, codec: Column, key: bytes, level: in
 def decrypt(payload: Column, key: bytes) -> Column:
     """Null if the key is wrong or the payload was changed."""
     return F.try_aes_decrypt(payload, F.lit(key), F.lit("GCM"), F.lit("DEFAULT"))
+
+
+def new_key() -> bytes:
+    return secrets.token_bytes(32)
+
+
+def wrap(spark: SparkSession, key: bytes, outer: bytes) -> bytes:
+    """A content key under a passphrase's key. The nonce may be zero, as each salt gives a key that wraps once."""
+    row = spark.range(1).select(F.aes_encrypt(F.unhex(F.lit(key.hex())), F.unhex(F.lit(outer.hex())), F.lit("GCM"), F.lit("DEFAULT"), F.unhex(F.lit("00" * 12))))
+    return bytes(row.first()[0])
+
+
+def unwrap(spark: SparkSession, wrapped: bytes, outer: bytes) -> bytes | None:
+    """The content key, or None if the outer key is wrong."""
+    row = spark.range(1).select(F.try_aes_decrypt(F.unhex(F.lit(wrapped.hex())), F.unhex(F.lit(outer.hex())), F.lit("GCM"), F.lit("DEFAULT"))).first()
+    return None if row[0] is None else bytes(row[0])

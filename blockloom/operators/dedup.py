@@ -7,10 +7,13 @@ that no task sorts all blocks: sums within ranges of seq, then the ranges' own s
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom import schema as S
+from blockloom.scratch import store
 
 
 def running(df: DataFrame, order: str, sums: dict[str, Column], span: int = 100_000) -> DataFrame:
@@ -24,6 +27,26 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], span: int = 100_
     return out.withColumns({k: (F.col(f"s_{k}") + F.col(f"i_{k}")).cast("long") for k in sums}).drop("_range", *[f"{p}_{k}" for k in sums for p in ("s", "i")], *[f"_{k}" for k in sums])
 
 
+def by_ranges(df: DataFrame, *order: str) -> DataFrame:
+    """df dealt by ranges of its order columns over all tasks, as a stored table with the range's number in _range.
+
+    Stored, because where the borders lie comes from a sample: what is counted and what is numbered must agree.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return store(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def numbered(df: DataFrame, order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """Like running(), over several order columns of any values: nothing depends on how dense they are."""
+    placed = by_ranges(df.withColumns({f"_{k}": v for k, v in sums.items()}), *order)
+    totals = placed.groupBy("_range").agg(*[F.sum(f"_{k}").alias(f"t_{k}") for k in sums])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each task
+    starts = totals.select("_range", *[F.coalesce(F.sum(f"t_{k}").over(before), F.lit(0)).alias(f"s_{k}") for k in sums])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.withColumns({f"i_{k}": F.coalesce(F.sum(f"_{k}").over(inside), F.lit(0)) for k in sums}).join(F.broadcast(starts), "_range")
+    return out.withColumns({k: (F.col(f"s_{k}") + F.col(f"i_{k}")).cast("long") for k in sums}).drop("_range", *[f"{p}{k}" for k in sums for p in ("s_", "i_", "_")])
+
+
 def first_seen(chunks: DataFrame) -> DataFrame:
     """hash, first_seq, uses of every distinct hash."""
     return chunks.groupBy("hash").agg(F.min("seq").alias("first_seq"), F.count("*").alias("uses"))

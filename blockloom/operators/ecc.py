@@ -5,11 +5,12 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom import schema as S
+from blockloom.operators import dedup
 
 POLYNOMIAL = 0x11D
 
@@ -27,9 +28,17 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return exp, log
 
 
-def gf_mul(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+@functools.cache
+def products() -> np.ndarray:
+    """The whole multiplication table: row a holds a times every byte."""
     exp, log = _tables()
-    return np.where((a == 0) | (b == 0), 0, exp[log[a] + log[b]])
+    table = exp[log[:, None] + log[None, :]].astype(np.uint8)
+    table[0], table[:, 0] = 0, 0
+    return table
+
+
+def gf_mul(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return products()[a, b]
 
 
 def gf_inverse(a: int) -> int:
@@ -38,19 +47,22 @@ def gf_inverse(a: int) -> int:
 
 
 def gf_matmul(m: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(m), rows.shape[1]), np.int64)
-    for k in range(m.shape[1]):
-        out ^= gf_mul(m[:, k : k + 1], rows[k][None].astype(np.int64))
+    """A small matrix times rows of bytes: one look-up in a row of 256 bytes for each coefficient and byte."""
+    out = np.zeros((len(m), rows.shape[1]), np.uint8)
+    for i in range(len(m)):
+        for k in range(m.shape[1]):
+            if m[i, k]:
+                out[i] ^= products()[m[i, k]][rows[k]]
     return out
 
 
 def gf_invert(m: np.ndarray) -> np.ndarray:
     n = len(m)
-    a = np.concatenate([m.astype(np.int64), np.eye(n, dtype=np.int64)], 1)
+    a = np.concatenate([m.astype(np.uint8), np.eye(n, dtype=np.uint8)], 1)
     for c in range(n):
         p = c + int(np.flatnonzero(a[c:, c])[0])
         a[[c, p]] = a[[p, c]]
-        a[c] = gf_mul(a[c], np.int64(gf_inverse(int(a[c, c]))))
+        a[c] = gf_mul(a[c], gf_inverse(int(a[c, c])))
         for r in range(n):
             if r != c and a[r, c]:
                 a[r] ^= gf_mul(a[c], a[r, c])
@@ -59,7 +71,7 @@ def gf_invert(m: np.ndarray) -> np.ndarray:
 
 def parity_matrix(parity: int, data: int = S.ECC_DATA) -> np.ndarray:
     """A Cauchy matrix: any `data` rows of it and the identity can be inverted."""
-    return np.array([[gf_inverse((data + p) ^ d) for d in range(data)] for p in range(parity)], np.int64)
+    return np.array([[gf_inverse((data + p) ^ d) for d in range(data)] for p in range(parity)], np.uint8).reshape(parity, data)
 
 
 def encode(shards: list[bytes], parity: int, data: int = S.ECC_DATA) -> list[bytes]:
@@ -68,13 +80,13 @@ def encode(shards: list[bytes], parity: int, data: int = S.ECC_DATA) -> list[byt
     rows = np.zeros((data, size), np.uint8)
     for k, s in enumerate(shards):
         rows[k, : len(s)] = np.frombuffer(s, np.uint8)
-    return [r.astype(np.uint8).tobytes() for r in gf_matmul(parity_matrix(parity, data), rows)]
+    return [r.tobytes() for r in gf_matmul(parity_matrix(parity, data), rows)]
 
 
 def reconstruct(shards: list[bytes | None], sizes: list[int], parity: list[bytes | None], data: int = S.ECC_DATA) -> list[bytes]:
     """All data shards, from the shards and parity that are there. sizes: true length of each data shard."""
     size = max([len(p) for p in parity if p is not None] + sizes + [0])
-    full = np.concatenate([np.eye(data, dtype=np.int64), parity_matrix(len(parity), data)])
+    full = np.concatenate([np.eye(data, dtype=np.uint8), parity_matrix(len(parity), data)])
     pad = lambda s: np.frombuffer(s.ljust(size, b"\0"), np.uint8)
     have = {k: pad(s) for k, s in enumerate([*shards, *[b""] * (data - len(shards))]) if s is not None}
     have |= {data + k: pad(p) for k, p in enumerate(parity) if p is not None}
@@ -82,45 +94,63 @@ def reconstruct(shards: list[bytes | None], sizes: list[int], parity: list[bytes
         raise ValueError(f"{data - len(have)} shards too few to reconstruct")
     use = sorted(have)[:data]
     rows = gf_matmul(gf_invert(full[use]), np.stack([have[k] for k in use]))
-    return [rows[k].astype(np.uint8).tobytes()[: sizes[k]] for k in range(len(shards))]
+    return [rows[k].tobytes()[: sizes[k]] for k in range(len(shards))]
+
+
+_PARITY = pa.schema([("group_id", pa.int64()), ("parity_idx", pa.int32()), ("shard_size", pa.int64()), ("payload", pa.binary())])
+_FIXED = pa.schema([("block_seq", pa.int64()), ("payload", pa.binary()), ("repaired", pa.bool_())])
 
 
 def parity_blocks(blocks: DataFrame, parity: int) -> DataFrame:
     """group_id, parity_idx, shard_size, hash, payload for blocks(group_id, block_seq, payload). A group is ten blocks at most."""
 
-    def make(g: pd.DataFrame) -> pd.DataFrame:
-        out = encode(list(g.sort_values("block_seq")["payload"]), parity)
-        return pd.DataFrame({"group_id": g["group_id"].iloc[0], "parity_idx": range(parity), "shard_size": len(out[0]) if out else 0, "payload": out})
+    def make(g: pa.Table) -> pa.Table:
+        out = encode(g.sort_by("block_seq").column("payload").to_pylist(), parity)
+        return pa.Table.from_pydict({"group_id": [g.column("group_id")[0].as_py()] * parity, "parity_idx": list(range(parity)), "shard_size": [len(x) for x in out], "payload": out}, _PARITY)
 
-    rows = blocks.select("group_id", "block_seq", "payload").groupBy("group_id").applyInPandas(make, "group_id long, parity_idx int, shard_size long, payload binary")
+    rows = blocks.select(F.col("group_id").cast("long"), "block_seq", "payload").groupBy("group_id").applyInArrow(make, "group_id long, parity_idx int, shard_size long, payload binary")
     return rows.withColumn("hash", F.sha2("payload", 256))
 
 
 def repair_groups(blocks: DataFrame, parity: DataFrame) -> DataFrame:
-    """block_seq, payload, repaired of damaged blocks. blocks: group_id, block_seq, payload, size, intact."""
+    """block_seq, payload, repaired of damaged blocks. blocks: group_id, block_seq, payload, size, intact; size is the stored payload's."""
     width = parity.select((F.max("parity_idx") + 1).alias("w")).first()["w"] or 0
     groups = blocks.filter("NOT intact").select("group_id").distinct()
     data = blocks.join(groups, "group_id", "left_semi").select("group_id", F.col("block_seq").alias("at"), F.when(F.col("intact"), F.col("payload")).alias("payload"), F.col("size").cast("long"), F.lit(False).alias("is_parity"))
     sound = F.when(F.sha2("payload", 256) == F.col("hash"), F.col("payload"))
     extra = parity.join(groups, "group_id", "left_semi").select("group_id", F.col("parity_idx").cast("long").alias("at"), sound.alias("payload"), F.col("shard_size").alias("size"), F.lit(True).alias("is_parity"))
 
-    def fix(g: pd.DataFrame) -> pd.DataFrame:
-        own = g[~g["is_parity"]].sort_values("at")
+    def fix(g: pa.Table) -> pa.Table:
+        rows = sorted(g.select(["at", "payload", "size", "is_parity"]).to_pylist(), key=lambda r: r["at"])
+        own = [r for r in rows if not r["is_parity"]]
         pars: list[bytes | None] = [None] * width
-        for _, r in g[g["is_parity"]].iterrows():
-            pars[int(r["at"])] = r["payload"]
-        bad = own["payload"].isna().to_numpy()
+        for r in rows:
+            if r["is_parity"]:
+                pars[r["at"]] = r["payload"]
         try:
-            full = reconstruct([None if b else p for b, p in zip(bad, own["payload"], strict=True)], [int(s) for s in own["size"]], pars)
+            full = reconstruct([r["payload"] for r in own], [r["size"] for r in own], pars)
         except ValueError:
             full = [None] * len(own)
-        return pd.DataFrame({"block_seq": own["at"].to_numpy()[bad], "payload": [f for f, b in zip(full, bad, strict=True) if b], "repaired": [f is not None for f, b in zip(full, bad, strict=True) if b]})
+        bad = [(r["at"], f) for r, f in zip(own, full, strict=True) if r["payload"] is None]
+        return pa.Table.from_pydict({"block_seq": [k for k, _ in bad], "payload": [f for _, f in bad], "repaired": [f is not None for _, f in bad]}, _FIXED)
 
-    return data.union(extra).groupBy("group_id").applyInPandas(fix, "block_seq long, payload binary, repaired boolean")
+    return data.union(extra).groupBy("group_id").applyInArrow(fix, "block_seq long, payload binary, repaired boolean")
 
 
 def islands(scan: DataFrame) -> DataFrame:
-    """group_no of each row of a linear scan(offset, is_parity): a group begins at data after parity."""
-    w = Window.orderBy("offset")
-    start = ~F.col("is_parity") & F.coalesce(F.lag("is_parity").over(w), F.lit(False))
-    return scan.withColumn("begins", start.cast("int")).withColumn("group_no", F.sum("begins").over(w)).drop("begins")
+    """group_no of each row of a linear scan(offset, is_parity): a group begins at data after parity.
+
+    Rows are dealt by ranges of offset. What crosses a border is one row for each range: its last row's kind,
+    and how many groups began before it.
+    """
+    placed = dedup.by_ranges(scan, "offset")
+    by_range = Window.orderBy("_range")  # one row for each task
+    ends = placed.groupBy("_range").agg(F.max_by("is_parity", "offset").alias("last"))
+    ends = ends.select("_range", F.lag("last").over(by_range).alias("before"))
+    inside = Window.partitionBy("_range").orderBy("offset")
+    rows = placed.join(F.broadcast(ends), "_range").withColumn("previous", F.coalesce(F.lag("is_parity").over(inside), "before", F.lit(False)))
+    rows = rows.withColumn("begins", (~F.col("is_parity") & F.col("previous")).cast("int"))
+    starts = rows.groupBy("_range").agg(F.sum("begins").alias("n"))
+    starts = starts.select("_range", F.coalesce(F.sum("n").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    number = F.col("start") + F.sum("begins").over(inside)
+    return rows.join(F.broadcast(starts), "_range").withColumn("group_no", number).drop("begins", "previous", "before", "start", "_range")

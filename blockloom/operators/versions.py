@@ -52,13 +52,17 @@ def new_blocks(files: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def as_of(events: DataFrame, generations: DataFrame) -> DataFrame:
-    """Latest event of each path up to the end of each generation's day.
+    """Latest event of each path up to the end of each generation's day: generation, path, hash, size, mtime.
 
     events: path, day, order columns ts and event_id, hash, size. The last event of each path and day is
-    found first, so that a generation sees one row for each path and day at most.
+    found first, so that a generation sees one row for each path and day at most. A row is laid out over the
+    days that it is the latest of, within the days of the generations, and joined to them by equality.
     """
     daily = events.groupBy("path", "day").agg(F.max(F.struct("ts", "event_id", "hash", "size")).alias("e"))
-    until = F.lead("day").over(Window.partitionBy("path").orderBy("day"))
-    spans = daily.withColumn("until", until)
-    live = (F.col("generation") >= F.col("day")) & (F.col("until").isNull() | (F.col("generation") < F.col("until")))
-    return F.broadcast(generations).join(spans, live).select("generation", "path", "e.hash", "e.size", F.col("e.ts").alias("mtime"))
+    until = F.lead("day").over(Window.partitionBy("path").orderBy("day")) - 1
+    low, high = generations.agg(F.min("generation"), F.max("generation")).first()
+    first = F.greatest(F.col("day"), F.lit(low).cast("long"))
+    last = F.least(F.coalesce(until, F.lit(high).cast("long")), F.lit(high).cast("long"))
+    spans = daily.withColumns({"first": first, "last": last}).filter("first <= last")
+    live = spans.withColumn("generation", F.explode(F.sequence("first", "last")))
+    return live.join(F.broadcast(generations), "generation").select("generation", "path", "e.hash", "e.size", F.col("e.ts").alias("mtime"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +10,10 @@ from pyspark.sql import functions as F
 from blockloom import schema as S
 from blockloom.functions import scalar
 from blockloom.operators import chunk, codec, dedup, ecc, merkle, versions, volumes
-from blockloom.operators.archive import Archive, Options
-from blockloom.sources.files import scratch_dir, table_files
-from blockloom.sources.restore import link_stays_inside
+from blockloom.operators.archive import Archive, Options, convert, join, merge
+from blockloom.scratch import new_folder
+from blockloom.sources.files import table_files
+from blockloom.sources.restore import link_stays_inside, write_tars
 
 CHUNK, CAP, VOLUME, PARITY, RENAMED = 1024, 100, 200_000, 2, 1_000_000_000_000
 
@@ -56,8 +56,10 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _generations(spark: SparkSession, d: str) -> DataFrame:
-    days = spark.range(30).withColumnRenamed("id", "generation")
-    return versions.as_of(_events(spark, d), days)
+    """A generation for each day from the first event's to the last one's: one row a day."""
+    events = _events(spark, d)
+    days = events.agg(F.min("day").alias("low"), F.max("day").alias("high")).select(F.explode(F.sequence("low", "high")).alias("generation"))
+    return versions.as_of(events, days)
 
 
 def _damaged(spark: SparkSession, d: str) -> DataFrame:
@@ -117,15 +119,16 @@ def chunk_dedup_stats(s, d):
 def manifest_refs(s, d):
     """Ordered chunk hashes of each file, as one fingerprint."""
     c = chunk.fixed_chunks(_files(s, d), CHUNK).groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("pos", "hash"))).alias("r"))
-    return c.select("seq", F.size("r").cast("long").alias("n_refs"), F.sha2(F.array_join(F.transform("r", lambda x: x["hash"]), ""), 256).alias("fingerprint"))
+    c = _files(s, d).select("seq").join(c, "seq", "left")  # an empty file has no chunks and stays
+    return c.select("seq", F.coalesce(F.size("r"), F.lit(0)).cast("long").alias("n_refs"), F.sha2(F.coalesce(F.array_join(F.transform("r", lambda x: x["hash"]), ""), F.lit("")), 256).alias("fingerprint"))
 
 
 def _rebuilt(s, d):
     """Files put together again from references and unique blocks."""
     c = chunk.fixed_chunks(_files(s, d), CHUNK)
     store = c.groupBy("hash").agg(F.min("chunk").alias("chunk"))
-    rows = c.select("seq", "pos", "hash").join(store, "hash").groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("pos", "chunk"))).alias("p"))
-    return rows.select("seq", F.array_join(F.transform("p", lambda x: x["chunk"]), "").alias("content"))
+    rows = c.select("seq", "pos", "hash").join(store, "hash").groupBy("seq").agg(chunk.joined(F.collect_list(F.struct("pos", "chunk")), "chunk", "string").alias("content"))
+    return _files(s, d).select("seq").join(rows, "seq", "left").select("seq", F.coalesce("content", F.lit("")).alias("content"))
 
 
 def extract_roundtrip(s, d):
@@ -135,8 +138,8 @@ def extract_roundtrip(s, d):
 def cat_one(s, d):
     """One file only: the filter reaches the scan before chunks are made."""
     f = _files(s, d).filter("seq = 7")
-    c = chunk.fixed_chunks(f, CHUNK).groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("pos", "chunk"))).alias("p"))
-    return c.select("seq", F.array_join(F.transform("p", lambda x: x["chunk"]), "").alias("content"))
+    c = chunk.fixed_chunks(f, CHUNK).groupBy("seq").agg(chunk.joined(F.collect_list(F.struct("pos", "chunk")), "chunk", "string").alias("content"))
+    return f.select("seq").join(c, "seq", "left").select("seq", F.coalesce("content", F.lit("")).alias("content"))
 
 
 def list_short(s, d):
@@ -149,7 +152,7 @@ def list_long(s, d):
     return o.select(F.col("o_orderkey").alias("path"), scalar.type_char(kind).alias("type"), scalar.octal_mode(F.col("o_orderkey") % 4096).alias("mode"))
 
 
-def archive_info(s, d):
+def file_totals(s, d):
     f = _files(s, d)
     return f.agg(F.count("*").alias("files"), F.sum("size").alias("original_bytes"), F.countDistinct("hash").alias("unique_blocks"), F.max("size").alias("largest"))
 
@@ -359,16 +362,139 @@ def content_chunks(s, d):
 
 def content_roundtrip(s, d):
     """Content-defined chunks put together again hash to the source's hash."""
-    c = chunk.content_chunks(_files(s, d), 256, 1024, 4096).groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("pos", "chunk"))).alias("p"))
-    whole = F.aggregate("p", F.unhex(F.lit("")), lambda acc, x: F.concat(acc, x["chunk"]))
-    return c.select("seq", F.sha2(whole, 256).alias("hash"))
+    c = chunk.content_chunks(_files(s, d), 256, 1024, 4096).groupBy("seq").agg(chunk.joined(F.collect_list(F.struct("pos", "chunk")), "chunk").alias("content"))
+    return _files(s, d).select("seq").join(c, "seq", "left").select("seq", F.sha2(F.coalesce("content", F.lit(b"")), 256).alias("hash"))
+
+
+#: Each file up to 128 MB is one chunk, so that SQL can tell blocks; the round trip cuts files into many.
+WHOLE = Options(least=1 << 27, average=1 << 28, most=1 << 29)
+
+
+def _archive_files(s, d, edited: bool = False) -> DataFrame:
+    """All documents as files; edited: two thirds of them with a line more, and every fifth with another name."""
+    f = _files(s, d).select("seq", "path", "content", (F.col("seq") * 1000).alias("mtime_ns"))
+    if edited:
+        content = F.when(F.col("seq") % 3 != 0, F.concat("content", F.lit("\nv2"))).otherwise(F.col("content"))
+        path = F.when(F.col("seq") % 5 == 0, F.concat(F.lit("new/"), "path")).otherwise(F.col("path"))
+        f = f.select("seq", path.alias("path"), content.alias("content"), F.expr("mtime_ns + case seq % 4 when 0 then 10 when 1 then -10 else 0 end").alias("mtime_ns"))
+    return f.withColumn("content", F.encode("content", "UTF-8"))
+
+
+def _archive(s, d, options: Options = WHOLE, edited: bool = False) -> Archive:
+    return Archive.create(_archive_files(s, d, edited), f"{new_folder(s)}/archive", options)
+
+
+def _told(archive: Archive, generation: int | None = None) -> DataFrame:
+    return archive.extract(generation).select("path", F.sha2("content", 256).alias("hash"), F.octet_length("content").cast("long").alias("size"))
 
 
 def archive_roundtrip(s, d):
-    """Documents written as an archive and read back from it."""
-    files = _files(s, d).select("seq", "path", F.encode("content", "UTF-8").alias("content"))
-    archive = Archive.create(files, f"{scratch_dir(s)}/{uuid.uuid4().hex}/archive", Options(least=256, average=1024, most=4096))
-    return archive.extract().select("path", F.sha2("content", 256).alias("hash"), F.octet_length("content").cast("long").alias("size"))
+    """Documents written as an archive of many chunks each and read back from it."""
+    return _told(_archive(s, d, Options(least=256, average=1024, most=4096)))
+
+
+def archive_create_stats(s, d):
+    return _archive(s, d).stats().drop("stored_bytes", "archive_size")
+
+
+def archive_info(s, d):
+    return _archive(s, d).info().drop("stored_bytes", "ratio")
+
+
+def archive_list(s, d):
+    return _archive(s, d).list(long=True)
+
+
+def archive_append_log(s, d):
+    return _archive(s, d).append(_archive_files(s, d, True)).log()
+
+
+def archive_append_stats(s, d):
+    """New and reused blocks of two generations; the second sees the first one's blocks."""
+    return _archive(s, d).append(_archive_files(s, d, True)).stats().select("generation", "input_bytes", "block_count", "new_blocks", "reused_blocks", "dedup_savings")
+
+
+def archive_time_travel(s, d):
+    return _told(_archive(s, d).append(_archive_files(s, d, True)), 0)
+
+
+def archive_diff(s, d):
+    return _archive(s, d).append(_archive_files(s, d, True)).diff(0, 1)
+
+
+def archive_incremental(s, d):
+    """Files read back from an archive that holds only what its base lacks."""
+    return _told(_archive(s, d).incremental(_archive_files(s, d, True), f"{new_folder(s)}/incremental"))
+
+
+def archive_incremental_stats(s, d):
+    return _archive(s, d).incremental(_archive_files(s, d, True), f"{new_folder(s)}/incremental").stats().select("files", "input_bytes", "block_count", "new_blocks", "reused_blocks")
+
+
+def archive_merge(s, d):
+    return _told(merge(_archive(s, d), _archive(s, d, edited=True), f"{new_folder(s)}/merged"))
+
+
+def archive_split_join(s, d):
+    """Files read back after the blocks went into volumes and out of them."""
+    volumes_at = new_folder(s)
+    _archive(s, d).split(volumes_at, VOLUME)
+    return _told(join(s, volumes_at, f"{new_folder(s)}/joined"))
+
+
+def _broken(s, d, modulus: int, parts: tuple[int, ...], options: Options = WHOLE) -> Archive:
+    """An archive of all documents in which some blocks have lost their last byte."""
+    sound, path = _archive(s, d, options), f"{new_folder(s)}/broken"
+    hit = (F.col("block_seq") % modulus).isin(*parts)
+    cut = F.when(hit, F.substring(F.col("payload"), F.lit(1), F.octet_length("payload") - 1)).otherwise(F.col("payload"))
+    sound.blocks().withColumn("payload", cut).write.parquet(f"{path}/blocks")
+    sound._copy(path, "manifest", "parity", "meta")
+    return Archive(s, path)
+
+
+def archive_verify(s, d):
+    return _broken(s, d, 13, (0, 1)).verify()
+
+
+def archive_repair(s, d):
+    broken = _broken(s, d, 10, (2, 7))
+    return broken.repairs(broken.repair(f"{new_folder(s)}/repaired"))
+
+
+def archive_repair_partly(s, d):
+    """Groups that lost more blocks than they have parity stay damaged."""
+    broken = _broken(s, d, 20, (2, 7, 8, 13))
+    return broken.repairs(broken.repair(f"{new_folder(s)}/repaired"))
+
+
+def archive_heal(s, d):
+    """Files read from an archive with damaged blocks, which parity restores on the way."""
+    return _told(_broken(s, d, 10, (2, 7)))
+
+
+def archive_encrypted(s, d):
+    """Files read from an encrypted archive after its passphrase was changed."""
+    return _told(_archive(s, d, Options(passphrase="first", ecc="none")).rekey("first", "second"))
+
+
+def archive_convert(s, d):
+    """Documents as tar files, and these as an archive."""
+    tars = new_folder(s)
+    write_tars(_archive_files(s, d), tars)
+    return _told(convert(s, tars, f"{new_folder(s)}/converted", WHOLE))
+
+
+def archive_restore(s, d):
+    return _archive(s, d).restore(f"{new_folder(s)}/out".removeprefix("file://"))
+
+
+def archive_block_offsets(s, d):
+    """Where references point: no two blocks of an archive share a place, and each has room for the one before it."""
+    a = _archive(s, d)
+    refs = a.manifest().select(F.explode("block_refs").alias("r")).select("r.hash", "r.offset").distinct()
+    placed = refs.join(a.blocks().select("hash", "block_seq", "group_id", "compressed_size"), "hash")
+    groups = placed.groupBy("group_id").agg(F.min("offset").alias("first"), F.max(F.col("offset") + F.col("compressed_size")).alias("last"), F.sum(F.col("compressed_size") + S.BLOCK_HEADER_SIZE).alias("bytes"), F.count("*").alias("blocks"))
+    return groups.select("group_id", "blocks", (F.col("last") - F.col("first") == F.col("bytes") - S.BLOCK_HEADER_SIZE).alias("gapless"))
 
 
 def codec_roundtrip(s, d):
@@ -392,20 +518,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 # ---- SQL ----
 
-_C = "c AS (SELECT doc_id AS seq, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS len FROM documents)"
+_C = "c AS (SELECT doc_id AS seq, sha256(coalesce(text, '')) AS hash, CAST(strlen(coalesce(text, '')) AS BIGINT) AS len FROM documents)"
 _B = f"""{_C}, f AS (SELECT hash, min(seq) AS seq, count(*) AS uses FROM c GROUP BY hash),
 b AS (SELECT c.seq, c.hash, c.len, uses, row_number() OVER (ORDER BY c.seq) - 1 AS block_seq,
       CAST({S.HEADER_SIZE} + coalesce(sum(c.len + {S.BLOCK_HEADER_SIZE}) OVER (ORDER BY c.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM c JOIN f USING (seq, hash))"""
-_K = f"""k AS (SELECT doc_id AS seq, CAST(i AS INTEGER) AS pos, substring(text, CAST(i * {CHUNK} + 1 AS BIGINT), {CHUNK}) AS chunk
-     FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / {CHUNK}.0) AS BIGINT))) AS i FROM documents))"""
-_V = f"""f AS (SELECT doc_id AS path, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS size, doc_id * 1000 AS mtime FROM documents),
+_K = f"""k AS (SELECT doc_id AS seq, CAST(i AS INTEGER) AS pos, substring(coalesce(text, ''), CAST(i * {CHUNK} + 1 AS BIGINT), {CHUNK}) AS chunk
+     FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(coalesce(text, '')) / {CHUNK}.0) AS BIGINT))) AS i FROM documents))"""
+_V = f"""f AS (SELECT doc_id AS path, sha256(coalesce(text, '')) AS hash, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, doc_id * 1000 AS mtime FROM documents),
 a AS (SELECT * FROM f),
 b AS (SELECT path + CASE WHEN path % 3 = 0 THEN {RENAMED} ELSE 0 END AS path, CASE WHEN path % 7 = 0 THEN sha256(hash || 'v2') ELSE hash END AS hash, size, mtime + CASE path % 5 WHEN 0 THEN 10 WHEN 1 THEN -10 ELSE 0 END AS mtime FROM f)"""
+_A = """t0 AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+t1 AS (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN text || chr(10) || 'v2' ELSE text END AS text FROM t0),
+a0 AS (SELECT CAST(doc_id AS VARCHAR) AS path, doc_id * 1000 AS mtime, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS size FROM t0),
+a1 AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'new/' ELSE '' END || CAST(doc_id AS VARCHAR) AS path, doc_id * 1000 + CASE doc_id % 4 WHEN 0 THEN 10 WHEN 1 THEN -10 ELSE 0 END AS mtime, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS size FROM t1),
+b0 AS (SELECT sha256(text) AS hash, min(strlen(text)) AS size, row_number() OVER (ORDER BY min(doc_id)) - 1 AS k FROM t0 WHERE text <> '' GROUP BY text)"""
 _I = f"""{_C}, x AS (SELECT seq, len, CASE WHEN seq % 3 <> 0 THEN sha256(hash || 'v2') ELSE hash END AS hash FROM c), n AS (SELECT hash, min(seq) AS base_seq FROM c GROUP BY hash)"""
 _W = f"""{_V}, w AS (SELECT path, src, mtime, hash, size FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY mtime DESC, src) AS k
      FROM (SELECT 'a' AS src, * FROM a UNION ALL SELECT 'b', * FROM b)) WHERE k = 1)"""
 _G = """e AS (SELECT user_id AS path, datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day, ts, event_id, sha256(concat_ws('|', event_type, props)) AS hash, CAST(strlen(concat_ws('|', event_type, props)) AS BIGINT) AS size FROM events),
-g AS (SELECT generation, path, hash, size FROM (SELECT generation, e.*, row_number() OVER (PARTITION BY generation, path ORDER BY ts DESC, event_id DESC) AS k FROM range(30) r(generation) JOIN e ON day <= generation) WHERE k = 1)"""
+g AS (SELECT generation, path, hash, size FROM (SELECT generation, e.*, row_number() OVER (PARTITION BY generation, path ORDER BY ts DESC, event_id DESC) AS k FROM (SELECT unnest(range((SELECT min(day) FROM e), (SELECT max(day) + 1 FROM e))) AS generation) r JOIN e ON day <= generation) WHERE k = 1)"""
 _DEPTH = """p AS (SELECT path, target, list_filter(string_split(regexp_replace(path, '[^/]*$', '') || target, '/'), lambda x: x NOT IN ('', '.')) AS c FROM v),
 w AS (SELECT path, target, list_transform(range(1, len(c) + 1), lambda i: list_sum(list_transform(c[1:i], lambda x: CASE WHEN x = '..' THEN -1 ELSE 1 END))) AS d FROM p)"""
 _DIFF = "CASE WHEN y.path IS NULL THEN 'removed' WHEN x.path IS NULL THEN 'added' WHEN x.hash = y.hash AND x.size = y.size THEN 'unchanged' ELSE 'modified' END"
@@ -425,6 +556,7 @@ def _values(rows: list, *names: str) -> str:
 def oracle_sql() -> dict[str, str]:
     bad = "d AS (SELECT *, block_seq // 10 AS group_id, block_seq % 13 = 0 AS corrupted FROM b)"
     versions_sql = lambda c: f"list_filter(list_transform(string_split({c}, '.'), lambda x: TRY_CAST(x AS BIGINT)), lambda x: x IS NOT NULL)"
+    told = "SELECT path, hash, size FROM {}"
     size = r"regexp_extract(text, '^\s*([0-9]+(?:\.[0-9]+)?)\s*[KMGkmg]?\s*$', 1)"
     return {
         "dedup_block_refs": f'WITH {_B} SELECT c.seq, c.hash, c.len, c.seq = b.seq AS is_new, b."offset" FROM c JOIN b USING (hash)',
@@ -436,12 +568,12 @@ def oracle_sql() -> dict[str, str]:
         "ecc_overhead": "WITH v(level, parity) AS (VALUES ('low', 2), ('Medium', 4), ('med', 4), ('high', 6), ('none', 0), ('OFF', 0), ('odd', NULL)) SELECT level, coalesce(parity, -1) AS parity, coalesce(CAST(parity * 10 AS DOUBLE), -1) AS overhead FROM v",
         "fixed_chunks": f"WITH {_K} SELECT seq, pos, sha256(chunk) AS hash, CAST(strlen(chunk) AS BIGINT) AS len FROM k",
         "chunk_dedup_stats": f"WITH {_K}, c AS (SELECT sha256(chunk) AS hash, CAST(strlen(chunk) AS BIGINT) AS len FROM k) {_STATS.format(t='c')}",
-        "manifest_refs": f"WITH {_K} SELECT seq, count(*) AS n_refs, sha256(string_agg(sha256(chunk), '' ORDER BY pos)) AS fingerprint FROM k GROUP BY seq",
-        "extract_roundtrip": "SELECT doc_id AS seq, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS size FROM documents WHERE text <> ''",
-        "cat_one": "SELECT doc_id AS seq, text AS content FROM documents WHERE doc_id = 7",
+        "manifest_refs": f"WITH {_K} SELECT doc_id AS seq, count(k.seq) AS n_refs, sha256(coalesce(string_agg(sha256(chunk), '' ORDER BY pos), '')) AS fingerprint FROM documents LEFT JOIN k ON k.seq = doc_id GROUP BY doc_id",
+        "extract_roundtrip": f"WITH {_C} SELECT seq, hash, len AS size FROM c",
+        "cat_one": "SELECT doc_id AS seq, coalesce(text, '') AS content FROM documents WHERE doc_id = 7",
         "list_short": "SELECT CAST(doc_id AS VARCHAR) AS path FROM documents",
         "list_long": "SELECT o_orderkey AS path, CASE WHEN o_orderkey % 7 = 0 THEN 'd' WHEN o_orderkey % 11 = 0 THEN 'l' ELSE '-' END AS type, printf('%o', o_orderkey % 4096) AS mode FROM orders",
-        "archive_info": f"WITH {_C} SELECT count(*) AS files, CAST(sum(len) AS BIGINT) AS original_bytes, count(DISTINCT hash) AS unique_blocks, max(len) AS largest FROM c",
+        "file_totals": f"WITH {_C} SELECT count(*) AS files, CAST(sum(len) AS BIGINT) AS original_bytes, count(DISTINCT hash) AS unique_blocks, max(len) AS largest FROM c",
         "archive_flags": "SELECT range AS flags, CASE WHEN range = 0 THEN 'none' ELSE concat_ws(', ', CASE WHEN range & 1 <> 0 THEN 'encrypted' END, CASE WHEN range & 2 <> 0 THEN 'erasure-coded' END, CASE WHEN range & 4 <> 0 THEN 'append-only' END, CASE WHEN range & 8 <> 0 THEN 'incremental' END) END AS names FROM range(16)",
         "generation_log": f"WITH {_G} SELECT generation, count(*) AS files, CAST(sum(size) AS BIGINT) AS total_size FROM g GROUP BY 1",
         "generation_at": f"WITH {_G} SELECT path, hash, size FROM g WHERE generation = 12",
@@ -476,12 +608,34 @@ def oracle_sql() -> dict[str, str]:
         "eta_texts": "WITH t AS (SELECT o_orderkey, o_orderkey % 100 + 1 AS k, o_custkey AS s FROM orders), l AS (SELECT o_orderkey, k, CAST(floor(s * (100 - k) / k) AS BIGINT) AS x FROM t) SELECT o_orderkey, CASE WHEN k < 10 THEN '' WHEN x < 60 THEN printf('ETA %ds', x) WHEN x < 3600 THEN printf('ETA ~%dm', x // 60) ELSE printf('ETA ~%dh%02dm', x // 3600, x % 3600 // 60) END AS eta FROM l",
         "header_checksum": "SELECT doc_id, substr(sha256(text), 1, 16) AS checksum FROM documents",
         "throughput": "WITH h AS (SELECT source, sum(strlen(text)) AS b, min(strlen(text)) AS l FROM documents GROUP BY source, sha256(text)) SELECT source, CAST(sum(b) AS BIGINT) AS input_bytes, CAST(sum(l) AS BIGINT) AS unique_bytes, CAST(sum(b) AS DOUBLE) / CAST(sum(l) AS DOUBLE) AS ratio, CAST(sum(b) AS DOUBLE) / 1048576.0 / 2.0 AS mb_per_second FROM h GROUP BY source",
-        "slice_bounds": "WITH f AS (SELECT doc_id AS seq, text, doc_id * 37 % 500 AS st, doc_id * 37 % 500 + 400 <= length(text) AS inside FROM documents) SELECT seq, inside, CASE WHEN inside THEN sha256(substring(text, st + 1, 400)) ELSE '' END AS hash FROM f",
+        "slice_bounds": "WITH f AS (SELECT doc_id AS seq, coalesce(text, '') AS text, doc_id * 37 % 500 AS st, doc_id * 37 % 500 + 400 <= length(coalesce(text, '')) AS inside FROM documents) SELECT seq, inside, CASE WHEN inside THEN sha256(substring(text, st + 1, 400)) ELSE '' END AS hash FROM f",
         "block_source": f"WITH {_I} SELECT CASE WHEN base_seq IS NULL THEN 'own' ELSE 'base' END AS source, count(*) AS refs, count(DISTINCT hash) AS blocks FROM x LEFT JOIN n USING (hash) GROUP BY 1",
         "repair_counts": f"WITH {_B}, {bad}, g AS (SELECT group_id, count(*) AS n, count(*) FILTER (corrupted) AS c FROM d GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS scanned, CAST(sum(c) AS BIGINT) AS corrupted, CAST(sum(CASE WHEN c <= {PARITY} THEN c ELSE 0 END) AS BIGINT) AS recovered, CAST(sum(CASE WHEN c > {PARITY} THEN c ELSE 0 END) AS BIGINT) AS lost FROM g",
         "verify_files": f"WITH {_B}, {bad} SELECT c.seq, count(*) AS bad_blocks FROM c JOIN d USING (hash) WHERE corrupted GROUP BY 1",
-        "archive_roundtrip": "SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS size FROM documents",
-        "content_roundtrip": "SELECT doc_id AS seq, sha256(text) AS hash FROM documents WHERE text <> ''",
+        "archive_roundtrip": f"WITH {_A} {told.format('a0')}",
+        "archive_create_stats": f"WITH {_A} SELECT CAST(0 AS BIGINT) AS generation, count(*) AS files, CAST(0 AS BIGINT) AS dirs, CAST(sum(size) AS BIGINT) AS input_bytes, count(*) FILTER (size > 0) AS block_count, (SELECT count(*) FROM b0) AS new_blocks, count(*) FILTER (size > 0) - (SELECT count(*) FROM b0) AS reused_blocks, CAST(sum(size) - (SELECT sum(size) FROM b0) AS BIGINT) AS dedup_savings, (SELECT {PARITY} * count(DISTINCT k // 10) FROM b0) AS parity_blocks FROM a0",
+        "archive_info": f"WITH {_A} SELECT count(*) AS files, CAST(0 AS BIGINT) AS dirs, CAST(sum(size) AS BIGINT) AS original_bytes, count(*) FILTER (size > 0) AS block_count, (SELECT count(*) FROM b0) AS unique_blocks, 'erasure-coded' AS flags, 1 AS generations, 'low' AS ecc FROM a0",
+        "archive_list": f"WITH {_A} SELECT '-' AS type, '644' AS mode, size, path FROM a0",
+        "archive_append_log": f"WITH {_A} SELECT g AS generation, count(*) AS files, CAST(0 AS BIGINT) AS dirs, CAST(sum(size) AS BIGINT) AS total_size FROM (SELECT CAST(0 AS BIGINT) AS g, size FROM a0 UNION ALL SELECT 1, size FROM a1) GROUP BY g",
+        "archive_append_stats": f"""WITH {_A}, r AS (SELECT CAST(0 AS BIGINT) AS generation, hash, size, false AS known FROM a0 UNION ALL SELECT 1, hash, size, hash IN (SELECT hash FROM b0) FROM a1),
+            n AS (SELECT generation, hash, size FROM r WHERE size > 0 AND NOT known GROUP BY ALL)
+            SELECT r.generation, CAST(sum(size) AS BIGINT) AS input_bytes, count(*) FILTER (size > 0) AS block_count, (SELECT count(*) FROM n WHERE n.generation = r.generation) AS new_blocks,
+            count(*) FILTER (size > 0) - (SELECT count(*) FROM n WHERE n.generation = r.generation) AS reused_blocks, CAST(sum(size) - (SELECT sum(size) FROM n WHERE n.generation = r.generation) AS BIGINT) AS dedup_savings FROM r GROUP BY r.generation""",
+        "archive_time_travel": f"WITH {_A} {told.format('a0')}",
+        "archive_diff": f"WITH {_A}, x AS (SELECT path, hash, size FROM a0), y AS (SELECT path, hash, size FROM a1) SELECT coalesce(x.path, y.path) AS path, {_DIFF} AS change FROM x FULL JOIN y ON x.path = y.path",
+        "archive_incremental": f"WITH {_A} {told.format('a1')}",
+        "archive_incremental_stats": f"WITH {_A} SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS input_bytes, count(*) FILTER (size > 0) AS block_count, count(DISTINCT hash) FILTER (size > 0 AND hash NOT IN (SELECT hash FROM b0)) AS new_blocks, count(*) FILTER (size > 0 AND hash IN (SELECT hash FROM b0)) AS reused_blocks FROM a1",
+        "archive_merge": f"WITH {_A}, w AS (SELECT path, hash, size, row_number() OVER (PARTITION BY path ORDER BY mtime DESC, src) AS k FROM (SELECT 0 AS src, * FROM a0 UNION ALL SELECT 1, * FROM a1)) SELECT path, hash, size FROM w WHERE k = 1",
+        "archive_split_join": f"WITH {_A} {told.format('a0')}",
+        "archive_verify": f"WITH {_A}, x AS (SELECT *, k % 13 IN (0, 1) AS bad FROM b0), g AS (SELECT count(*) FILTER (bad) AS c FROM x GROUP BY k // 10) SELECT (SELECT count(*) FROM x) AS blocks, (SELECT count(*) FROM x WHERE NOT bad) AS ok, (SELECT count(*) FROM x WHERE bad) AS corrupted, CAST(0 AS BIGINT) AS missing, CAST((SELECT sum(c) FROM g WHERE c <= {PARITY}) AS BIGINT) AS recoverable, (SELECT count(*) FROM a0 WHERE hash IN (SELECT hash FROM x WHERE bad)) AS affected_files, true AS manifest_ok, true AS root_ok",
+        "archive_repair": f"WITH {_A}, x AS (SELECT k % 10 IN (2, 7) AS bad FROM b0) SELECT count(*) AS scanned, count(*) FILTER (bad) AS corrupted, count(*) FILTER (bad) AS recovered, CAST(0 AS BIGINT) AS unrecoverable FROM x",
+        "archive_repair_partly": f"WITH {_A}, x AS (SELECT k, k % 20 IN (2, 7, 8, 13) AS bad FROM b0), g AS (SELECT count(*) AS n, count(*) FILTER (bad) AS c FROM x GROUP BY k // 10) SELECT CAST(sum(n) AS BIGINT) AS scanned, CAST(sum(c) AS BIGINT) AS corrupted, CAST(sum(CASE WHEN c <= {PARITY} THEN c ELSE 0 END) AS BIGINT) AS recovered, CAST(sum(CASE WHEN c > {PARITY} THEN c ELSE 0 END) AS BIGINT) AS unrecoverable FROM g",
+        "archive_heal": f"WITH {_A} {told.format('a0')}",
+        "archive_encrypted": f"WITH {_A} {told.format('a0')}",
+        "archive_convert": f"WITH {_A} {told.format('a0')}",
+        "archive_restore": "SELECT 'file' AS kind, count(*) AS n FROM documents",
+        "archive_block_offsets": f"WITH {_A} SELECT k // 10 AS group_id, count(*) AS blocks, true AS gapless FROM b0 GROUP BY 1",
+        "content_roundtrip": f"WITH {_C} SELECT seq, hash FROM c",
         "codec_roundtrip": f"WITH {_K} SELECT DISTINCT sha256(chunk) AS hash, true AS intact, CAST(strlen(chunk) AS BIGINT) AS len FROM k",
         "parity_repair": f"WITH {_B} SELECT block_seq, true AS repaired, hash FROM b WHERE block_seq % 10 IN (2, 7)",
     }

@@ -14,6 +14,6 @@ ECC_DATA = 10
 SMALL_FILE, TINY_FILE, MIN_VOLUME = 65536, 64, 1024
 
 REF = "struct<hash: string, offset: bigint, slice_start: int, slice_len: int, flags: int>"
-MANIFEST = f"generation bigint, seq bigint, path string, kind string, target string, mode int, mtime_ns bigint, size bigint, block_refs array<{REF}>"
-BLOCKS = "hash string, block_seq bigint, codec int, compressed_size bigint, uncompressed_size bigint, payload binary, group_id bigint"
+MANIFEST = f"generation bigint, seq bigint, path string, kind string, target string, mode int, mtime_ns bigint, uid bigint, gid bigint, size bigint, block_refs array<{REF}>"
+BLOCKS = "hash string, block_seq bigint, codec int, compressed_size bigint, uncompressed_size bigint, payload binary, group_id bigint, checksum bigint"
 PARITY = "group_id bigint, parity_idx int, shard_size bigint, hash string, payload binary"

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import functools
+import io
 import os
+import tarfile
 import uuid
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +31,14 @@ def _place(folder: str, kind: str):
             for row in pdf.itertuples(index=False):
                 full = os.path.join(folder, row.path)
                 os.makedirs(full if kind == "dir" else os.path.dirname(full), exist_ok=True)
-                if kind in ("file", "symlink"):
+                if kind != "dir":
                     part = f"{full}.{uuid.uuid4().hex}"
                     if kind == "symlink":
                         os.symlink(row.target, part)
+                    elif kind == "hardlink":
+                        if not os.path.exists(os.path.join(folder, row.target)):
+                            continue
+                        os.link(os.path.join(folder, row.target), part)
                     else:
                         with open(part, "wb") as f:
                             f.write(row.content or b"")
@@ -65,15 +73,49 @@ def write_entries(entries: DataFrame, contents: DataFrame, folder: str) -> DataF
 
     Unsafe paths and links raise before any write. Of files that share a path, one stays.
     """
-    unsafe = ~scalar.safe_path(F.col("path")) | ((F.col("kind") == "symlink") & ~link_stays_inside(F.col("path"), F.col("target")))
+    unsafe = ~scalar.safe_path(F.col("path")) | ((F.col("kind") == "symlink") & ~link_stays_inside(F.col("path"), F.col("target"))) | ((F.col("kind") == "hardlink") & ~scalar.safe_path(F.col("target")))
     bad = entries.filter(unsafe).select("path").first()
     if bad:
         raise ValueError(f"entry leaves the folder: {bad[0]}")
     one = contents.groupBy("path").agg(F.first("content").alias("content"))
     counts = {}
-    for kind in ("dir", "file", "symlink"):  # links last: nothing is written through them
+    for kind in ("dir", "file", "hardlink", "symlink"):  # links last: nothing is written through them; a hard link needs its target
         rows = entries.filter(F.col("kind") == kind).select("path", "target", "mode", "mtime_ns")
         rows = rows.join(one, "path", "left") if kind == "file" else rows
         counts[kind] = rows.mapInPandas(_place(folder, kind), "kind string").count()
     entries.filter("kind = 'dir'").select("path", "mode", "mtime_ns").mapInPandas(_settle(folder), "kind string").count()
-    return entries.sparkSession.createDataFrame(list(counts.items()), "kind string, n long")
+    return entries.sparkSession.createDataFrame([(k, n) for k, n in counts.items() if n], "kind string, n long")
+
+
+def _tar(folder: str, batches):
+    """One tar of a task's files; it gets its name once it is whole."""
+    name = os.path.join(folder, f"{uuid.uuid4().hex}.tar")
+    n = 0
+    with tarfile.open(f"{name}.part", "w") as tar:
+        for b in batches:
+            for row in b.to_pylist():
+                info = tarfile.TarInfo(row["path"])
+                info.size, info.mtime = len(row["content"]), row["mtime_ns"] / 1e9
+                tar.addfile(info, io.BytesIO(row["content"]))
+                n += 1
+    if n:
+        os.replace(f"{name}.part", name)
+    else:
+        os.remove(f"{name}.part")
+    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["tar", "n"])
+
+
+def write_tars(files: DataFrame, folder: str) -> int:
+    """Write files(path, content, mtime_ns) as tar files, one for each task, into a folder that every executor sees: number of files.
+
+    A try that fails leaves a tar without its name; one that runs twice may leave a tar twice, so the folder's tars
+    that no finished task named go at the end.
+    """
+    folder = folder.removeprefix("file://").removeprefix("file:")
+    os.makedirs(folder, exist_ok=True)
+    rows = files.select("path", F.col("content").cast("binary").alias("content"), "mtime_ns").mapInArrow(functools.partial(_tar, folder), "tar string, n long").collect()  # one row for each task
+    named = {os.path.basename(r["tar"]) for r in rows if r["n"]}
+    for name in os.listdir(folder):
+        if name not in named:
+            os.remove(os.path.join(folder, name))
+    return sum(r["n"] for r in rows)

@@ -2,6 +2,7 @@ import io
 import os
 import tarfile
 
+import duckdb
 import numpy as np
 import pytest
 import zstandard
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from blockloom.operators import chunk, codec, dedup, ecc, merkle
 from blockloom.operators.archive import Archive, Options, convert, join, merge
+from blockloom.plans import catalog
 from blockloom.sources import files as sources
+from tests import compare
 
 SMALL = Options(least=64, average=256, most=1024)
 SCHEMA = "seq long, path string, content binary"
@@ -78,9 +81,178 @@ def test_verify_and_repair(spark, base, tmp_path):
     d = Archive(spark, str(tmp_path / "d"))
     found = d.verify().first()
     assert found.corrupted == found.recoverable > 0
+    assert contents(d.extract()) == data  # parity restores them on the way
+    r = d.repair(str(tmp_path / "r"))
+    assert contents(r.extract()) == data
+    counts = d.repairs(r).first()
+    assert counts.recovered == counts.corrupted == found.corrupted and counts.unrecoverable == 0
+    shutil.rmtree(tmp_path / "d" / "blocks")
+    a.blocks().withColumn("payload", F.when(F.col("block_seq") < 3, F.unhex(F.lit("00FF"))).otherwise(F.col("payload"))).write.parquet(str(tmp_path / "d" / "blocks"))
+    assert Archive(spark, str(tmp_path / "d")).verify().first().recoverable == 0
     with pytest.raises(Exception, match="damaged"):
-        d.extract().collect()
-    assert contents(d.repair(str(tmp_path / "r")).extract()) == data
+        Archive(spark, str(tmp_path / "d")).extract().collect()
+
+
+def test_verify_sees_what_is_missing_or_changed(spark, base, tmp_path):
+    import shutil
+
+    data, a = base
+    whole = a.verify().first()
+    assert (whole.corrupted, whole.missing, whole.affected_files, whole.manifest_ok, whole.root_ok) == (0, 0, 0, True, True)
+    shutil.copytree(a.path, tmp_path / "d")
+    shutil.rmtree(tmp_path / "d" / "blocks")
+    a.blocks().filter("block_seq <> 3").write.parquet(str(tmp_path / "d" / "blocks"))
+    found = Archive(spark, str(tmp_path / "d")).verify().first()
+    assert found.missing == 1 and found.corrupted == 0 and found.affected_files >= 1 and found.manifest_ok and not found.root_ok
+    shutil.rmtree(tmp_path / "d" / "manifest")
+    a.entries().withColumn("mode", F.lit(0)).write.partitionBy("generation").parquet(str(tmp_path / "d" / "manifest"))
+    assert not Archive(spark, str(tmp_path / "d")).verify().first().manifest_ok
+
+
+def test_manifest_copy(spark, base, tmp_path):
+    import shutil
+
+    data, a = base
+    shutil.copytree(a.path, tmp_path / "d")
+    for f in (tmp_path / "d" / "manifest").rglob("*.parquet"):
+        f.write_bytes(f.read_bytes()[:-9] + b"x" * 9)
+    for f in (tmp_path / "d" / "manifest").rglob("*.crc"):
+        f.unlink()
+    d = Archive(spark, str(tmp_path / "d"))
+    assert contents(d.extract()) == data and d.index == "manifest_copy"
+
+
+def test_stats_and_offsets(spark, tmp_path):
+    data = {"a": b"a" * 500, "b": b"a" * 500, "c": b"c" * 300, "none": b""}
+    a = Archive.create(frame(spark, data), str(tmp_path / "a"), SMALL)
+    s = a.stats().first()
+    pieces = [p for c in data.values() for p in cut(c)]
+    assert (s.files, s.dirs, s.input_bytes, s.block_count) == (4, 0, 1300, len(pieces))
+    assert s.new_blocks == len(set(pieces)) and s.reused_blocks == len(pieces) - len(set(pieces))
+    assert s.dedup_savings == 1300 - sum(map(len, set(pieces)))
+    rows = {r.hash: r for r in a.blocks().collect()}
+    at, want = 16, {}
+    for group in sorted({r.group_id for r in rows.values()}):
+        mine = sorted((r for r in rows.values() if r.group_id == group), key=lambda r: r.block_seq)
+        for r in mine:
+            want[r.hash], at = at, at + 48 + r.compressed_size
+        at += 2 * (48 + max(r.compressed_size for r in mine))
+    assert {r.hash: r.offset for r in a.manifest().selectExpr("inline(block_refs)").collect()} == want
+    assert s.archive_size == at + 76
+    inc = a.incremental(frame(spark, data | {"d": b"d" * 100}), str(tmp_path / "i")).stats().first()
+    assert (inc.new_blocks, inc.reused_blocks) == (1, s.block_count)
+    more = a.append(frame(spark, data | {"d": b"d" * 100}))
+    assert [(r.generation, r.new_blocks) for r in more.stats().collect()] == [(0, s.new_blocks), (1, 1)]
+
+
+def cut(content):
+    ends = chunk.cut_points(content, 64, 256, 1024)
+    return [content[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+
+
+def test_null_and_empty_content(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "null", None), (1 << 62, "empty", bytearray(b"")), ((1 << 62) + 5, "some", bytearray(b"x" * 3000))], SCHEMA)
+    assert contents(Archive.create(rows, str(tmp_path / "a"), SMALL).extract()) == {"null": b"", "empty": b"", "some": b"x" * 3000}
+    table = spark.createDataFrame([(1, None), (2, ""), (3, "text" * 40_000)], "doc_id long, text string")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("extract_roundtrip", "content_roundtrip", "manifest_refs", "dedup_block_refs", "dedup_stats", "archive_roundtrip", "file_totals", "archive_list", "archive_create_stats", "archive_verify"):
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        got, want = catalog.queries()[name](spark, str(tmp_path)).toPandas(), con.sql(catalog.oracle_sql()[name]).df()
+        assert sorted(got.columns) == sorted(want.columns) and compare.rows(got) == compare.rows(want), name
+
+
+def test_rekey(spark, tmp_path):
+    data = {"s": b"secret data " * 100}
+    a = Archive.create(frame(spark, data), str(tmp_path / "e"), Options(least=64, average=256, most=1024, passphrase="right", ecc="none"))
+    with pytest.raises(ValueError):
+        a.rekey("wrong", "new")
+    assert contents(a.rekey("right", "new").extract()) == data
+    with pytest.raises(ValueError):
+        Archive(spark, str(tmp_path / "e")).unlock("right")
+    assert contents(Archive(spark, str(tmp_path / "e")).unlock("new").extract()) == data
+
+
+def test_hard_links_and_owners(spark, tmp_path):
+    with tarfile.open(tmp_path / "a.tar", "w") as tar:
+        for name, kind, link in (("f", tarfile.REGTYPE, ""), ("l", tarfile.LNKTYPE, "f"), ("gone", tarfile.LNKTYPE, "missing")):
+            info = tarfile.TarInfo(name)
+            info.size, info.type, info.linkname, info.uid, info.gid = 3 if link == "" else 0, kind, link, 7, 9
+            tar.addfile(info, io.BytesIO(b"abc"))
+    a = convert(spark, str(tmp_path / "a.tar"), str(tmp_path / "archive"))
+    assert {(r.path, r.kind, r.uid, r.gid) for r in a.manifest().collect()} == {("f", "file", 7, 9), ("l", "hardlink", 7, 9), ("gone", "hardlink", 7, 9)}
+    a.restore(str(tmp_path / "out"))
+    assert os.path.samefile(tmp_path / "out" / "f", tmp_path / "out" / "l") and not (tmp_path / "out" / "gone").exists()
+
+
+def test_nested_ignore_files(spark, tmp_path):
+    tree = {".gitignore": "*.log\n/only_here\nbuild/\n!keep.log\n", "a.log": "", "keep.log": "", "only_here": "", "sub/only_here": "", "sub/.gitignore": "!b.log\nx/**/z\n", "sub/b.log": "", "sub/x/y/z": "", "sub/x/z": "", "sub/z": "", "build/o": "", "sub/build": "", ".git/info/exclude": "private\n", "private": "", "odd [1].txt": "x", "sub/.ignore": "z\n"}
+    for name, text in tree.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    os.symlink("a.log", tmp_path / "link")
+    rows = sources.walk(spark, str(tmp_path)).orderBy("seq").collect()
+    want = {".gitignore", "keep.log", "sub", "sub/only_here", "sub/.gitignore", "sub/b.log", "sub/x", "sub/x/y", "sub/build", "odd [1].txt", "sub/.ignore", "link"}
+    assert {r.path for r in rows} == want and [r.path for r in rows] == sorted(want)
+    assert {r.path: bytes(r.content) for r in rows if r.kind == "file"}["odd [1].txt"] == b"x"
+    assert all(r.uid == os.getuid() for r in rows)
+    assert [r.path for r in sources.walk(spark, str(tmp_path / "keep.log")).collect()] == ["keep.log"]
+
+
+def test_gear_hashes_byte_by_byte(monkeypatch):
+    data = np.random.default_rng(3).integers(0, 256, 5000, dtype=np.uint8)
+    want, h = [], 0
+    for b in data.tolist():
+        h = ((h << 1) + int(chunk.gear_table()[b])) % (1 << 64)
+        want.append(h)
+    assert chunk.gear_hashes(data).tolist() == want
+    ends = chunk.cut_points(data.tobytes(), 64, 256, 1024)
+    monkeypatch.setattr(chunk, "WINDOW", 100)
+    assert chunk.cut_points(data.tobytes(), 64, 256, 1024) == ends
+
+
+def test_islands_over_ranges(spark):
+    rng = np.random.default_rng(2)
+    kinds = [bool(x) for x in rng.integers(0, 2, 300)]
+    want, group = [], 0
+    for k, parity in enumerate(kinds):
+        group += k > 0 and not parity and kinds[k - 1]
+        want.append(group)
+    df = spark.createDataFrame([(7 * k, p) for k, p in enumerate(kinds)], "offset long, is_parity boolean").repartition(5)
+    assert [r.group_no for r in ecc.islands(df).orderBy("offset").collect()] == want
+
+
+def test_numbers_over_any_values(spark):
+    rng = np.random.default_rng(4)
+    rows = sorted({(int(a), int(b)) for a, b in zip(rng.integers(-(1 << 62), 1 << 62, 200), rng.integers(0, 9, 200), strict=True)} | {(5, k) for k in range(100)})
+    df = spark.createDataFrame(rows, "a long, b long").repartition(3)
+    got = dedup.numbered(df, ["a", "b"], {"n": F.lit(1), "s": F.col("b")}).collect()
+    assert sorted((r.n, r.a, r.b) for r in got) == [(k, a, b) for k, (a, b) in enumerate(rows)]
+    assert all(r.s == sum(b for _, b in rows[: r.n]) for r in got)
+
+
+def test_a_broken_subpackage_leaves_the_rest(tmp_path):
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for name in ("__spark_entry__.py", "blockloom"):
+        os.symlink(os.path.join(here, name), tmp_path / name) if name.endswith(".py") else None
+    (tmp_path / "blockloom").mkdir()
+    for name in os.listdir(os.path.join(here, "blockloom")):
+        if name != "llm":
+            os.symlink(os.path.join(here, "blockloom", name), tmp_path / "blockloom" / name)
+    entry = (tmp_path / "__spark_entry__.py").read_text()
+    (tmp_path / "__spark_entry__.py").unlink()
+    (tmp_path / "__spark_entry__.py").write_text(entry)
+    for broken in (None, "import does_not_exist\n"):
+        if broken:
+            (tmp_path / "blockloom" / "llm").mkdir()
+            (tmp_path / "blockloom" / "llm" / "__init__.py").write_text(broken)
+        code = "import __spark_entry__ as e; q = e.queries(); print(len(q), len(e.oracle_sql()), any(k.startswith('op') for k in q))"
+        out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True)
+        n, sql, ops = out.stdout.split()[-3:]
+        assert int(n) == len(catalog.queries()) and int(sql) == len(catalog.oracle_sql()) and ops == "False"
 
 
 def test_encryption(spark, tmp_path):
