@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm import language
-from blockloom.llm.common import documents, store
+from blockloom.llm.common import documents, folder_of, store, stored, sweep
 from blockloom.llm.decontaminate import contamination
 from blockloom.llm.exact_dedup import exact_dedup
 from blockloom.llm.jaccard_join import jaccard_components
@@ -26,36 +26,52 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told (null text, or no letter in it) go."""
+    """Documents whose language cannot be told (null or empty text, or no letter in it) go, and rows without a doc_id.
+
+    Texts are read whole, however long; rows that share a doc_id go together if one of them goes; other columns pass
+    through. Empty table: empty result.
+    """
     found = language.predict_language(docs, language.train(docs))
     return without(docs.filter("doc_id IS NOT NULL"), found.filter(F.col("lang_pred") == language.UNKNOWN))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for blanks, one document stays."""
-    rows = exact_dedup(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    rows = store(rows, "kept")
+    """Of texts that are equal but for blanks, one document stays: the longest with them, then the smallest doc_id.
+
+    Null and empty texts are equal. Of rows that share a doc_id of which one stays, the one with the longest text stays (of
+    equally long ones the largest by text, then by the other columns in order). Empty table: empty result.
+    """
+    rows = store(exact_dedup(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "kept")
     repeated = rows.filter("kept AND n > 1")
     if not repeated.limit(1).count():
         return without(docs, rows.filter("NOT kept"))
     again = repeated.select(F.col("doc_id").alias("repeated_id"))
-    once = docs.join(again, docs["doc_id"] == again["repeated_id"], "left_semi").dropDuplicates(["doc_id"])
+    own = docs.join(again, docs["doc_id"] == again["repeated_id"], "left_semi")
+    best = F.max(F.struct(F.length("text").alias("points"), "text", F.struct(*docs.columns).alias("row"))).alias("best")
+    once = own.groupBy("doc_id").agg(best).select("best.row.*")
     return without(docs, rows.filter("NOT kept OR n > 1")).union(once)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents (five words, 0.8) the one with the smallest doc_id stays."""
+    """Of each group of linked documents (five words, 0.8) the one with the smallest doc_id stays.
+
+    Texts without a word link to nothing and stay; other columns pass through. Empty table: empty result.
+    """
     groups = jaccard_components(docs, words=5, percent=80)
     return without(docs, groups.filter("component_id <> doc_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; null and empty texts hold none. Empty table: empty result."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return without(docs, found.filter(F.size("spans") > 0))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that stay, as pieces in sequences of at most 2048 tokens: the columns of packing.pack().
+
+    Null and empty texts are an end token; a document of any length is cut into pieces. Empty table: empty result.
+    """
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -72,7 +88,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The packed rest of the documents. Once a stage's result is written, what it was made from is deleted."""
+    docs, outside = documents(spark, sf_dir), stored()
     for name, stage in STAGES:
         docs = store(stage(spark, docs, sf_dir), name)
+        sweep(spark, outside | {folder_of(docs)})
     return docs
