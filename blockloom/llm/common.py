@@ -4,11 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import re
 import sys
-import tempfile
-import uuid
-import weakref
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -18,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockloom.scratch import discard, folder_of, small_batches, store, stored, sweep  # noqa: F401
+
 #: A-Z to a-z on UTF-8 bytes; other bytes stay.
 LOWER_AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The six ASCII blanks that the contracts call white space.
@@ -63,61 +61,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: Folders of the tables that store() wrote.
-_STORED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-_FOLDERS: dict[str, None] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names. Only a session of one machine gets a temporary folder where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="blockloom-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and retries read the same rows."""
-    spark = df.sparkSession
-    folder = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(f"{folder}/{name}")
-    table = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-    _STORED[table] = folder
-    _FOLDERS[folder] = None
-    return table
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    _FOLDERS.pop(folder, None)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete stored tables that no later plan reads: all that came from them must have been stored already."""
-    for df in tables:
-        _delete(df.sparkSession, _STORED.pop(df))
-
-
-def stored() -> set[str]:
-    """Folders of the tables that store() wrote and nobody has deleted."""
-    return set(_FOLDERS)
-
-
-def sweep(spark: SparkSession, keep: Iterable[str] = ()) -> None:
-    """Delete all stored tables but those in some folders: for the end of a job whose result is stored or read."""
-    for folder in stored().difference(keep):
-        _delete(spark, folder)
-
-
-def folder_of(table: DataFrame) -> str:
-    return _STORED[table]
-
-
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

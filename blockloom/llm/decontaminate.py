@@ -8,8 +8,8 @@ mark of its own, ordered by place, so every suffix is unique and walking backwar
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import LOWER_AZ, hold, id_and_text, slices
+from blockloom.llm.common import LOWER_AZ, discard, hold, id_and_text, slices, store
 
 #: Bytes that are no part of a word become blanks; A-Z become a-z. The rest is as it is.
 WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 32 for b in LOWER_AZ)
@@ -262,22 +262,36 @@ def _pass(docs: DataFrame, rows: list[tuple], size: int, shard_words: int, keep_
     return docs.mapInArrow(run, f"doc_id long, text string, n_words long, spans {SPAN}, items array<string>")
 
 
+def _pieces(size: int, most_words: int, batches):
+    """Items as texts of most_words words at most; of one that is longer, parts that share all but one word of a window."""
+    for b in batches:
+        item, text = [], []
+        for name, raw in zip(b.column("item").to_pylist(), b.column("text").to_pylist(), strict=True):
+            words = words_of(raw or "")
+            for at in range(0, max(1, len(words) - size + 1), most_words):
+                item.append(name)
+                text.append(b" ".join(words[at : at + most_words + size - 1]).decode())
+        yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(text, pa.string())], names=["item", "text"])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 200_000, block_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Find benchmark windows in documents: doc_id, n_words, spans (merged word ranges to remove), items (sorted as strings).
 
     The benchmark is searched in blocks of about block_words words, one broadcast and one pass over the
-    documents for each; a block's size is what bounds a broadcast. One scan for each block, no shuffle.
+    documents for each; a block's size is what bounds a broadcast, and a longer item is cut into parts. One scan for each block, no shuffle.
     Null or empty text: no words, no spans. An item without words matches nothing; items with a null id are
     left out; items of equal id count once. Repeated rows are searched each; other columns are not looked
     at. Empty documents: empty result; empty benchmark: no hits.
     """
     items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
+    items = store(items.mapInArrow(partial(_pieces, window, block_words), "item string, text string"), "items")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // (block_words * 5)) or 1
     out = id_and_text(docs, id_col, text_col).withColumns({"spans": F.lit(None).cast(SPAN), "items": F.lit(None).cast("array<string>")})
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
         out = _pass(out, [(r["item"], r["text"]) for r in rows], window, shard_words, k + 1 < blocks)
+    discard(items)
     return out.drop("text")
 
 
@@ -285,20 +299,3 @@ def digest(found: DataFrame) -> DataFrame:
     """The contract's columns from contamination()."""
     n_hit: Column = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
-
-
-def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], window: int = 10) -> list[tuple]:
-    """What digest() must return, by comparing every position with every window. For tests."""
-    out = []
-    for doc, text in docs:
-        words, hit, found = words_of(text or ""), set(), set()
-        for item, other in items:
-            known = words_of(other or "")
-            for k in range(max(1, len(known) - window + 1) if known else 0):
-                part = known[k : k + window]
-                for i in range(len(words) - len(part) + 1):
-                    if words[i : i + len(part)] == part:
-                        hit.update(range(i, i + len(part)))
-                        found.add(str(item))
-        out.append((doc, len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
-    return out

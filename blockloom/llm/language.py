@@ -142,18 +142,21 @@ def fit(rows: list[tuple[str, str]], buckets: int = 1 << 13, sizes: tuple[int, .
     return Model(languages, code, w * (scale / np.sqrt(buckets))[:, None], b, sizes)
 
 
-def training_sample(docs: DataFrame, learn, rows_per_language: int, lang_col: str = "lang") -> list[tuple[str, str]]:
-    """About rows_per_language whole texts of each language, the same ones each time: bounded by that parameter."""
+def training_sample(docs: DataFrame, learn, rows_per_language: int, lang_col: str = "lang", max_languages: int = 1000) -> list[tuple[str, str]]:
+    """At most rows_per_language whole texts of each of the max_languages most frequent languages, the same ones each time."""
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    common = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_languages)
+    counts = {r["lang"]: r["n"] for r in common.collect()}
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * (rows_per_language + 20) / n))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    found = rows.filter(draw < share[F.col(lang_col)]).select("text", F.col(lang_col).alias("lang"), draw.alias("draw"))
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    found = rows.select("text", F.col(lang_col).alias("lang"), draw.alias("draw")).filter(F.col("draw") < share[F.col("lang")])
+    # rows that repeat one text share its draw: a second bound, on all of them together
+    found = found.orderBy("draw", "text", "lang").limit(2 * (rows_per_language + 20) * len(counts))
     taken: dict[str, int] = {}
     out = []
-    for r in sorted(found.collect(), key=lambda r: (r["draw"], r["text"])):
+    for r in sorted(found.collect(), key=lambda r: (r["draw"], r["text"], r["lang"])):
         taken[r["lang"]] = taken.get(r["lang"], 0) + 1
         if taken[r["lang"]] <= rows_per_language:
             out.append((r["text"], r["lang"]))

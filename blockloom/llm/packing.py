@@ -150,15 +150,19 @@ class Plan:
         return sum(g[0] for g in self.groups)
 
 
-def ranked(table: DataFrame, key: str, order: list[str], block_rows: int) -> DataFrame:
-    """Add rank: 0, 1, ... in each key. Hot keys are dealt into blocks; block counts add up to the blocks' first ranks."""
-    blocks = max(1, table.count() // block_rows)
-    table = table.withColumn("block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
-    first = table.groupBy(key, "block").agg(F.count("*").alias("n"))
+def ranked(table: DataFrame, key: str, order: list[str], counts: dict[int, int], block_rows: int) -> DataFrame:
+    """Add rank: 0, 1, ... in each key. A key of more than block_rows rows (by counts, all keys' numbers of rows) is dealt
+    into blocks; what blocks hold adds up to the next blocks' first ranks. Other keys are ranked as they are."""
+    spark = table.sparkSession
+    hot = [(k, -(-n // block_rows)) for k, n in counts.items() if n > block_rows]
+    deals = spark.createDataFrame(hot, f"hot_{key} long, blocks long")  # a row for a length at most
+    table = table.join(F.broadcast(deals), F.col(key) == F.col(f"hot_{key}"), "left").drop(f"hot_{key}")
+    table = table.withColumn("block", F.coalesce(F.pmod(F.xxhash64(*order), F.col("blocks")), F.lit(0).cast("long")))
+    first = table.filter("blocks IS NOT NULL").groupBy(key, "block").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = first.select(key, "block", before.alias("first"))
     inside = table.withColumn("in_block", F.row_number().over(Window.partitionBy(key, "block").orderBy(*order)) - 1)
-    return inside.join(first, [key, "block"]).withColumn("rank", F.col("first") + F.col("in_block")).drop("block", "first", "in_block")
+    return inside.join(first, [key, "block"], "left").withColumn("rank", F.coalesce("first", F.lit(0)) + F.col("in_block")).drop("block", "blocks", "first", "in_block")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 2000) -> DataFrame:
@@ -173,6 +177,6 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     spark = docs.sparkSession
     histogram = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = spark.createDataFrame(Plan(histogram, capacity).rows(), "p_length long, low long, high long, base long, offset long")
-    ranks = ranked(table, "length", ["doc_id", "piece", "ids_crc32"], block_rows)
+    ranks = ranked(table, "length", ["doc_id", "piece", "ids_crc32"], histogram, block_rows)
     hit = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
     return ranks.join(F.broadcast(plan), hit).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("sequence_id"), "offset")

@@ -124,7 +124,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int, label_col
     known = known.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(5, 0))
     # at most max_rows ids: a broadcast of known size, so texts don't move
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(max_rows)
-    rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull()).select("doc_id", "text", "label").collect()
+    rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull()).select("doc_id", "text", "label")
+    # ids may be repeated: the bound holds for rows too
+    rows = rows.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id", "label", "text").limit(max_rows).collect()
     return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["label"], r["text"]))]
 
 

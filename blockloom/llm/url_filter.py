@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -32,8 +33,22 @@ def split_url(url: str | None) -> tuple[str, str]:
 class Node:
     labels: dict[str, Node] = field(default_factory=dict)
     segments: dict[str, Node] = field(default_factory=dict)
-    #: Rules whose path goes on inside the next segment: (rest of the segment, rule).
-    partial: list[tuple[str, Rule]] = field(default_factory=list)
+    #: Rules whose path goes on inside the next segment, by what they ask of it, and the lengths of that, longest first.
+    partial: dict[str, Rule] = field(default_factory=dict)
+    sizes: list[int] = field(default_factory=list)
+
+    def add(self, rest: str, rule: Rule) -> None:
+        self.partial.setdefault(rest, rule)
+        at = bisect.bisect_left(self.sizes, -len(rest), key=lambda n: -n)
+        if at == len(self.sizes) or self.sizes[at] != len(rest):
+            self.sizes.insert(at, len(rest))
+
+    def inside(self, segment: str) -> Rule | None:
+        """The rule that asks for the longest start of a segment: one look-up for each length that rules have."""
+        for n in self.sizes:
+            if n <= len(segment) and (rule := self.partial.get(segment[:n])):
+                return rule
+        return None
 
 
 class RuleTrie:
@@ -49,7 +64,7 @@ class RuleTrie:
             *whole, last = path.split("/")
             for segment in whole:
                 node = node.segments.setdefault(segment, Node())
-            node.partial.append((last, rule))
+            node.add(last, rule)
 
     def longest(self, host: str, path: str) -> Rule | None:
         """The fitting rule with the longest host plus path; of equals the deeper host, then the one listed first."""
@@ -59,9 +74,9 @@ class RuleTrie:
         while node is not None:
             at, depth = node, 0
             while at is not None and depth < len(parts):
-                for rest, rule in at.partial:
+                if rule := at.inside(parts[depth]):
                     size = len(rule[1]) + len(rule[2])
-                    if parts[depth].startswith(rest) and (size > length or size == length and len(rule[1]) > len(best[1])):
+                    if size > length or size == length and len(rule[1]) > len(best[1]):
                         best, length = rule, size
                 at = at.segments.get(parts[depth]) if depth + 1 < len(parts) else None
                 depth += 1
@@ -70,16 +85,17 @@ class RuleTrie:
         return best
 
 
-def url_filter(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", id_col: str = "page_id", url_col: str = "url", max_rules: int = 1_000_000) -> DataFrame:
+def url_filter(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", id_col: str = "page_id", url_col: str = "url", max_rules: int = 1_000_000, max_chars: int = 64 << 20) -> DataFrame:
     """Judge every URL: page_id, host, path, rule (host and path of the rule that wins, or null), verdict.
 
-    The rule list is broadcast as one trie, so its length is checked against max_rules; a longer
-    list is refused and belongs into a join on host suffixes. One scan, no shuffle.
+    The rule list is broadcast as one trie, so its length is checked against max_rules and its hosts and paths
+    against max_chars; a larger list is refused and belongs into a join on host suffixes. One scan, no shuffle.
     Null URL or none with "://": empty host and path, which only a rule with empty host and path fits.
     Repeated rows are judged each; other columns of pages are not looked at. Empty table: empty result.
     """
-    if len(rules) > max_rules:
-        raise ValueError(f"{len(rules)} rules; the broadcast trie is bounded to {max_rules}")
+    chars = sum(len(host) + len(path) for _, host, path in rules)
+    if len(rules) > max_rules or chars > max_chars:
+        raise ValueError(f"{len(rules)} rules of {chars} characters; the broadcast trie is bounded to {max_rules} and {max_chars}")
     trie = pages.sparkSession.sparkContext.broadcast(RuleTrie(rules))
 
     def run(batches):
