@@ -1,4 +1,4 @@
-"""Archives as directories of Parquet tables: blocks, manifest (by generation, and a copy), parity; and small ones of JSON: meta, stats, roots."""
+"""Archives as directories of Parquet tables: blocks, manifest (by generation, and a copy), parity; and small ones of JSON: meta, and stats with roots."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockloom import schema as S
@@ -20,8 +20,7 @@ from blockloom.sources.restore import write_entries
 
 BLOCK_COLUMNS = [c.split()[0] for c in S.BLOCKS.split(", ")]
 _META = "options string, salt string, wrapped string, generation long, version long, flags int, base string"
-_STATS = "generation long, files long, dirs long, input_bytes long, block_count long, new_blocks long, reused_blocks long, dedup_savings long, stored_bytes long, parity_blocks long, archive_size long"
-_ROOTS = "generation long, header string, manifest string, root string"
+_STATS = "generation long, files long, dirs long, input_bytes long, block_count long, new_blocks long, reused_blocks long, dedup_savings long, stored_bytes long, parity_blocks long, archive_size long, header string, manifest string, root string"
 
 
 @dataclass(frozen=True)
@@ -196,7 +195,10 @@ class Archive:
 
     def stats(self) -> DataFrame:
         """What each generation's write did: files, input, blocks new and reused, savings, stored bytes, parity, size of the archive."""
-        return self.spark.read.schema(_STATS).json(f"{self.path}/stats").filter(F.col("generation") <= self.generation).orderBy("generation")
+        return self._stats().filter(F.col("generation") <= self.generation).drop("header", "manifest", "root").orderBy("generation")
+
+    def _stats(self) -> DataFrame:
+        return self.spark.read.schema(_STATS).json(f"{self.path}/stats")
 
     def _prints(self, generation: int | None) -> DataFrame:
         fingerprint = F.sha2(F.array_join(F.transform("block_refs", lambda r: r["hash"]), ""), 256)
@@ -242,7 +244,7 @@ class Archive:
         groups = groups.join(parity, "group_id", "left") if parity is not None else groups.withColumn("k", F.lit(0))
         recoverable = groups.agg(F.coalesce(F.sum(F.when(F.col("c") <= F.col("k"), F.col("c"))), F.lit(0)).alias("recoverable"))
         counts = damage.agg(F.count("*").alias("blocks"), F.count_if("intact").alias("ok"), F.count_if(~F.col("intact")).alias("corrupted"))
-        want = self.spark.read.schema(_ROOTS).json(f"{self.path}/roots").filter(F.col("generation") == self.generation).first()
+        want = self._stats().filter(F.col("generation") == self.generation).first()
         header, manifest, root = self.roots()
         checks = {"manifest_ok": F.lit(manifest == want["manifest"]), "root_ok": F.lit((header, root) == (want["header"], want["root"]))}
         return counts.crossJoin(lost.agg(F.count("*").alias("missing"))).crossJoin(recoverable).crossJoin(hit).withColumns(checks)  # one row each
@@ -292,7 +294,7 @@ class Archive:
         if "manifest" in tables:
             _save_entries(self.entries(), path)
         if "meta" in tables:
-            for name, columns in (("meta", _META), ("stats", _STATS), ("roots", _ROOTS)):
+            for name, columns in (("meta", _META), ("stats", _STATS)):
                 self.spark.read.schema(columns).json(f"{self.path}/{name}").coalesce(1).write.json(f"{path}/{name}")
 
 
@@ -382,41 +384,38 @@ def _with_refs(entries: DataFrame, offsets: DataFrame) -> DataFrame:
     return entries.drop("block_refs").join(refs, ["generation", "seq"], "left").withColumn("block_refs", F.coalesce("block_refs", F.array().cast(f"array<{S.REF}>")))
 
 
-def _header(flags: int) -> str:
-    return hashlib.sha256(f"{S.FORMAT_VERSION}/{flags}".encode()).hexdigest()
-
-
-def _root_of(rows: DataFrame, order: list[str], digest: Column) -> str:
-    """Merkle root of the rows' digests in an order; of no rows: that of nothing."""
-    leaves = dedup.numbered(rows.select(*order, digest.alias("hash")), order, {"i": F.lit(1)})
-    found = merkle.merkle_root(leaves).first()
-    return found["root"] if found else "0" * 64
+def _digest(rows: DataFrame) -> str:
+    """A digest of a table's rows that does not depend on their order: the rows' SHA-256, added bit by bit. One partial aggregate."""
+    row = F.sha2(F.to_json(F.struct(*rows.columns)), 256)
+    lanes = [F.bit_xor(F.conv(F.substring(row, 1 + 15 * k, 15), 16, 10).cast("long")).alias(f"lane{k}") for k in range(4)]
+    return hashlib.sha256(json.dumps(rows.agg(F.count("*").alias("n"), *lanes).first().asDict()).encode()).hexdigest()
 
 
 def _roots(spark: SparkSession, path: str, entries: DataFrame, flags: int) -> tuple[str, str, str]:
-    header = _header(flags)
-    manifest = _root_of(entries, ["generation", "seq", "path"], F.sha2(F.to_json(F.struct(*[c.split()[0] for c in S.MANIFEST.split(", block_refs")[0].split(", ")], "block_refs")), 256))
+    header = hashlib.sha256(f"{S.FORMAT_VERSION}/{flags}".encode()).hexdigest()
+    manifest = _digest(entries)
     blocks = spark.read.schema(S.BLOCKS).parquet(f"{path}/blocks").select("block_seq", "hash")
-    ends = spark.createDataFrame([(-1, header), ((1 << 63) - 1, manifest)], "block_seq long, hash string")
-    return header, manifest, _root_of(blocks.union(ends), ["block_seq"], F.col("hash"))
+    leaves = dedup.running(blocks, "block_seq", {"i": F.lit(1)}).select("i", "hash")
+    found = merkle.merkle_root(leaves).first()
+    return header, manifest, hashlib.sha256("/".join([header, found["root"] if found else "", manifest]).encode()).hexdigest()
 
 
 def _note(spark: SparkSession, path: str, generation: int, options: Options, flags: int, slim: DataFrame | None, start: int = 0, known: DataFrame | None = None) -> None:
     """Stats and root of a generation that has just been written. slim: hash, len of its chunks."""
     entries = spark.read.schema(S.MANIFEST).parquet(f"{path}/manifest")
     mine = entries.filter(F.col("generation") == generation)
-    blocks = spark.read.schema(S.BLOCKS).parquet(f"{path}/blocks")
-    files = mine.agg(F.count_if(F.col("kind") != "dir"), F.count_if(F.col("kind") == "dir"), F.coalesce(F.sum(F.when(F.col("kind") == "file", F.col("size"))), F.lit(0))).first()
-    new = blocks.filter(F.col("block_seq") >= start).agg(F.count("*"), F.coalesce(F.sum("compressed_size"), F.lit(0)), F.coalesce(F.sum("uncompressed_size"), F.lit(0))).first()
+    total = lambda c, where: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0))
+    files = mine.agg(F.count_if(F.col("kind") != "dir"), F.count_if(F.col("kind") == "dir"), total("size", F.col("kind") == "file")).first()
+    fresh = F.col("block_seq") >= start
+    new = spark.read.schema(S.BLOCKS).parquet(f"{path}/blocks").agg(F.count_if(fresh), total("compressed_size", fresh), total("uncompressed_size", fresh), F.count("*"), total("compressed_size", F.lit(True))).first()
     if slim is None:
         slim = mine.select(F.explode("block_refs").alias("r")).select("r.hash", F.col("r.slice_len").alias("len"))
-    chunks = slim.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+    chunks = slim.agg(F.count("*"), total("len", F.lit(True))).first()
     reused = slim.join(known.select("hash"), "hash", "left_semi").count() if flags & S.INCREMENTAL else chunks[0] - new[0]
-    parity = spark.read.schema(S.PARITY).parquet(f"{path}/parity").agg(F.count("*"), F.coalesce(F.sum("shard_size"), F.lit(0))).first() if options.parity else (0, 0)
-    every = blocks.agg(F.count("*"), F.coalesce(F.sum("compressed_size"), F.lit(0))).first()
-    size = S.HEADER_SIZE + S.FOOTER_SIZE + S.BLOCK_HEADER_SIZE * (every[0] + parity[0]) + every[1] + parity[1]
-    _json(spark, path, "stats", (generation, *files, chunks[0], new[0], reused, chunks[1] - new[2], new[1], parity[0], size), _STATS)
-    _json(spark, path, "roots", (generation, *_roots(spark, path, entries, flags)), _ROOTS)
+    parity = spark.read.schema(S.PARITY).parquet(f"{path}/parity").agg(F.count("*"), total("shard_size", F.lit(True))).first() if options.parity else (0, 0)
+    size = S.HEADER_SIZE + S.FOOTER_SIZE + S.BLOCK_HEADER_SIZE * (new[3] + parity[0]) + new[4] + parity[1]
+    stats = (generation, *files, chunks[0], new[0], reused, chunks[1] - new[2], new[1], parity[0], size)
+    _json(spark, path, "stats", (*stats, *_roots(spark, path, entries, flags)), _STATS)
 
 
 def _write(files: DataFrame, path: str, options: Options, key: bytes | None, generation: int, known: DataFrame | None, flags: int, external: bool = False) -> None:

@@ -485,7 +485,7 @@ def archive_convert(s, d):
 
 
 def archive_restore(s, d):
-    return _archive(s, d).restore(f"{new_folder(s)}/out".removeprefix("file://"))
+    return _archive(s, d).restore(f"{new_folder(s)}/out")
 
 
 def archive_block_offsets(s, d):

@@ -47,7 +47,8 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and retries read the same rows."""
     spark = df.sparkSession
     folder = new_folder(spark)
-    df.write.parquet(f"{folder}/{name}")
+    # zstd: less disk than Spark's own choice, and no direct buffers as large as pages beside the heap
+    df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
     table = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
     _STORED[table] = folder
     return table

@@ -6,6 +6,7 @@ import contextlib
 import functools
 import io
 import os
+import re
 import tarfile
 import uuid
 
@@ -23,6 +24,13 @@ def link_stays_inside(path: Column, target: Column) -> Column:
     return ~target.rlike(r"^[/\\]") & scalar.resolve_path(F.concat(parent, target)).isNotNull()
 
 
+def local_path(folder: str) -> str:
+    """A folder's path without the scheme of the file system; other schemes have no paths that os can write to."""
+    if re.match(r"[a-z][a-z0-9+.-]+:", folder) and not folder.startswith("file:"):
+        raise ValueError(f"not a folder of the file system: {folder}")
+    return re.sub(r"^file:(//)?", "", folder)
+
+
 def _place(folder: str, kind: str):
     """A task may run twice: files get their name by a rename, and what is there already is replaced."""
 
@@ -74,6 +82,7 @@ def write_entries(entries: DataFrame, contents: DataFrame, folder: str) -> DataF
     Unsafe paths and links raise before any write. Of files that share a path, one stays.
     """
     unsafe = ~scalar.safe_path(F.col("path")) | ((F.col("kind") == "symlink") & ~link_stays_inside(F.col("path"), F.col("target"))) | ((F.col("kind") == "hardlink") & ~scalar.safe_path(F.col("target")))
+    folder = local_path(folder)
     bad = entries.filter(unsafe).select("path").first()
     if bad:
         raise ValueError(f"entry leaves the folder: {bad[0]}")
@@ -111,7 +120,7 @@ def write_tars(files: DataFrame, folder: str) -> int:
     A try that fails leaves a tar without its name; one that runs twice may leave a tar twice, so the folder's tars
     that no finished task named go at the end.
     """
-    folder = folder.removeprefix("file://").removeprefix("file:")
+    folder = local_path(folder)
     os.makedirs(folder, exist_ok=True)
     rows = files.select("path", F.col("content").cast("binary").alias("content"), "mtime_ns").mapInArrow(functools.partial(_tar, folder), "tar string, n long").collect()  # one row for each task
     named = {os.path.basename(r["tar"]) for r in rows if r["n"]}
