@@ -30,6 +30,10 @@ def scratch_dir(spark: SparkSession) -> str:
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+#: Bytes of a row group of a stored table.
+ROW_GROUP = 8 << 20
+
+
 def small_batches(spark: SparkSession, most: str = "4m") -> None:
     """A session that leaves BATCH at Spark's own value (64 MB) takes a smaller one from here on; one that has chosen keeps its choice."""
     if spark.conf.get(BATCH, "67108864b") == "67108864b":
@@ -47,8 +51,8 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and retries read the same rows."""
     spark = df.sparkSession
     folder = new_folder(spark)
-    # zstd: less disk than Spark's own choice, and no direct buffers as large as pages beside the heap
-    df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+    # small row groups: a task holds one while it writes, and reads a column of one at once
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/{name}")
     table = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
     _STORED[table] = folder
     return table
