@@ -21,7 +21,7 @@ from blockloom.llm.common import hold
 SPACE = r"\t-\r \x85\xa0  -     　"
 PRETOKEN = " ?[{L}]+| ?[{N}]+|'(?:[stmd]|re|ve|ll)| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 #: Bytes of pre-tokens and ids that a worker remembers before this memory is emptied.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 48 << 20
 
 
 def _category_ranges(letter: str, top: int) -> str:

@@ -25,7 +25,7 @@ BLANKS = b" \t\n\x0b\x0c\r"
 class Memory(dict):
     """Values that make gives of words, remembered within a number of bytes; then the memory starts anew. A very long word is not kept."""
 
-    def __init__(self, make: Callable[[Any], Any], most_bytes: int = 48 << 20, entry_bytes: int = 150):
+    def __init__(self, make: Callable[[Any], Any], most_bytes: int = 32 << 20, entry_bytes: int = 180):
         super().__init__()
         self.make, self.most_bytes, self.entry_bytes, self.held = make, most_bytes, entry_bytes, 0
 

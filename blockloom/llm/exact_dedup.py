@@ -94,7 +94,7 @@ class Groups:
         best = self.best[a:b]
         return {"norm": self.texts[a:b], "size": self.size[a:b], "points": [x[0] for x in best], "keep_id": [x[1] for x in best], "keep_row": [x[2] for x in best]}
 
-    def pieces(self, most_bytes: int = 8 << 20):
+    def pieces(self, most_bytes: int = 2 << 20):
         """Ranges of groups whose texts have about most_bytes, or one longer text."""
         a = held = 0
         for b, t in enumerate(self.texts):
@@ -117,7 +117,7 @@ def _local(most_bytes: int, batches):
             none = [None] * (b - a)
             yield emit(LOCAL, row=none, doc_id=none, part=range(part + a, part + b), **groups.columns(a, b))
 
-    for s in slices(batches, most_bytes >> 2):
+    for s in slices(batches, min(most_bytes, 4 << 20)):
         texts = ["" if t is None else t for t in s.column("text").to_pylist()]
         ids = s.column("doc_id").to_pylist()
         found = groups.add([t.encode().translate(None, BLANKS) for t in texts], [1] * len(texts), [(len(t), i, row + k) for k, (t, i) in enumerate(zip(texts, ids, strict=True))])
@@ -135,7 +135,7 @@ def _gather(batches) -> tuple[Groups, list[list[int]]]:
     """The texts of one radix bucket, and the parts of each. Memory holds distinct texts."""
     hold("dedup")
     groups, parts = Groups(), []
-    for s in slices(batches, 16 << 20, "norm"):
+    for s in slices(batches, 4 << 20, "norm"):
         c = {k: s.column(k).to_pylist() for k in ("part", "norm", "size", "points", "keep_id", "keep_row")}
         found = groups.add(c["norm"], c["size"], list(zip(c["points"], c["keep_id"], c["keep_row"], strict=True)))
         parts += [[] for _ in range(len(groups.texts) - len(parts))]

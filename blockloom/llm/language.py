@@ -77,7 +77,7 @@ class Model:
 class Scorer:
     """Margins of whole texts from a memory of words that is bounded in bytes."""
 
-    def __init__(self, model: Model, most_bytes: int = 64 << 20):
+    def __init__(self, model: Model, most_bytes: int = 48 << 20):
         self.model, self.row, self.most_bytes, self.held = model, {}, most_bytes, 0
         self.table = np.zeros((1024, model.weights.shape[1] + 1), np.float32)
 
