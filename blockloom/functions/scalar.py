@@ -130,3 +130,8 @@ def legacy_format(content: Column) -> Column:
     """tar.zst, tar.gz or tar by magic bytes, else null."""
     head = F.hex(F.substring(content, 1, 4))
     return F.when(F.octet_length(content) < 4, None).when(head == "28B52FFD", "tar.zst").when(F.substring(head, 1, 4) == "1F8B", "tar.gz").when(F.hex(F.substring(content, 258, 5)) == "7573746172", "tar")
+
+
+def lossy_text(raw: Column) -> Column:
+    """Bytes as text; what is no UTF-8 becomes replacement characters."""
+    return F.make_valid_utf8(raw.cast("string"))

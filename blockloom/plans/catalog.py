@@ -13,6 +13,7 @@ from blockloom.operators import chunk, codec, dedup, ecc, merkle, versions, volu
 from blockloom.operators.archive import Archive, Options, convert, join, merge
 from blockloom.scratch import new_folder
 from blockloom.sources.files import table_files
+from blockloom.sources.records import scan_records, write_records
 from blockloom.sources.restore import link_stays_inside, write_tars
 
 CHUNK, CAP, VOLUME, PARITY, RENAMED = 1024, 100, 200_000, 2, 1_000_000_000_000
@@ -264,8 +265,10 @@ def version_compare(s, d):
 
 
 def url_versions(s, d):
-    rows = [("https://x.example/releases/v1.2.3",), ("https://x.example/releases/latest",), ("https://x.example/tag/0.7",)]
-    return s.createDataFrame(rows, "url string").select("url", scalar.version_from_url(F.col("url")).alias("version"))
+    """Versions at the end of release addresses made from parts; every fifth has none."""
+    parts = F.when(F.col("p_partkey") % 5 == 0, "latest").otherwise(F.format_string("v%d.%d.%d", "p_size", F.col("p_partkey") % 10, F.col("p_partkey") % 3))
+    urls = _read(s, d, "part").select("p_partkey", F.concat(F.lit("https://x.example/releases/"), parts).alias("url"))
+    return urls.select("p_partkey", scalar.version_from_url(F.col("url")).alias("version"))
 
 
 _NAMES = ["zstd", "ZSTANDARD", "lz4", "none", "Store", "brotli", ""]
@@ -284,6 +287,14 @@ def checksum_lines(s, d):
     return lines.select("line", scalar.checksum_line(F.col("line")).alias("c")).select("line", "c.hash", F.coalesce("c.name", F.lit("")).alias("name"))
 
 
+def checksum_lookup(s, d):
+    """The checksum of each page's file in a list of lines "hash  name" or "hash *name"; pages that the list lacks have none."""
+    pages = _read(s, d, "pages").select("page_id", F.format_string("page-%d.html", "page_id").alias("name"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("hash"))
+    mark = F.when(F.col("page_id") % 2 == 0, "  ").otherwise(" *")
+    lines = pages.filter("page_id % 7 <> 3").select(scalar.checksum_line(F.concat(F.upper("hash"), mark, "name")).alias("c")).select("c.name", F.col("c.hash").alias("listed"))
+    return pages.join(lines, "name", "left").select("page_id", F.coalesce("listed", F.lit("")).alias("listed"), F.coalesce(F.col("listed") == F.col("hash"), F.lit(False)).alias("agrees"))
+
+
 def link_escape(s, d):
     """Whether a link stays below the root that it is restored to."""
     return s.createDataFrame(_LINKS, "path string, target string").select("path", "target", link_stays_inside(F.col("path"), F.col("target")).alias("inside"))
@@ -497,6 +508,14 @@ def archive_block_offsets(s, d):
     return groups.select("group_id", "blocks", (F.col("last") - F.col("first") == F.col("bytes") - S.BLOCK_HEADER_SIZE).alias("gapless"))
 
 
+def records_roundtrip(s, d):
+    """An archive's blocks as binary files, scanned and decoded again."""
+    folder = new_folder(s)
+    write_records(_archive(s, d).blocks(), folder)
+    rows = scan_records(s, folder)
+    return codec.decompress_blocks(rows.select("hash", "payload", "codec", "uncompressed_size")).select("hash", "intact", F.octet_length("chunk").cast("long").alias("len"))
+
+
 def codec_roundtrip(s, d):
     c = chunk.fixed_chunks(_files(s, d), CHUNK).groupBy("hash").agg(F.min("chunk").alias("chunk"))
     return codec.decompress_blocks(codec.compress_blocks(c)).select("hash", "intact", F.octet_length("chunk").cast("long").alias("len"))
@@ -597,7 +616,7 @@ def oracle_sql() -> dict[str, str]:
         "path_safety": f"WITH {_values(_PATHS, 'path')} SELECT path, NOT (regexp_matches(path, '^[/\\\\]') OR list_contains(string_split_regex(path, '[/\\\\]'), '..')) AS safe, regexp_replace(replace(path, '\\', '/'), '^/+', '') AS normal FROM v",
         "size_parse": f"WITH {_values(_SIZES, 'text')} SELECT text, coalesce(CAST(floor(TRY_CAST({size} AS DOUBLE) * CASE upper(regexp_extract(text, '([KMGkmg])\\s*$', 1)) WHEN 'K' THEN 1024 WHEN 'M' THEN 1048576 WHEN 'G' THEN 1073741824 ELSE 1 END) AS BIGINT), -1) AS bytes FROM v",
         "version_compare": f'WITH {_values(_VERSIONS, "current", "other")} SELECT "current", other, {versions_sql("other")} > {versions_sql(chr(34) + "current" + chr(34))} AS newer FROM v'.replace("v(current", 'v("current"'),
-        "url_versions": "WITH v(url, version) AS (VALUES ('https://x.example/releases/v1.2.3', '1.2.3'), ('https://x.example/releases/latest', NULL), ('https://x.example/tag/0.7', '0.7')) SELECT * FROM v",
+        "url_versions": "SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN printf('%d.%d.%d', p_size, p_partkey % 10, p_partkey % 3) END AS version FROM part",
         "page_formats": "SELECT CASE WHEN strlen(html) < 4 THEN 'none' WHEN substr(html, 258, 5) = 'ustar' THEN 'tar' ELSE 'none' END AS format, count(*) AS n FROM pages GROUP BY 1",
         "lineitem_dedup": "SELECT sha256(concat_ws('|', l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d'), CAST(CAST(l_quantity AS INTEGER) AS VARCHAR))) AS hash, count(*) AS uses, min(l_orderkey) AS first_seq, CAST(sum(l_linenumber) AS BIGINT) AS bytes FROM lineitem GROUP BY 1",
         "codec_names": f"WITH {_values(_NAMES, 'name')}, i AS (SELECT name, CASE WHEN lower(name) IN ('none', 'store') THEN 0 WHEN lower(name) IN ('zstd', 'zstandard') THEN 1 WHEN lower(name) = 'lz4' THEN 2 ELSE -1 END AS codec FROM v) SELECT name, codec, CASE codec WHEN 0 THEN 'none' WHEN 1 THEN 'zstd' WHEN 2 THEN 'lz4' ELSE 'unknown' END AS canonical FROM i",
@@ -633,6 +652,8 @@ def oracle_sql() -> dict[str, str]:
         "archive_heal": f"WITH {_A} {told.format('a0')}",
         "archive_encrypted": f"WITH {_A} {told.format('a0')}",
         "archive_convert": f"WITH {_A} {told.format('a0')}",
+        "records_roundtrip": f"WITH {_A} SELECT hash, true AS intact, CAST(size AS BIGINT) AS len FROM b0",
+        "checksum_lookup": "SELECT page_id, CASE WHEN page_id % 7 <> 3 THEN sha256(coalesce(html, '')) ELSE '' END AS listed, page_id % 7 <> 3 AS agrees FROM pages",
         "archive_restore": "SELECT 'file' AS kind, count(*) AS n FROM documents",
         "archive_block_offsets": f"WITH {_A} SELECT k // 10 AS group_id, count(*) AS blocks, true AS gapless FROM b0 GROUP BY 1",
         "content_roundtrip": f"WITH {_C} SELECT seq, hash FROM c",

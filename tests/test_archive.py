@@ -12,6 +12,7 @@ from blockloom.operators import chunk, codec, dedup, ecc, merkle
 from blockloom.operators.archive import Archive, Options, convert, join, merge
 from blockloom.plans import catalog
 from blockloom.sources import files as sources
+from blockloom.sources import records
 from tests import compare
 
 SMALL = Options(least=64, average=256, most=1024)
@@ -211,6 +212,36 @@ def test_gear_hashes_byte_by_byte(monkeypatch):
     assert chunk.cut_points(data.tobytes(), 64, 256, 1024) == ends
 
 
+def test_records(spark, base, tmp_path):
+    data, a = base
+    assert records.write_records(a.blocks().repartition(2), f"file://{tmp_path}/r") == a.blocks().count()
+    files = sorted((tmp_path / "r").iterdir())
+    want = {r.hash: bytes(r.payload) for r in a.blocks().collect()}
+    read = lambda: {r.hash: bytes(r.payload) for r in records.scan_records(spark, str(tmp_path / "r")).collect() if r.hash}
+    assert len(files) == 2 and read() == want
+    whole = files[0].read_bytes()
+    at, size, again = records.read_footer(whole[-76:])[:3]
+    for lost in (range(at + 9, at + 10), range(len(whole) - 3, len(whole)), range(at, len(whole))):  # first index, footer, both
+        files[0].write_bytes(bytes(255 - b if k in lost else b for k, b in enumerate(whole)))
+        assert read() == want
+    files[0].write_bytes(bytes(255 - b if k == 20 else b for k, b in enumerate(whole)))  # the first record's head
+    assert len(read()) == len(want) - 1
+    for spoiled in (b"x" + whole[1:], whole[:6] + b"x" + whole[7:], whole[:10]):
+        files[0].write_bytes(spoiled)
+        with pytest.raises(Exception):
+            read()
+    with pytest.raises(ValueError, match="later"):
+        records.read_header(b"BLMR\xff\xff" + bytes(10))
+
+
+def test_lossy_text(spark):
+    from blockloom.functions import scalar
+
+    raw = [b"plain", "é".encode(), b"a\xffb", b"\xe2\x82", b""]
+    df = spark.createDataFrame([(bytearray(x),) for x in raw], "raw binary")
+    assert [r[0] for r in df.select(scalar.lossy_text(F.col("raw"))).collect()] == [x.decode(errors="replace") for x in raw]
+
+
 def test_islands_over_ranges(spark):
     rng = np.random.default_rng(2)
     kinds = [bool(x) for x in rng.integers(0, 2, 300)]
@@ -374,13 +405,39 @@ def test_merkle_and_empty(spark):
 
 
 def test_stream_of_generations(spark, tmp_path):
+    import time
+
     from blockloom.streaming.generations import append_stream
+    from blockloom.streaming.progress import Progress
 
     (tmp_path / "in").mkdir()
     frame(spark, {"a": b"one"}).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = lambda: append_stream(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), str(tmp_path / "ar"), str(tmp_path / "cp"), SMALL)
+    progress = Progress()
+    spark.streams.addListener(progress)
     stream().awaitTermination(120)
     frame(spark, {"b": b"two"}).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream().awaitTermination(120)
     assert contents(Archive(spark, str(tmp_path / "ar")).extract(0)) == {"a": b"one"}
     assert contents(Archive(spark, str(tmp_path / "ar")).extract()) == {"b": b"two"}
+    for _ in range(100):  # events come later than the end of a query
+        if progress.ended == 2:
+            break
+        time.sleep(0.1)
+    assert progress.rows == 2 and progress.batches >= 2 and progress.left(2) == 0 and progress.left(4) > 0
+    spark.streams.removeListener(progress)
+
+
+def test_dedup_with_bounded_state(spark, tmp_path):
+    from blockloom.streaming.generations import first_seen_within
+
+    rows = [("2024-01-01 00:00:00", "a"), ("2024-01-01 00:00:05", "a"), ("2024-01-01 00:00:06", "b")]
+    later = [("2024-01-01 00:00:07", "b"), ("2024-01-01 02:00:00", "c")]
+    last = [("2024-01-01 02:00:01", "a"), ("2024-01-01 02:00:02", "c")]
+    out = []
+    for k, part in enumerate((rows, later, last)):
+        spark.createDataFrame(part, "ts string, hash string").selectExpr("cast(ts as timestamp) ts", "hash").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("ts timestamp, hash string").parquet(str(tmp_path / "in"))
+        first_seen_within(stream, "ts", "10 minutes").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+        out.append(sorted(r.hash for r in spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert out == [["a", "b"], ["a", "b", "c"], ["a", "a", "b", "c"]]  # a is forgotten two hours later
