@@ -47,9 +47,31 @@ class Model:
     bias: float
     sizes: tuple[int, ...]
 
-    def word(self, word: str) -> complex:
-        f = features(word, len(self.projection), self.sizes)
-        return complex(float(self.projection[f].sum()), len(f))
+
+class Words:
+    """A word's sum of projections, and its number of features as the imaginary part.
+
+    What n-grams that start a window of the longest size add is remembered: texts hold far fewer windows
+    than words, so a word that is new or was forgotten costs a look-up a character and one hash.
+    """
+
+    def __init__(self, model: Model):
+        self.values, self.sizes, self.longest = model.projection.tolist(), model.sizes, max(model.sizes, default=0)
+        self.starts = Memory(self._start, 16 << 20)
+
+    def _value(self, part: str) -> float:
+        return self.values[zlib.crc32(part.encode("utf-8", "surrogatepass")) % len(self.values)]
+
+    def _start(self, window: str) -> float:
+        return sum(self._value(window[:n]) for n in self.sizes if n <= len(window))
+
+    def __call__(self, word: str) -> complex:
+        w, longest = f"<{word}>", self.longest
+        if len(w) <= longest:  # an n-gram as long as the word is the word
+            f = features(word, len(self.values), self.sizes)
+            return complex(sum(self.values[k] for k in f), len(f))
+        total = sum(map(self.starts.__getitem__, (w[i : i + longest] for i in range(len(w)))), self._value(w))
+        return complex(total, 1 + sum(len(w) - n + 1 for n in self.sizes))
 
 
 def fit(rows: list[tuple[str, int]], buckets: int = 1 << 15, dim: int = 12, sizes: tuple[int, ...] = (2, 3), epochs: int = 6, rate: float = 0.6, seed: int = 3) -> Model:
@@ -96,7 +118,7 @@ def _score(shared, key: str, batches):
     hold("quality", _MEMORY.clear)
     if key not in _MEMORY:
         _MEMORY.clear()
-        _MEMORY[key] = shared.value, Memory(shared.value.word)
+        _MEMORY[key] = shared.value, Memory(Words(shared.value))
     model, words = _MEMORY[key]
     same = SAME_WEIGHT * complex(model.projection[features(SAME, len(model.projection), ())[0]], 1)
     for b in slices(batches):

@@ -1,10 +1,12 @@
 """The text operators on small tables with every odd case, against brute force, libraries and SQL."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -431,6 +433,26 @@ def test_quality_scores_by_plain_loops(spark):
     assert got[0] > 0.5 > got[1]
 
 
+def test_quality_new_words_cost_one_hash(monkeypatch):
+    """Words that are met for the first time are hashed themselves; their n-grams are remembered, and add up to the features' sum."""
+    rng = np.random.default_rng(1)
+    model = quality.Model(rng.normal(size=1 << 10).astype(np.float32), 0.5, (2, 3))
+    words = ["".join(p) for p in itertools.product("abcé", repeat=6)] + ["a", "日", "日本", "é" * 300]
+    shared, hashed = SimpleNamespace(value=model), []
+    monkeypatch.setattr(quality, "zlib", SimpleNamespace(crc32=lambda b: hashed.append(b) or zlib.crc32(b)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [" ".join(words)]})
+    (got,) = quality._score(shared, "new words", [batch])
+    assert len(hashed) < 2 * len(words)
+    bag = [f for w in words for f in quality.features(w, 1 << 10, (2, 3))]
+    z = sum(float(model.projection[f]) for f in bag) / len(bag) + model.bias
+    assert abs(got.column("score")[0].as_py() - 1 / (1 + np.exp(-z))) < 1e-9
+    for sizes in ((), (1,), (3,), (4, 1), (2, 3), (2, 3, 5)):
+        made = quality.Words(quality.Model(model.projection, 0.5, sizes))
+        for w in [*words[:50], *words[-4:], "abc", "abcd", "\ud800x"]:
+            bag = quality.features(w, 1 << 10, sizes)
+            assert abs(made(w) - complex(sum(model.projection[bag].tolist()), len(bag))) < 1e-9
+
+
 def test_quality_step_follows_the_gradient():
     """One document, one step: the change is the rate times the gradient by finite differences, for output rows and bias."""
     rows = [("alpha beta gamma", 1)]
