@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import sys
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -60,11 +62,6 @@ class Model:
     bias: np.ndarray
     sizes: tuple[int, ...]
 
-    def word(self, word: str) -> np.ndarray:
-        """Sums of the word's n-gram weights, and their number."""
-        grams = word_grams(word, self.sizes, len(self.weights))
-        return np.append(self.weights[grams].sum(0), len(grams))
-
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Class, confidence and the gap to the second, by logistic loss against each codeword."""
         loss = np.logaddexp(0, -margins[:, None, :] * self.code[None]).sum(2)
@@ -74,11 +71,77 @@ class Model:
         return loss.argmin(1), top[:, -1], top[:, -1] - (top[:, -2] if p.shape[1] > 1 else 0)
 
 
+class Words:
+    """Sums of words' n-gram weights, and the n-grams' numbers.
+
+    What n-grams that start a window of the longest size add is remembered: texts hold far fewer windows
+    than words, so a word that is new or was forgotten costs a look-up a character and no hash.
+    """
+
+    def __init__(self, model: Model, most_bytes: int = 16 << 20, most_starts: int = 1 << 16):
+        self.model, self.row, self.longest = model, {}, max(model.sizes, default=1)
+        self.most_bytes, self.most_starts, self.held = most_bytes, most_starts, 0
+        self.table = np.zeros((1024, model.weights.shape[1] + 1), np.float32)
+
+    def _start(self, window: str) -> np.ndarray:
+        weights = self.model.weights
+        grams = [zlib.crc32(window[:n].encode("utf-8", "surrogatepass")) % len(weights) for n in self.model.sizes if n <= len(window)]
+        return np.append(weights[grams].sum(0), len(grams))
+
+    def _learn(self, windows: set[str]) -> None:
+        new = windows.difference(self.row)
+        entry = 200 + 2 * self.table[0].nbytes
+        if self.row and self.held + entry * len(new) > self.most_bytes:
+            self.row, self.held, new = {}, 0, windows
+            self.table = self.table[:1024].copy()
+        self.held += entry * len(new)
+        self.table = enlarged(self.table, len(self.row), len(self.row) + len(new))
+        for w in new:
+            self.table[len(self.row)] = self._start(w)
+            self.row[w] = len(self.row)
+
+    def _pieces(self, words: list[str]) -> Iterator[list[tuple[int, str, int]]]:
+        """Lists of (word number, part of the word with its borders, windows that start in it), of about most_starts windows each."""
+        some, starts = [], 0
+        for k, word in enumerate(words):
+            w = f"<{word}>"
+            for i in range(0, len(w), self.most_starts):
+                n = min(self.most_starts, len(w) - i)
+                some.append((k, w[i : i + n + self.longest - 1], n))
+                starts += n
+                if starts >= self.most_starts:
+                    yield some
+                    some, starts = [], 0
+        if some:
+            yield some
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), self.table.shape[1]))
+        longest = self.longest
+        for some in self._pieces(words):
+            owner, _, counts = zip(*some, strict=True)
+            windows = [w[i : i + longest] for _, w, n in some for i in range(n)]
+            self._learn(set(windows))
+            rows = np.fromiter(map(self.row.__getitem__, windows), np.int64, len(windows))
+            sums = np.add.reduceat(self.table[rows], np.append(0, np.cumsum(counts)[:-1]), axis=0, dtype=np.float64)
+            np.add.at(out, np.array(owner), sums)
+        return out
+
+
+def enlarged(table: np.ndarray, used: int, need: int) -> np.ndarray:
+    """The table, or one of at least need rows that begins with its used ones."""
+    if need <= len(table):
+        return table
+    grown = np.zeros((max(need, len(table) * 3 // 2), table.shape[1]), table.dtype)
+    grown[:used] = table[:used]
+    return grown
+
+
 class Scorer:
     """Margins of whole texts from a memory of words that is bounded in bytes."""
 
     def __init__(self, model: Model, most_bytes: int = 48 << 20):
-        self.model, self.row, self.most_bytes, self.held = model, {}, most_bytes, 0
+        self.model, self.row, self.most_bytes, self.held, self.words = model, {}, most_bytes, 0, Words(model)
         self.table = np.zeros((1024, model.weights.shape[1] + 1), np.float32)
 
     def _learn(self, words: set[str]) -> None:
@@ -90,20 +153,17 @@ class Scorer:
             size = sum(map(sys.getsizeof, new)) + len(new) * (100 + 2 * self.table[0].nbytes)
             self.held = 0
         self.held += size
-        need = len(self.row) + len(new)
-        if need > len(self.table):
-            grown = np.zeros((max(need, len(self.table) * 3 // 2), self.table.shape[1]), np.float32)
-            grown[: len(self.row)] = self.table[: len(self.row)]
-            self.table = grown
-        for w in new:
-            self.table[len(self.row)] = self.model.word(w)
-            self.row[w] = len(self.row)
+        first, need = len(self.row), len(self.row) + len(new)
+        self.table = enlarged(self.table, first, need)
+        new = list(new)
+        self.table[first:need] = self.words(new)
+        self.row.update(zip(new, range(first, need), strict=True))
 
     def margins(self, texts: list[str]) -> np.ndarray:
         words = [t.lower().split() for t in texts]
         self._learn(set().union(*words))
         counts = np.array([len(w) for w in words])
-        rows = np.fromiter((r for w in words for r in map(self.row.__getitem__, w)), np.int64, counts.sum())
+        rows = np.fromiter(map(self.row.__getitem__, chain.from_iterable(words)), np.int64, counts.sum())
         sums = np.zeros((len(texts), self.table.shape[1]))
         full = np.flatnonzero(counts)
         if len(full):

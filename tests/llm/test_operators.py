@@ -418,6 +418,26 @@ def test_language_scores_by_plain_loops(monkeypatch):
         assert right >= 0.95 * 12 * n
 
 
+def test_language_new_words_cost_no_hash(monkeypatch):
+    """Words that are met for the first time are looked up by their windows; the windows add up to the n-grams' sum."""
+    rng = np.random.default_rng(1)
+    words = ["".join(p) for p in itertools.product("abcé", repeat=5)] + ["a", "日", "日本", "é" * 300, "ab" * 700, "\ud800x"]
+    hashed = []
+    for sizes in ((1,), (3,), (4, 1), (1, 2, 3)):
+        model = language.Model(["x", "y"], language.codewords(2), rng.normal(size=(1 << 10, 3)).astype(np.float32), np.zeros(3), sizes)
+        grams = [language.word_grams(w, sizes, 1 << 10) for w in words]
+        want = np.array([np.append(model.weights[g].astype(float).sum(0), len(g)) for g in grams])
+        for made in (language.Words(model), language.Words(model, most_bytes=5000, most_starts=64)):  # the second forgets often and cuts words
+            assert np.allclose(made(words), want, atol=1e-3) and np.allclose(made(words[::-1]), want[::-1], atol=1e-3)
+        assert made(["a"]).shape == (1, 4) and made([]).shape == (0, 4)
+        assert made.held <= 200 * 300
+    monkeypatch.setattr(language, "zlib", SimpleNamespace(crc32=lambda b: hashed.append(b) or zlib.crc32(b)))
+    texts = [" ".join(words[:-1])]
+    got = language.Scorer(model).margins(texts)
+    assert len(hashed) < len(words)
+    assert np.allclose(got, naive_margins(model, texts[0]), atol=1e-4)
+
+
 def test_quality_scores_by_plain_loops(spark):
     rows = [("good words here and There", 1), ("bad bad bad, !!", 0), ("fine text", 1)] * 10
     model = quality.fit(rows, buckets=1 << 8, dim=4)
