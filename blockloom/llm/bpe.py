@@ -8,6 +8,7 @@ mergeable pair leave the array. What is left are the token ids.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import sys
@@ -20,8 +21,10 @@ from blockloom.llm.common import hold
 #: The pre-tokenizer of byte-level BPE, with Unicode's White_Space property written out.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PRETOKEN = " ?[{L}]+| ?[{N}]+|'(?:[stmd]|re|ve|ll)| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
-#: Bytes of pre-tokens and ids that a worker remembers before this memory is emptied.
+#: Bytes of pre-tokens and ids that a worker remembers before it forgets those that its last texts did not hold.
 CACHE_BYTES = 48 << 20
+#: Pre-tokens merged at once: few enough for their arrays to stay in a core's cache.
+AT_ONCE = 8000
 
 
 def _category_ranges(letter: str, top: int) -> str:
@@ -67,16 +70,16 @@ class RankMerger:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.byte_ids = np.array([vocab[s] for s in _byte_symbols()], np.int64)
+        self.byte_ids = np.array([vocab[s] for s in _byte_symbols()], np.int32)
         self.base = max(vocab.values()) + 1
         left = np.array([vocab[a] for a, _ in merges], np.int64)
         right = np.array([vocab[b] for _, b in merges], np.int64)
-        made = np.array([vocab[a + b] for a, b in merges], np.int64)
+        made = np.array([vocab[a + b] for a, b in merges], np.int32)
         keys = left * self.base + right
         order = np.argsort(keys, kind="stable")
-        self.keys, self.rank, self.made = keys[order], order, made[order]
+        self.keys, self.rank, self.made = keys[order], order.astype(np.int32), made[order]
         added = spec.get("added_tokens") or []
-        grid = np.ix_(self.byte_ids, self.byte_ids)[0] * self.base + self.byte_ids
+        grid = np.ix_(self.byte_ids.astype(np.int64), self.byte_ids)[0] * self.base + self.byte_ids
         self.first_rank, self.first_made = (x.reshape(256, 256) for x in self._look_up(grid.ravel()))
         self.special = {t["content"]: t["id"] for t in added}
         self.special_at = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if added else None
@@ -84,7 +87,7 @@ class RankMerger:
     def _look_up(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (len(keys) if there is no such merge) and product of symbol pairs."""
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.rank[at], len(self.keys)), self.made[at]
+        return np.where(self.keys[at] == key, self.rank[at], np.int32(len(self.keys))), self.made[at]
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and where each word's ids begin (one more entry at the end)."""
@@ -92,8 +95,8 @@ class RankMerger:
         sizes = np.array([len(r) for r in raw], np.int64)
         data = np.frombuffer(b"".join(raw), np.uint8)
         none = len(self.keys)
-        symbols, owner, place = self.byte_ids[data], np.repeat(np.arange(len(raw)), sizes), np.arange(len(data))
-        rank, made = np.full(len(data), none), np.zeros(len(data), np.int64)
+        symbols, owner = self.byte_ids[data], np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
+        rank, made = np.full(len(data), none, np.int32), np.zeros(len(data), np.int32)
         if len(data) > 1:
             rank[:-1], made[:-1] = self.first_rank[data[:-1], data[1:]], self.first_made[data[:-1], data[1:]]
             rank[np.cumsum(sizes)[sizes > 0] - 1] = none
@@ -104,8 +107,8 @@ class RankMerger:
             target = np.repeat(np.minimum.reduceat(rank, starts), counts)
             live = target < none
             if not live.all():  # words without a mergeable pair leave
-                done.append((symbols[~live], owner[~live], place[~live]))
-                symbols, owner, place, rank, made, target = (x[live] for x in (symbols, owner, place, rank, made, target))
+                done.append((symbols[~live], owner[~live]))
+                symbols, owner, rank, made, target = (x[live] for x in (symbols, owner, rank, made, target))
                 if not len(symbols):
                     break
             hit = np.flatnonzero(rank == target)
@@ -116,27 +119,36 @@ class RankMerger:
             keep = np.ones(len(symbols), bool)
             keep[hit + 1] = False
             now = np.cumsum(keep) - 1
-            symbols, owner, place, rank, made = (x[keep] for x in (symbols, owner, place, rank, made))
+            symbols, owner, rank, made = (x[keep] for x in (symbols, owner, rank, made))
             # only pairs beside a merged symbol have changed
             hit = now[hit]
             near = np.concatenate([hit, hit[hit > 0] - 1])
-            last = near == len(symbols) - 1
-            rank[near[last]] = none
-            near = near[~last]
-            new_rank, made[near] = self._look_up(symbols[near] * self.base + symbols[near + 1])
-            rank[near] = np.where(owner[near] == owner[near + 1], new_rank, none)
-        symbols, owner, place = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (symbols, owner, place)
-        ids = symbols[np.argsort(place, kind="stable")]
+            rank[near] = none
+            near = near[near < len(symbols) - 1]
+            near = near[owner[near] == owner[near + 1]]
+            rank[near], made[near] = self._look_up(symbols[near].astype(np.int64) * self.base + symbols[near + 1])
+        symbols, owner = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (symbols, owner)
+        ids = symbols[np.argsort(owner, kind="stable")]  # a word's symbols leave together, in order
         return ids, np.append(0, np.cumsum(np.bincount(owner, minlength=len(raw))))
 
 
+class Rows(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Encoder:
-    """Encodes whole texts; pre-tokens seen before come from a bounded memory."""
+    """Encodes whole texts; pre-tokens seen before come from a bounded memory: a row of ids for each."""
 
     def __init__(self, path: str):
         self.merger = RankMerger(path)
-        self.ids: dict[str, bytes] = {}
-        self.held = 0
+        special = self.merger.special
+        self.always = len(special)  # rows that are never forgotten: the special strings, under keys of their own
+        self.row = Rows(zip(map("\0special".__add__, special), range(len(special)), strict=True))
+        self.flat, self.starts, self.held = np.array(list(special.values()), "<u4"), np.arange(len(special) + 1), 0
 
     def _parts(self, text: str) -> list[str]:
         """Pre-tokens of a text; a special string stands as it is, under its own key."""
@@ -150,35 +162,59 @@ class Encoder:
             end = m.end()
         return out + pretokens(text[end:])
 
-    def _learn(self, parts: list[list[str]]) -> None:
-        seen = set().union(*parts)
-        new = list(seen.difference(self.ids))
-        if self.held > CACHE_BYTES:
-            self.ids.clear()
-            self.held = 0
-            new = list(seen)
-        for w in [w for w in new if w.startswith("\0special") and w[8:] in self.merger.special]:
-            self.ids[w] = np.array([self.merger.special[w[8:]]], "<u4").tobytes()
-            new.remove(w)
-        for i in range(0, len(new), 50_000):
-            some = new[i : i + 50_000]
-            ids, at = self.merger.merge(some)
-            raw, at = ids.astype("<u4").tobytes(), (4 * at).tolist()
-            self.held += len(raw) + 150 * len(some) + sum(map(sys.getsizeof, some))
-            self.ids.update(zip(some, map(raw.__getitem__, map(slice, at, at[1:])), strict=False))
+    def _learn(self, known: int) -> None:
+        """Add the ids of the pre-tokens whose rows are known and up."""
+        new = list(itertools.islice(self.row, known, None))
+        ids, starts = [self.flat], [self.starts]
+        for i in range(0, len(new), AT_ONCE):
+            made, at = self.merger.merge(new[i : i + AT_ONCE])
+            ids.append(made.astype("<u4"))
+            starts.append(starts[-1][-1] + at[1:])
+        self.flat, self.starts = np.concatenate(ids), np.concatenate(starts)
+        self.held += 4 * sum(map(len, ids[1:])) + 150 * len(new) + sum(map(sys.getsizeof, new))
+
+    def _look_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of all texts' pre-tokens, and where each text's begin (one more entry at the end)."""
+        parts = [self._parts(t) for t in texts]
+        ends = np.cumsum([0, *map(len, parts)])
+        known = len(self.row)
+        rows = np.fromiter(map(self.row.__getitem__, itertools.chain.from_iterable(parts)), np.int64, ends[-1])
+        if len(self.row) > known:
+            self._learn(known)
+        return rows, ends
+
+    def _ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows, one after the other, and where each row's begin (one more entry at the end)."""
+        first = self.starts[rows]
+        n = self.starts[rows + 1] - first
+        ends = np.append(0, np.cumsum(n))
+        return self.flat[np.arange(ends[-1]) + np.repeat(first - ends[:-1], n)], ends
+
+    def _forget(self, rows: np.ndarray) -> None:
+        """Once the memory is full, all but these rows go; they too, if they fill half of it."""
+        if self.held <= CACHE_BYTES:
+            return
+        words, always = list(self.row), np.arange(self.always)
+        stay = np.union1d(always, rows)
+        size = 4 * int((self.starts[stay + 1] - self.starts[stay]).sum()) + 150 * len(stay) + sum(sys.getsizeof(words[k]) for k in stay.tolist())
+        if size > CACHE_BYTES // 2:
+            stay, size = always, 0
+        self.flat, self.starts = self._ids(stay)
+        self.row, self.held = Rows(zip(map(words.__getitem__, stay.tolist()), range(len(stay)), strict=True)), size
 
     def counts(self, texts: list[str]) -> list[int]:
-        parts = [self._parts(t) for t in texts]
-        self._learn(parts)
-        get = self.ids.__getitem__
-        return [sum(map(len, map(get, p))) // 4 for p in parts]
+        rows, ends = self._look_up(texts)
+        total = np.append(0, np.cumsum(self.starts[rows + 1] - self.starts[rows]))
+        self._forget(rows)
+        return np.diff(total[ends]).tolist()
 
     def id_bytes(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        parts = [self._parts(t) for t in texts]
-        self._learn(parts)
-        get = self.ids.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        rows, ends = self._look_up(texts)
+        ids, at = self._ids(rows)
+        self._forget(rows)
+        raw, cuts = ids.tobytes(), (4 * at[ends]).tolist()
+        return [raw[a:b] for a, b in itertools.pairwise(cuts)]
 
 
 @functools.cache

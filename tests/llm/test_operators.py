@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from blockloom.llm import common, components, decontaminate, exact_dedup, jaccard_join, language, packing, pii, quality, queries, secret_scan, spans, token_counts, url_filter
+from blockloom.llm import bpe, common, components, decontaminate, exact_dedup, jaccard_join, language, packing, pii, quality, queries, secret_scan, spans, token_counts, url_filter
 from tests.compare import same
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -121,6 +121,25 @@ def test_radix_groups():
     assert exact_dedup.radix_groups(texts, 2, 2, 64) == [texts.index(t) for t in texts]
 
 
+def test_encoder_forgets_what_is_not_in_use(monkeypatch):
+    """Pre-tokens that each slice of texts holds are merged once; what comes out is the library's, however often the memory fills."""
+    t = Tokenizer.from_file(PATH)
+    often = "<|endoftext|> the cat's 12 é 漢字 😀  aaaaaaa\0special"
+    slices = [[f"{often} {' '.join(chr(97 + k % 26) + a + b + 'xq' * (k // 26) for a, b in itertools.product('abcdefghijklmnopq', repeat=2))}", "", often, "a" * k] for k in range(30)]
+    want = [[t.encode(x, add_special_tokens=False).ids for x in s] for s in slices]
+    for most, once in ((1 << 18, True), (2000, False)):
+        monkeypatch.setattr(bpe, "CACHE_BYTES", most)
+        e, merged = bpe.Encoder(PATH), []
+        merge = e.merger.merge
+        monkeypatch.setattr(e.merger, "merge", lambda w, merge=merge, merged=merged: merged.extend(w) or merge(w))
+        for s, ids in zip(slices, want, strict=True):
+            assert e.id_bytes(s) == [np.array(x, "<u4").tobytes() for x in ids]
+            assert e.counts(s) == list(map(len, ids))
+            assert e.held <= most
+        assert (merged.count(" the") == 1) == once
+    assert bpe.Encoder(PATH).id_bytes([]) == [] and bpe.Encoder(PATH).id_bytes(["", ""]) == [b"", b""] and bpe.Encoder(PATH).counts([""]) == [0]
+
+
 def test_packing_round_trip(docs, empty):
     t = Tokenizer.from_file(PATH)
     rows = packing.pack(docs, PATH, capacity=256, block_rows=3).collect()
