@@ -17,10 +17,17 @@ def parse_size(text: Column) -> Column:
 
 
 def format_size(n: Column) -> Column:
-    """Binary units with two decimals."""
+    """Binary units with two decimals, rounded from the double's exact value, an exact half to the even digit as printf does."""
     out = F.format_string("%d B", n)
+    # format_string rounds the double's shortest decimal half up; a quotient by a power of two is exact, so integers tell its hundredths
+    whole = F.coalesce(n.cast("double").try_cast("long"), n)
     for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(n >= 1024**k, F.format_string(f"%.2f {unit}", n / float(1024**k))).otherwise(out)
+        below = whole.bitwiseAND(1024**k - 1) * 100
+        rest, cents = below.bitwiseAND(1024**k - 1), F.shiftright(below, 10 * k)
+        up = (rest > 1024**k // 2) | ((rest == 1024**k // 2) & (cents % 2 == 1))
+        total = F.shiftright(whole, 10 * k) * 100 + cents + F.when(up, 1).otherwise(0)
+        text = F.format_string(f"%d.%02d {unit}", ((total - total % 100) / 100).cast("long"), total % 100)
+        out = F.when(n >= 1024**k, text).otherwise(out)
     return out
 
 
