@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from blockloom import schema as S
 from blockloom.functions import scalar
 from blockloom.operators import chunk, codec, dedup, ecc, merkle, versions, volumes
-from blockloom.scratch import delete, discard, store
+from blockloom.scratch import delete, discard, small_batches, store
 from blockloom.sources.files import read_tars
 from blockloom.sources.restore import write_entries
 
@@ -138,11 +138,15 @@ class Archive:
         own = self.blocks()
         if not self.options.parity:
             return own
-        whole = F.crc32("payload") == F.col("checksum")
-        rows = own.select("group_id", "block_seq", "payload", F.col("compressed_size").alias("size"), whole.alias("intact"))
-        fixed = ecc.repair_groups(rows, self.parity()).filter("repaired").select("block_seq", "payload")
-        again = own.drop("payload").join(fixed, "block_seq").select(*BLOCK_COLUMNS)
-        return own.filter(whole).unionByName(again.filter(F.crc32("payload") == F.col("checksum")))
+        whole = F.coalesce(F.crc32("payload") == F.col("checksum"), F.lit(False))
+        bad = store(own.filter(~whole).select("group_id").distinct(), "damaged")
+        if bad.isEmpty():
+            discard(bad)
+            return own
+        keep = tuple(c for c in BLOCK_COLUMNS if c not in ("block_seq", "payload", "group_id"))
+        rows = own.select("group_id", "block_seq", "payload", F.col("compressed_size").alias("size"), whole.alias("intact"), *keep)
+        fixed = ecc.repair_groups(rows, self.parity(), bad, keep).filter("repaired").withColumn("group_id", F.floor(F.col("block_seq") / S.ECC_DATA))
+        return own.filter(whole).unionByName(fixed.select(*BLOCK_COLUMNS).filter(F.crc32("payload") == F.col("checksum")))
 
     def _plain(self) -> DataFrame:
         """Blocks as stored, decrypted, with those of the base."""
@@ -158,19 +162,27 @@ class Archive:
         files = self.manifest(generation).filter("kind = 'file'").select("seq", "path", "block_refs")
         if path is not None:
             files = files.filter(scalar.normal_path(F.col("path")) == scalar.normal_path(F.lit(path))).orderBy("seq").limit(1)
-        refs = files.select("seq", "path", F.posexplode("block_refs").alias("pos", "ref")).select("seq", "path", "pos", "ref.hash", "ref.slice_start", "ref.slice_len")
-        wanted = self._plain().join(refs.select("hash").distinct(), "hash", "left_semi").dropDuplicates(["hash"])
-        data = codec.decompress_blocks(wanted.select("hash", "payload", "codec", "uncompressed_size"))
-        rows = refs.join(data, "hash", "left")
-        stop = lambda why: F.raise_error(F.concat(F.lit(f"{why} block "), F.col("hash")))
-        inside = F.col("slice_start") + F.col("slice_len") <= F.octet_length("chunk")
-        piece = F.when(F.col("intact") & inside, F.substring(F.col("chunk"), F.col("slice_start") + 1, F.col("slice_len"))).when(F.col("intact"), stop("slice outside")).otherwise(stop("damaged"))
-        whole = rows.groupBy("seq", "path").agg(chunk.joined(F.collect_list(F.struct("pos", piece.alias("piece"))), "piece").alias("content"))
-        return files.select("seq", "path").join(whole, ["seq", "path"], "left").select("path", F.coalesce("content", F.lit(b"")).alias("content"))
+        return self._contents(files).select("path", "content")
+
+    def _contents(self, files: DataFrame) -> DataFrame:
+        """files(seq, path, block_refs, ...) with content in place of block_refs.
+
+        Blocks move as they are stored: to the files that refer to them, and again to where files of more than one piece are put together.
+        """
+        small_batches(self.spark)
+        kept = [c for c in files.columns if c != "block_refs"]
+        refs = files.select(*kept, F.size("block_refs").alias("pieces"), F.posexplode("block_refs").alias("pos", "ref")).select(*kept, "pieces", "pos", "ref.hash", "ref.slice_start", "ref.slice_len")
+        wanted = self._plain().select("hash", "payload", "codec", "uncompressed_size").join(refs.select("hash").distinct(), "hash", "left_semi").dropDuplicates(["hash"])
+        rows = refs.join(wanted, "hash", "left")
+        none = files.filter(F.size("block_refs") < 1).select(*kept, *[F.lit(None).cast(k).alias(c) for c, k in rows.dtypes if c not in kept])
+        many = rows.filter("pieces > 1").repartition("seq").sortWithinPartitions("seq", "path", "pos")
+        return codec.assemble(rows.filter("pieces = 1").unionByName(none), kept).unionByName(codec.assemble(many, kept))
 
     def restore(self, folder: str, generation: int | None = None) -> DataFrame:
         """Write all entries below a folder that every executor sees; kind and count of what was written."""
-        return write_entries(self.manifest(generation), self.extract(generation), folder)
+        entries = self.manifest(generation)
+        rows = entries.filter("kind = 'file'").groupBy("path").agg(F.min(F.struct("seq", "mode", "mtime_ns", "block_refs")).alias("w"))
+        return write_entries(entries, self._contents(rows.select("path", "w.*")), folder)
 
     def cat(self, path: str) -> bytes:
         row = self.extract(path=path).first()
@@ -255,17 +267,17 @@ class Archive:
 
     def repair(self, path: str) -> Archive:
         """A new archive at path in which every recoverable block is sound; others stay as they are. What it did: repairs()."""
-        damage = self.damage().select("block_seq", "intact")
-        rows = self.blocks().join(damage, "block_seq").withColumn("size", F.col("compressed_size"))
-        fixed = ecc.repair_groups(rows.select("group_id", "block_seq", "payload", "size", "intact"), self.parity()) if self.options.parity else None
-        if fixed is None:
-            self.blocks().write.parquet(f"{path}/blocks")
+        if self.options.parity:
+            bad = store(self.damage().filter("NOT intact").select("block_seq", "group_id"), "bad")
+            groups = store(bad.select("group_id").distinct(), "groups")
+            rows = dedup.marked(self.blocks().withColumn("_row", F.col("block_seq")), bad.select(F.col("block_seq").alias("_row")), "bad")
+            keep = tuple(c for c in BLOCK_COLUMNS if c not in ("block_seq", "payload", "group_id"))
+            some = rows.select("group_id", "block_seq", "payload", F.col("compressed_size").alias("size"), (~F.col("bad")).alias("intact"), *keep)
+            fixed = ecc.repair_groups(some, self.parity(), groups, keep, as_is=True).withColumn("group_id", F.floor(F.col("block_seq") / S.ECC_DATA))
+            rows.filter("NOT bad").select(*BLOCK_COLUMNS).unionByName(fixed.select(*BLOCK_COLUMNS)).write.parquet(f"{path}/blocks")
+            discard(bad, groups)
         else:
-            fixed = store(fixed.filter("repaired").select("block_seq", "payload"), "fixed")
-            own = self.blocks()
-            again = own.drop("payload").join(fixed, "block_seq").select(*BLOCK_COLUMNS)
-            own.join(fixed.select("block_seq"), "block_seq", "left_anti").select(*BLOCK_COLUMNS).unionByName(again).write.parquet(f"{path}/blocks")
-            discard(fixed)
+            self.blocks().write.parquet(f"{path}/blocks")
         self._copy(path, "parity", "manifest", "meta")
         return Archive(self.spark, path)
 
@@ -281,8 +293,8 @@ class Archive:
         """Write volumes of about max_size stored bytes and the other tables below folder; how many volumes there are."""
         sizes = self.blocks().select("hash", "block_seq", F.col("compressed_size").alias("len"))
         placed = dedup.running(sizes, "block_seq", {"offset": F.col("len") + S.BLOCK_HEADER_SIZE}, 1 << 20)
-        numbers = volumes.assign(placed, volumes.split_points(placed, max_size)).select("hash", "volume_no")
-        self.blocks().join(numbers, "hash").repartition("volume_no").write.partitionBy("volume_no").parquet(f"{folder}/volumes")
+        numbers = volumes.assign(placed, volumes.split_points(placed, max_size)).select(F.col("block_seq").alias("_row"), "volume_no")
+        dedup.placed(self.blocks().withColumn("_row", F.col("block_seq")), numbers, "volume_no").repartition("volume_no").write.partitionBy("volume_no").parquet(f"{folder}/volumes")
         found = volumes.inventory(self.spark, folder)
         found.write.parquet(f"{folder}/inventory")
         self._copy(folder, "manifest", "parity", "meta")
@@ -308,9 +320,9 @@ def join(spark: SparkSession, folder: str, path: str) -> Archive:
 
 def convert(spark: SparkSession, tar: str, path: str, options: Options | None = None) -> Archive:
     """An archive of the entries of a tar, tar.gz or tar.zst file, or of all below a folder; without parity unless options ask for it."""
-    entries = store(read_tars(spark, tar), "entries")
-    numbers = dedup.numbered(entries.select("tar", F.col("seq").alias("k")), ["tar", "k"], {"seq": F.lit(1)})
-    files = entries.withColumnRenamed("seq", "k").join(numbers, ["tar", "k"]).drop("tar", "k")
+    entries = store(read_tars(spark, tar).withColumn("_row", F.monotonically_increasing_id()), "entries")
+    numbers = dedup.numbered(entries.select("_row", "tar", F.col("seq").alias("k")), ["tar", "k"], {"seq": F.lit(1)})
+    files = dedup.placed(entries.drop("tar", "seq"), numbers, "seq")
     archive = Archive.create(files, path, options or Options(ecc="none"))
     discard(entries)
     return archive
@@ -328,13 +340,14 @@ def merge(a: Archive, b: Archive, path: str) -> Archive:
     merged = store(merged, "merged")
     needed = merged.select(F.explode("block_refs").alias("r")).select("r.hash").distinct()
     stored = a.blocks().withColumn("src", F.lit(0)).unionByName(b.blocks().withColumn("src", F.lit(1)))
-    first = stored.groupBy("hash").agg(F.min(F.struct("src", "block_seq")).alias("f")).join(needed, "hash", "left_semi")
-    numbers = dedup.numbered(first.select("hash", "f.src", F.col("f.block_seq").alias("was")), ["hash"], {"block_seq": F.lit(1)})
-    stored = stored.withColumnRenamed("block_seq", "was").drop("group_id").join(numbers, ["hash", "src", "was"]).withColumn("group_id", F.floor(F.col("block_seq") / S.ECC_DATA))
+    row = (F.col("src").cast("long") * (1 << 60) + F.col("block_seq")).alias("_row")  # in the order in which both were written
+    first = stored.groupBy("hash").agg(F.min(row).alias("_row")).join(needed, "hash", "left_semi")
+    numbers = dedup.numbered(first.select("_row"), ["_row"], {"block_seq": F.lit(1)})
+    stored = dedup.placed(stored.withColumn("_row", row).drop("block_seq", "group_id"), numbers, "block_seq").withColumn("group_id", F.floor(F.col("block_seq") / S.ECC_DATA))
     stored.select(*BLOCK_COLUMNS).write.parquet(f"{path}/blocks")
     blocks = spark.read.schema(S.BLOCKS).parquet(f"{path}/blocks")
     if a.options.parity:
-        ecc.parity_blocks(blocks, a.options.parity).write.parquet(f"{path}/parity")
+        ecc.parity_of_stored(blocks, a.options.parity).write.parquet(f"{path}/parity")
     _save_entries(_with_refs(merged, _offsets(blocks, a.options.parity)), path)
     discard(merged)
     flags = S.ERASURE_CODED if a.options.parity else 0
@@ -422,17 +435,17 @@ def _write(files: DataFrame, path: str, options: Options, key: bytes | None, gen
     """Chunk once, dedup against known hashes, compress, encrypt, add parity; then the manifest with offsets, stats and root."""
     spark = files.sparkSession
     files = _with_defaults(files)
-    pieces = store(chunk.content_chunks(files.filter("kind = 'file'"), options.least, options.average, options.most), "pieces")
+    pieces = store(chunk.content_chunks(files.filter("kind = 'file'"), options.least, options.average, options.most).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     slim = pieces.select("seq", "pos", "hash", "len")
-    first = slim.groupBy("hash").agg(F.min(F.struct("seq", "pos")).alias("f")).select("hash", "f.seq", "f.pos")
+    first = pieces.groupBy("hash").agg(F.min(F.struct("seq", "pos", "_row")).alias("f")).select("hash", "f.*")
     if known is not None:
         first = first.join(known.select("hash"), "hash", "left_anti")
     start = 0
     if generation:
         start = (spark.read.parquet(f"{path}/blocks").agg(F.max("block_seq")).first()[0] or 0) + S.ECC_DATA
         start -= start % S.ECC_DATA  # a generation begins its own parity groups
-    order = dedup.numbered(first, ["seq", "pos"], {"block_seq": F.lit(1)})
-    fresh = pieces.join(order, ["hash", "seq", "pos"]).select("hash", (F.col("block_seq") + start).alias("block_seq"), "chunk")
+    order = dedup.numbered(first.select("seq", "pos", "_row"), ["seq", "pos"], {"block_seq": F.lit(1)})
+    fresh = dedup.placed(pieces.select("_row", "hash", "chunk"), order, "block_seq").select("hash", (F.col("block_seq") + start).alias("block_seq"), "chunk")
     rows = codec.compress_blocks(fresh, options.codec, options.level).withColumn("group_id", F.floor(F.col("block_seq") / S.ECC_DATA))
     if key:
         rows = rows.withColumn("payload", codec.encrypt(F.col("payload"), F.col("hash"), F.col("codec"), key, options.level))
@@ -440,7 +453,7 @@ def _write(files: DataFrame, path: str, options: Options, key: bytes | None, gen
     rows.select(*BLOCK_COLUMNS).write.mode("append").parquet(f"{path}/blocks")
     blocks = spark.read.schema(S.BLOCKS).parquet(f"{path}/blocks")
     if options.parity:
-        ecc.parity_blocks(blocks.filter(F.col("block_seq") >= start), options.parity).write.mode("append").parquet(f"{path}/parity")
+        ecc.parity_of_stored(blocks.filter(F.col("block_seq") >= start), options.parity).write.mode("append").parquet(f"{path}/parity")
     own = _offsets(blocks, options.parity).filter(F.col("block_seq") >= start).select("hash", "offset", F.lit(0).alias("flags"))
     if known is not None:
         own = own.unionByName(known.select("hash", "offset", F.lit(S.REF_EXTERNAL if external else 0).alias("flags")))

@@ -47,6 +47,37 @@ def numbered(df: DataFrame, order: Sequence[str], sums: dict[str, Column]) -> Da
     return out.withColumns({k: (F.col(f"s_{k}") + F.col(f"i_{k}")).cast("long") for k in sums}).drop("_range", *[f"{p}{k}" for k in sums for p in ("s_", "i_", "_")])
 
 
+def _words(ids: DataFrame, number: str | None = None) -> DataFrame:
+    """ids(_row) packed by 64 rows: _word, its bits and, for a number that each row has, the word's first number; all numbers where they don't follow each other."""
+    bits = F.expr("bit_or(shiftleft(1L, cast(_row & 63 AS int)))").alias("_bits")
+    by_word = ids.groupBy(F.shiftright("_row", 6).alias("_word"))
+    if number is None:
+        return by_word.agg(bits)
+    rows = by_word.agg(bits, F.min(number).alias("_first"), F.transform(F.sort_array(F.collect_list(F.struct("_row", number))), lambda x: x[number]).alias("_all"))
+    follow = F.col("_all") == F.expr("sequence(_first, _first + size(_all) - 1)")
+    return rows.withColumn("_all", F.when(~follow, F.col("_all")))
+
+
+def placed(rows: DataFrame, numbers: DataFrame, number: str) -> DataFrame:
+    """The rows(_row, ...) that a table(_row, number) has, with their number. Row ids are distinct.
+
+    What is joined to the rows is a bit for each, and one number for 64 rows where numbers go up with row ids, as they do
+    for rows that lie in order. That table is stored, so that the planner knows its size: rows with large values move
+    only where it is too large to be sent to all tasks.
+    """
+    words = store(_words(numbers.select("_row", F.col(number).cast("long").alias(number)), number), "words")
+    found = rows.join(words, F.shiftright("_row", 6) == F.col("_word")).filter("(_bits & shiftleft(1L, cast(_row & 63 AS int))) <> 0")
+    rank = "bit_count(_bits & ~shiftleft(-1L, cast(_row & 63 AS int)))"
+    return found.withColumn(number, F.expr(f"coalesce(get(_all, {rank}), _first + {rank})")).drop("_row", "_word", "_bits", "_first", "_all")
+
+
+def marked(rows: DataFrame, ids: DataFrame, mark: str) -> DataFrame:
+    """All rows(_row, ...) and whether a table(_row) has them; the rows move as little as in placed()."""
+    words = store(_words(ids), "words")
+    found = rows.join(words, F.shiftright("_row", 6) == F.col("_word"), "left")
+    return found.withColumn(mark, F.expr("coalesce(_bits & shiftleft(1L, cast(_row & 63 AS int)), 0) <> 0")).drop("_row", "_word", "_bits")
+
+
 def first_seen(chunks: DataFrame) -> DataFrame:
     """hash, first_seq, uses of every distinct hash."""
     return chunks.groupBy("hash").agg(F.min("seq").alias("first_seq"), F.count("*").alias("uses"))

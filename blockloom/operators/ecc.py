@@ -8,9 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from blockloom import schema as S
 from blockloom.operators import dedup
+from blockloom.scratch import store
 
 POLYNOMIAL = 0x11D
 
@@ -98,43 +101,98 @@ def reconstruct(shards: list[bytes | None], sizes: list[int], parity: list[bytes
 
 
 _PARITY = pa.schema([("group_id", pa.int64()), ("parity_idx", pa.int32()), ("shard_size", pa.int64()), ("payload", pa.binary())])
-_FIXED = pa.schema([("block_seq", pa.int64()), ("payload", pa.binary()), ("repaired", pa.bool_())])
+_PARITY_ROWS = "group_id long, parity_idx int, shard_size long, payload binary"
+
+
+def _parity_rows(group: int, payloads: list[bytes], parity: int) -> list[tuple]:
+    return [(group, k, len(x), x) for k, x in enumerate(encode(payloads, parity))]
+
+
+def _parity_table(rows: list[tuple]) -> dict:
+    return {f.name: pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_PARITY)}
 
 
 def parity_blocks(blocks: DataFrame, parity: int) -> DataFrame:
     """group_id, parity_idx, shard_size, hash, payload for blocks(group_id, block_seq, payload). A group is ten blocks at most."""
 
     def make(g: pa.Table) -> pa.Table:
-        out = encode(g.sort_by("block_seq").column("payload").to_pylist(), parity)
-        return pa.Table.from_pydict({"group_id": [g.column("group_id")[0].as_py()] * parity, "parity_idx": list(range(parity)), "shard_size": [len(x) for x in out], "payload": out}, _PARITY)
+        return pa.Table.from_pydict(_parity_table(_parity_rows(g.column("group_id")[0].as_py(), g.sort_by("block_seq").column("payload").to_pylist(), parity)), _PARITY)
 
-    rows = blocks.select(F.col("group_id").cast("long"), "block_seq", "payload").groupBy("group_id").applyInArrow(make, "group_id long, parity_idx int, shard_size long, payload binary")
+    rows = blocks.select(F.col("group_id").cast("long"), "block_seq", "payload").groupBy("group_id").applyInArrow(make, _PARITY_ROWS)
     return rows.withColumn("hash", F.sha2("payload", 256))
 
 
-def repair_groups(blocks: DataFrame, parity: DataFrame) -> DataFrame:
-    """block_seq, payload, repaired of damaged blocks. blocks: group_id, block_seq, payload, size, intact; size is the stored payload's."""
-    width = parity.select((F.max("parity_idx") + 1).alias("w")).first()["w"] or 0
-    groups = blocks.filter("NOT intact").select("group_id").distinct()
-    data = blocks.join(groups, "group_id", "left_semi").select("group_id", F.col("block_seq").alias("at"), F.when(F.col("intact"), F.col("payload")).alias("payload"), F.col("size").cast("long"), F.lit(False).alias("is_parity"))
-    sound = F.when(F.sha2("payload", 256) == F.col("hash"), F.col("payload"))
-    extra = parity.join(groups, "group_id", "left_semi").select("group_id", F.col("parity_idx").cast("long").alias("at"), sound.alias("payload"), F.col("shard_size").alias("size"), F.lit(True).alias("is_parity"))
+def _whole_groups(parity: int, last: int, data: int, batches):
+    """Parity of groups that this task reads whole: a group's blocks go once its last one has come."""
+    groups: dict[int, dict[int, bytes]] = {}
+    for b in batches:
+        rows, held = [], 0
+        for group, seq, payload in zip(*(b.column(c) for c in ("group_id", "block_seq", "payload")), strict=True):
+            g = group.as_py()
+            mine = groups.setdefault(g, {})
+            mine[seq.as_py()] = payload.as_py()
+            if len(mine) == min(data, last + 1 - g * data):
+                rows += _parity_rows(g, [x for _, x in sorted(groups.pop(g).items())], parity)
+                held += sum(r[2] for r in rows[-parity:])
+            if held >= 4 << 20:
+                yield pa.RecordBatch.from_pydict(_parity_table(rows), _PARITY)
+                rows, held = [], 0
+        yield pa.RecordBatch.from_pydict(_parity_table(rows), _PARITY)
+    if groups:
+        raise RuntimeError(f"{len(groups)} groups of blocks were not read whole by one task")
+
+
+def parity_of_stored(blocks: DataFrame, parity: int, data: int = S.ECC_DATA) -> DataFrame:
+    """parity_blocks() of a table in files whose block_seq has no gaps in its groups: groups that one task reads whole are not moved.
+
+    Which ones these are is asked first, as how a table is cut into tasks doesn't depend on the columns that are read.
+    """
+    tasks = blocks.select(F.col("group_id").cast("long"), "block_seq", F.spark_partition_id().alias("task")).groupBy("group_id").agg(F.min("task").alias("low"), F.max("task").alias("high"), F.max("block_seq").alias("last"))
+    tasks = store(tasks, "tasks")
+    groups, cut, last = tasks.agg(F.count("*"), F.count_if(F.col("low") != F.col("high")), F.max("last")).first()
+    if 4 * cut > groups:  # blocks that don't lie in order
+        return parity_blocks(blocks, parity)
+    slim = blocks.select(F.col("group_id").cast("long"), "block_seq", "payload")
+    apart = store(tasks.filter("low <> high").select("group_id"), "apart")
+    whole = slim.join(apart, "group_id", "left_anti").mapInArrow(functools.partial(_whole_groups, parity, last or 0, data), _PARITY_ROWS)
+    return whole.withColumn("hash", F.sha2("payload", 256)).unionByName(parity_blocks(slim.join(apart, "group_id", "left_semi"), parity))
+
+
+def repair_groups(blocks: DataFrame, parity: DataFrame, groups: DataFrame | None = None, keep: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
+    """block_seq, payload, repaired of damaged blocks, and the columns to keep. blocks: group_id, block_seq, payload, size, intact; size is the
+    stored payload's. groups: the damaged ones' group_id, stored, where they are known. as_is: what can't be repaired keeps its payload.
+
+    Blocks and parity are dealt once, by group; groups without damage stay where they are if most have none.
+    """
+    width, most = parity.agg(F.max("parity_idx") + 1, F.max("group_id") + 1).first()
+    width, kinds = width or 0, dict(blocks.dtypes)
+    data = blocks.select(F.col("group_id").cast("long"), F.col("block_seq").cast("long").alias("at"), "payload", F.col("size").cast("long"), F.coalesce("intact", F.lit(False)).alias("intact"), F.lit(False).alias("is_parity"), *keep)
+    extra = parity.select(F.col("group_id").cast("long"), F.col("parity_idx").cast("long").alias("at"), "payload", F.col("shard_size").alias("size"), F.coalesce(F.sha2("payload", 256) == F.col("hash"), F.lit(False)).alias("intact"), F.lit(True).alias("is_parity"), *[F.lit(None).cast(kinds[k]).alias(k) for k in keep])
+    if groups is None or 4 * groups.count() < (most or 0):
+        groups = blocks.filter("NOT intact").select("group_id").distinct() if groups is None else groups
+        data, extra = (x.join(groups, "group_id", "left_semi") for x in (data, extra))
+    out = T.StructType([T.StructField("block_seq", T.LongType()), T.StructField("payload", T.BinaryType()), T.StructField("repaired", T.BooleanType()), *[data.schema[k] for k in keep]])
+    schema = to_arrow_schema(out)
 
     def fix(g: pa.Table) -> pa.Table:
-        rows = sorted(g.select(["at", "payload", "size", "is_parity"]).to_pylist(), key=lambda r: r["at"])
+        if all(g.column("intact").to_pylist()):
+            return schema.empty_table()
+        rows = sorted(g.to_pylist(), key=lambda r: r["at"])
+        sound = lambda r: r["payload"] if r["intact"] else None
         own = [r for r in rows if not r["is_parity"]]
         pars: list[bytes | None] = [None] * width
         for r in rows:
             if r["is_parity"]:
-                pars[r["at"]] = r["payload"]
+                pars[r["at"]] = sound(r)
         try:
-            full = reconstruct([r["payload"] for r in own], [r["size"] for r in own], pars)
+            full = reconstruct([sound(r) for r in own], [r["size"] for r in own], pars)
         except ValueError:
             full = [None] * len(own)
-        bad = [(r["at"], f) for r, f in zip(own, full, strict=True) if r["payload"] is None]
-        return pa.Table.from_pydict({"block_seq": [k for k, _ in bad], "payload": [f for _, f in bad], "repaired": [f is not None for _, f in bad]}, _FIXED)
+        bad = [(r, f) for r, f in zip(own, full, strict=True) if not r["intact"]]
+        made = {"block_seq": [r["at"] for r, _ in bad], "payload": [r["payload"] if f is None and as_is else f for r, f in bad], "repaired": [f is not None for _, f in bad]}
+        return pa.Table.from_pydict(made | {k: [r[k] for r, _ in bad] for k in keep}, schema)
 
-    return data.union(extra).groupBy("group_id").applyInArrow(fix, "block_seq long, payload binary, repaired boolean")
+    return data.union(extra).groupBy("group_id").applyInArrow(fix, out)
 
 
 def islands(scan: DataFrame) -> DataFrame:

@@ -37,14 +37,14 @@ def split_points(blocks: DataFrame, max_size: int) -> DataFrame:
 
 
 def assign(blocks: DataFrame, cuts: DataFrame) -> DataFrame:
-    """offset, len, hash, volume_no (from 1) of every block: one more than the cuts at or before its offset.
+    """blocks(offset, len, ...) with volume_no (from 1): one more than the cuts at or before its offset.
 
     A cut is the end of a block, so it marks that block, and the marks before a block are its running sum.
     """
     ends = F.col("offset") + F.col("len") + S.BLOCK_HEADER_SIZE
-    marked = blocks.select("hash", "offset", "len").join(cuts.select("cut", F.lit(1).alias("mark")), ends == F.col("cut"), "left")
+    marked = blocks.join(cuts.select("cut", F.lit(1).alias("mark")), ends == F.col("cut"), "left")
     rows = dedup.running(marked, "offset", {"volumes_before": F.coalesce("mark", F.lit(0))}, RANGE_BYTES)
-    return rows.select("hash", "offset", "len", (F.col("volumes_before") + 1).alias("volume_no"))
+    return rows.withColumn("volume_no", F.col("volumes_before") + 1).drop("volumes_before", "cut", "mark")
 
 
 def inventory(spark: SparkSession, folder: str) -> DataFrame:

@@ -77,7 +77,7 @@ def _settle(folder: str):
 
 
 def write_entries(entries: DataFrame, contents: DataFrame, folder: str) -> DataFrame:
-    """kind, n of the entries(path, kind, target, mode, mtime_ns) written, with contents(path, content) for files.
+    """kind, n of the entries(path, kind, target, mode, mtime_ns), once written; contents(path, mode, mtime_ns, content): a file for each path.
 
     Unsafe paths and links raise before any write. Of files that share a path, one stays.
     """
@@ -86,12 +86,12 @@ def write_entries(entries: DataFrame, contents: DataFrame, folder: str) -> DataF
     bad = entries.filter(unsafe).select("path").first()
     if bad:
         raise ValueError(f"entry leaves the folder: {bad[0]}")
-    one = contents.groupBy("path").agg(F.first("content").alias("content"))
     counts = {}
     for kind in ("dir", "file", "hardlink", "symlink"):  # links last: nothing is written through them; a hard link needs its target
         rows = entries.filter(F.col("kind") == kind).select("path", "target", "mode", "mtime_ns")
-        rows = rows.join(one, "path", "left") if kind == "file" else rows
-        counts[kind] = rows.mapInPandas(_place(folder, kind), "kind string").count()
+        if kind == "file":
+            contents.mapInPandas(_place(folder, kind), "kind string").count()
+        counts[kind] = rows.count() if kind == "file" else rows.mapInPandas(_place(folder, kind), "kind string").count()
     entries.filter("kind = 'dir'").select("path", "mode", "mtime_ns").mapInPandas(_settle(folder), "kind string").count()
     return entries.sparkSession.createDataFrame([(k, n) for k, n in counts.items() if n], "kind string, n long")
 
