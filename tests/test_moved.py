@@ -44,6 +44,7 @@ MOST = {
     "archive_time_travel": 5.5,
     "archive_split_join": 6.2,
     "archive_repair": 5.3,
+    "archive_roundtrip": 5.5,
 }
 
 
