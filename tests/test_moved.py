@@ -45,6 +45,7 @@ MOST = {
     "archive_split_join": 6.2,
     "archive_repair": 5.3,
     "archive_roundtrip": 5.5,
+    "archive_repair_partly": 5,
 }
 
 
