@@ -46,6 +46,7 @@ MOST = {
     "archive_repair": 5.3,
     "archive_roundtrip": 5.5,
     "archive_repair_partly": 5,
+    "archive_restore": 3.5,
 }
 
 
