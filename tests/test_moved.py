@@ -47,6 +47,7 @@ MOST = {
     "archive_roundtrip": 5.5,
     "archive_repair_partly": 5,
     "archive_restore": 3.5,
+    "archive_convert": 4.2,
 }
 
 
