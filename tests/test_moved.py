@@ -48,6 +48,7 @@ MOST = {
     "archive_repair_partly": 5,
     "archive_restore": 3.5,
     "archive_convert": 4.2,
+    "archive_incremental_stats": 3.8,
 }
 
 
