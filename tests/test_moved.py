@@ -49,6 +49,7 @@ MOST = {
     "archive_restore": 3.5,
     "archive_convert": 4.2,
     "archive_incremental_stats": 3.8,
+    "archive_append_log": 3.8,
 }
 
 
