@@ -50,6 +50,7 @@ MOST = {
     "archive_convert": 4.2,
     "archive_incremental_stats": 3.8,
     "archive_append_log": 3.8,
+    "archive_diff": 3.8,
 }
 
 
