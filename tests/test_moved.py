@@ -51,6 +51,7 @@ MOST = {
     "archive_incremental_stats": 3.8,
     "archive_append_log": 3.8,
     "archive_diff": 3.8,
+    "archive_append_stats": 3.8,
 }
 
 
