@@ -65,6 +65,8 @@ def cut_points(data: bytes, least: int, average: int, most: int) -> list[int]:
         return []
     bits = max(1, int(average).bit_length() - 1)
     mask = lambda n: np.uint64(((1 << n) - 1) << (63 - n))
+    if len(data) <= least:
+        return [len(data)]
     hard, easy = _marks(np.frombuffer(data, np.uint8), mask(bits + 1), mask(max(1, bits - 1)))
     ends, at, n = [], 0, len(data)
     while n - at > least:
@@ -83,8 +85,12 @@ def cut_points(data: bytes, least: int, average: int, most: int) -> list[int]:
 SCHEMA = pa.schema([("seq", pa.int64()), ("pos", pa.int32()), ("chunk", pa.binary())])
 
 
+#: Bytes of chunks that a worker gathers before they leave; it holds them twice at that time.
+LEAVE = 4 << 20
+
+
 def _cut(least: int, average: int, most: int, batches):
-    """Chunks leave in batches of about 16 MB, in the middle of a file too."""
+    """Chunks leave in batches of about LEAVE bytes, in the middle of a file too."""
     seq, pos, chunk, held = [], [], [], 0
 
     def leave():
@@ -100,7 +106,7 @@ def _cut(least: int, average: int, most: int, batches):
                 chunk.append(data[at:end])
                 held += end - at
                 at = end
-                if held >= 1 << 24:
+                if held >= LEAVE:
                     yield leave()
                     seq, pos, chunk, held = [], [], [], 0
     yield leave()
