@@ -54,6 +54,7 @@ MOST = {
     "archive_diff": 3.8,
     "archive_append_stats": 3.8,
     "archive_info": 2.1,
+    "archive_heal": 5.3,
 }
 
 
